@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,28 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cardmill-"))
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return None
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read back.
+
+    Cuts the lineage like ``checkpoint()`` but runs the plan once and keeps the
+    columns compressed; survives the loss of executors. Files go when the
+    session's process ends.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/cardmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone
+        pass
