@@ -166,6 +166,13 @@ def mix(spark: SparkSession, sizes: DataFrame, sources: list[Source], total: flo
     return used.select("doc_id", "source", "block", "n_tokens", key.alias("mix_key"))
 
 
+def uses(spark: SparkSession, sizes: DataFrame, sources: list[Source], total: float | None = None, seed: int = 0) -> DataFrame:
+    """Every document with the number of its uses in the mix: doc_id, source,
+    n_tokens, uses (0 where it isn't used)."""
+    mixed = mix(spark, sizes, sources, total, seed).groupBy("doc_id", "source").agg(F.count("*").alias("uses"))
+    return sizes.join(mixed, ["doc_id", "source"], "left").select("doc_id", "source", "n_tokens", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
 def shares(spark: SparkSession, mixed: DataFrame, sources: list[Source], total: float | None = None) -> DataFrame:
     """Per target source: what it has, should have and got; absent sources get 0."""
     exponent, _, weights = solve(sources, total)
@@ -186,6 +193,11 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(spark, sizes, sources)
 
 
+def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
+    sizes, sources = _prepared(spark, folder)
+    return uses(spark, sizes, sources)
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     sizes, sources = _prepared(spark, folder)
     return shares(spark, mix(spark, sizes, sources), sources)
@@ -208,5 +220,5 @@ def p8_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, tokens bigint, weight double, exponent double")
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_large": p8_shares_large, "p8_temperature": p8_temperature}
+QUERIES = {"p8_uses": p8_uses, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_large": p8_shares_large, "p8_temperature": p8_temperature}
 SQL: dict[str, str] = {}
