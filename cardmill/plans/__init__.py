@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ("data_quality",)
+_AREAS = ("data_quality", "review", "knowledge", "decks")
 
 
 def _gather(what: str) -> dict:
