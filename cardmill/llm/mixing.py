@@ -42,7 +42,7 @@ class Source:
 
 
 def tempered(sources: list[Source], exponent: float, targets: bool = True) -> list[float]:
-    total = sum(s.tokens for s in sources)
+    total = sum(s.tokens for s in sources) or 1
     raw = []
     for s in sources:
         q = s.tokens / total
