@@ -162,7 +162,7 @@ def mix(spark: SparkSession, sizes: DataFrame, sources: list[Source], total: flo
         .drop("range", "through", "ahead", "so_far")
     )
     used = whole.unionByName(inside).unionByName(cut)
-    key = (F.col("block") - 1 + F.col("place")) / F.greatest(F.col("turns"), F.col("block").cast("double"))
+    key = F.least((F.col("block") - 1 + F.col("place")) / F.col("turns"), F.lit(1.0))
     return used.select("doc_id", "source", "block", "n_tokens", key.alias("mix_key"))
 
 
