@@ -48,15 +48,17 @@ def edited_fields(log: DataFrame) -> DataFrame:
     return fields.where("field <> ''").groupBy("field").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field")
 
 
+def decimal_number(col: Column) -> Column:
+    """A decimal number, exponent allowed; null for anything else."""
+    bare = F.btrim(col, F.lit(BLANKS))
+    return F.when(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), bare).try_cast("double")
+
+
 def review_rows(log: DataFrame) -> DataFrame:
     """The log with its three numbers read, ``error`` where one can't be, and
     calibration_error (rounded to 4) for mature reviews, of more than 21 days.
     Only decimal numbers are read: no suffixes, infinities or NaN."""
-
-    def number(name: str) -> Column:
-        bare = F.btrim(F.col(name), F.lit(BLANKS))
-        return F.when(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), bare).try_cast("double")
-
+    number = lambda name: decimal_number(F.col(name))
     parsed = log.select("card_id", number("interval_days").alias("interval_days"), number("predicted_retention").alias("predicted"), number("actual_recalled").alias("actual"))
     bad = F.col("interval_days").isNull() | F.col("predicted").isNull() | F.col("actual").isNull()
     mature = ~bad & (F.col("interval_days") > V.MATURE_DAYS)

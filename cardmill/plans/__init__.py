@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ("data_quality", "review", "knowledge", "decks")
+_AREAS = ("data_quality", "review", "knowledge", "decks", "notes")
 
 
 def _gather(what: str) -> dict:

@@ -187,7 +187,8 @@ def _file_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for deck, text in zip(batch.deck_file, batch.text):
-            for n, record in enumerate(RecordParser((text or "").removeprefix("﻿")).parse(), 1):
+            text = (text or "").removeprefix("\ufeff")
+            for n, record in enumerate(RecordParser(text).parse(), 1):
                 reason = None if n == 1 and record.values[:2] == list(COLUMNS[:2]) else judge(record)
                 line = None if record.error_offset is None else text.count("\n", 0, record.error_offset) + 1
                 out.append((deck, n, text.count("\n", 0, record.offset) + 1, record.values or None, reason, line))
