@@ -64,7 +64,7 @@ def slug(col: Column, default: str = "general") -> Column:
 
 def parse_tags(col: Column) -> Column:
     parts = F.filter(F.split(col, r"[,\s]+"), lambda t: t != "")
-    return F.transform(parts, slug)
+    return F.transform(parts, lambda t: slug(t))
 
 
 def semantic_tokens(col: Column) -> Column:

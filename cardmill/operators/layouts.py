@@ -63,7 +63,11 @@ def list_html() -> Column:
 
 def confusions_html() -> Column:
     """Wrong answers, the nearest first."""
-    by_grade = [F.transform(F.filter("distractors", lambda d, g=g: d["grade"] == g), lambda d: F.concat(F.lit(f'<li class="{g}">'), T.escape_html(d["text"]), F.lit("</li>"))) for g in reversed(V.DISTRACTOR_GRADES)]
+    def of(grade: str) -> Column:
+        own = F.filter("distractors", lambda d: d["grade"] == grade)
+        return F.transform(own, lambda d: F.concat(F.lit(f'<li class="{grade}">'), T.escape_html(d["text"]), F.lit("</li>")))
+
+    by_grade = [of(grade) for grade in reversed(V.DISTRACTOR_GRADES)]
     items = F.array_join(F.concat(*by_grade), "")
     return F.when(F.size("distractors") > 0, F.concat(F.lit('<div class="confusions"><div class="label">Common confusions</div><ul>'), items, F.lit("</ul></div>"))).otherwise("")
 
