@@ -40,10 +40,22 @@ def exact_answer(answer: Column) -> Column:
     return (answer != "") & (value.rlike(r"^[A-Za-z]\w*\s*=\s*.+$") | ((T.word_count(value) <= 3) & value.rlike(r"\d")) | value.rlike("^[A-Z]{2,}$"))
 
 
-def cloze_text(text: Column) -> Column:
+def parts_of(u: dict[str, Column]) -> dict[str, Column]:
+    """What routing and prompts both look at: the sides of a definition and of a
+    relation, the items of an authored answer, the term a question asks for."""
+    text, asked = u["text"], u["question"] != ""
+    none = F.array().cast("array<string>")
+    return {
+        "subject": F.btrim(F.regexp_extract(text, _DEFINITION, 1)), "object": _bare(F.regexp_extract(text, _DEFINITION, 2)),
+        "left": F.btrim(F.regexp_extract(text, _RELATION, 1)), "verb": F.lower(F.regexp_extract(text, _RELATION, 2)), "right": _bare(F.regexp_extract(text, _RELATION, 3)),
+        "items": F.when(asked & (u["answer"] != ""), T.answer_items(u["answer"])).otherwise(none), "term": F.when(asked, T.definition_term(u["question"])).otherwise(""),
+    }
+
+
+def cloze_text(u: dict[str, Column]) -> Column:
     """A statement with its object, its end after the verb or its last words hidden."""
     hide = lambda before, answer: F.concat(before, F.lit(" {{c1::"), answer, F.lit("}}."))
-    subject, object_ = F.btrim(F.regexp_extract(text, _DEFINITION, 1)), _bare(F.regexp_extract(text, _DEFINITION, 2))
+    text, subject, object_ = u["text"], u["subject"], u["object"]
     head = F.regexp_extract(text, T.VERB.replace("(?i)", "(?i)^(.*?") + ")(.*)$", 1)
     tail = _bare(F.regexp_extract(text, T.VERB.replace("(?i)", "(?i)^(.*?") + ")(.*)$", 2))
     parts = F.split(_bare(text), r"\s+")
@@ -57,39 +69,37 @@ def cloze_answer(cloze: Column) -> Column:
     return F.when(F.size(hidden) > 0, F.array_join(hidden, "; ")).otherwise(cloze)
 
 
-def list_answer(answer: Column) -> Column:
+def list_answer(answer: Column, items: Column) -> Column:
     ordered = T.sequence_items(answer)
     prefix = F.regexp_extract(_bare(answer), r"(?i)^(.+?\bfrom )", 1)
-    return F.when(F.size(ordered) > 0, F.concat(prefix, F.array_join(ordered, " -> "), F.lit("."))).otherwise(F.concat(F.array_join(T.answer_items(answer), "; "), F.lit(".")))
+    return F.when(F.size(ordered) > 0, F.concat(prefix, F.array_join(ordered, " -> "), F.lit("."))).otherwise(F.concat(F.array_join(items, "; "), F.lit(".")))
 
 
-def must_defer(answer: Column) -> Column:
-    """An authored answer that is no list a card could ask for."""
-    items, ordered = T.list_items(answer), T.sequence_items(answer)
-    size = F.when(F.size(ordered) > 0, F.size(ordered)).otherwise(F.size(items))
-    return (size > V.MAX_LIST_ITEMS) | ((F.size(items) >= 3) & (F.size(T.answer_items(answer)) == 0))
+def must_defer(answer: Column, items: Column) -> Column:
+    """An authored answer that is no list a card could ask for: more items than a list
+    may have, or three and more that aren't parallel."""
+    return (F.size(items) == 0) & (F.size(T.list_items(answer)) >= 3)
 
 
 def reversible(u: dict[str, Column]) -> Column:
-    asked = (T.word_count(u["answer"]) <= 12) & (T.definition_term(u["question"]) != "")
-    return F.when((u["question"] != "") & (u["answer"] != ""), asked).otherwise(u["text"].rlike(_DEFINITION))
+    asked = (u["term"] != "") & (T.word_count(u["answer"]) <= 12)
+    return F.when((u["question"] != "") & (u["answer"] != ""), asked).otherwise(u["subject"] != "")
 
 
 def route(u: dict[str, Column]) -> Column:
     """The card type by the unit alone; ``reverse?`` where the balance decides
     between reverse and qa."""
     question = u["question"] != ""
-    object_ = T.word_count(_bare(F.regexp_extract(u["text"], _RELATION, 3)))
     opaque = (u["verbatim_kind"] != "") | has_verbatim(u["text"]) | has_verbatim(u["answer"]) | F.concat_ws(" ", u["text"], u["answer"]).rlike(r"\\[A-Za-z]+")
     return (
         F.when(u["image_url"] != "", "image-supported")
         .when(opaque, "qa")
         .when((u["kind"] == "formula") | exact_answer(u["answer"]), "typed")
-        .when(question & (F.size(T.answer_items(u["answer"])) > 0), "list")
+        .when(F.size(u["items"]) > 0, "list")
         .when(question & (u["topic"] == CANDIDATES), "qa")
         .when((question | (u["kind"] == "definition")) & reversible(u), "reverse?")
         .when(question | u["kind"].isin("definition", "comparison", "mechanism", "argument", "narrative", "exception"), "qa")
-        .when(u["text"].rlike(_RELATION) & object_.between(1, 8), "cloze")
+        .when((u["left"] != "") & T.word_count(u["right"]).between(1, 8), "cloze")
         .otherwise("qa")
     )
 
@@ -99,15 +109,15 @@ def prompt(u: dict[str, Column], card_type: Column) -> Column:
     pair = lambda f, b: F.struct(f.alias("front"), b.alias("back"))
     text, question, answer = u["text"], u["question"], u["answer"]
     authored = (question != "") & (answer != "")
-    subject, object_ = F.btrim(F.regexp_extract(text, _DEFINITION, 1)), _bare(F.regexp_extract(text, _DEFINITION, 2))
+    subject, object_ = u["subject"], u["object"]
     means = lambda x: F.concat(F.lit("Which term means: "), x, F.lit("?"))
-    term, cloze = T.definition_term(question), cloze_text(text)
+    term, cloze = u["term"], cloze_text(u)
     made = (
         F.when(u["verbatim_kind"] == "math", pair(F.lit("What expression is displayed?"), text))
         .when((card_type == "reverse") & authored & (term != ""), pair(means(F.regexp_replace(answer, r"\.+$", "")), term))
         .when((card_type == "reverse") & (question == "") & (subject != ""), pair(means(object_), subject))
         .when(card_type == "cloze", pair(cloze, cloze_answer(cloze)))
-        .when((card_type == "list") & authored, pair(question, list_answer(answer)))
+        .when((card_type == "list") & authored, pair(question, list_answer(answer, u["items"])))
         .when(authored, pair(question, answer))
         .when(text.rlike(_FORMULA), pair(F.concat(F.lit("What is the formula for "), F.btrim(F.regexp_extract(text, _FORMULA, 1)), F.lit("?")), F.btrim(F.regexp_extract(text, _FORMULA, 2))))
     )
@@ -116,10 +126,10 @@ def prompt(u: dict[str, Column], card_type: Column) -> Column:
         before, _, rest = template.partition("{")
         front = F.concat(F.lit(before), F.regexp_extract(bare, shape, int(rest[0])), *_rest(rest[2:], bare, shape))
         made = made.when((u["kind"] == kind) & bare.rlike(shape), pair(front, F.regexp_extract(bare, shape, group)))
-    relation = F.concat(F.lit("Complete: "), F.btrim(F.regexp_extract(text, _RELATION, 1)), F.lit(" "), F.lower(F.regexp_extract(text, _RELATION, 2)), F.lit(" ___."))
+    relation = F.concat(F.lit("Complete: "), u["left"], F.lit(" "), u["verb"], F.lit(" ___."))
     return (
         made.when(subject != "", pair(F.concat(F.lit("What is "), subject, F.lit("?")), object_))
-        .when(text.rlike(_RELATION), pair(relation, _bare(F.regexp_extract(text, _RELATION, 3))))
+        .when(u["left"] != "", pair(relation, u["right"]))
         .otherwise(pair(F.lit(""), F.lit("")))
     )
 
@@ -165,8 +175,10 @@ def build_cards(units: DataFrame, key: str = "doc_id") -> DataFrame:
     nothing can be asked give none. Fields of text are HTML-escaped."""
     u = {c: T.text_or_empty(F.col(c)) for c in ("text", "question", "answer", "extra", "topic", "source", "kind", "image_url", "image_alt", "verbatim_kind")}
     full = lambda p: (F.btrim(p["front"]) != "") & (F.btrim(p["back"]) != "")
-    deferred = (u["question"] != "") & (u["answer"] != "") & must_defer(u["answer"])
-    routed = once(units.withColumn("image_url", u["image_url"]), routed=route(u), deferred=deferred).where("not deferred").drop("deferred")
+    units = once(units.withColumn("image_url", u["image_url"]), parts=F.struct(*(c.alias(n) for n, c in parts_of(u).items())))
+    u |= {n: F.col(f"parts.{n}") for n in ("subject", "object", "left", "verb", "right", "items", "term")}
+    deferred = (u["question"] != "") & (u["answer"] != "") & must_defer(u["answer"], u["items"])
+    routed = once(units, routed=route(u), deferred=deferred).where("not deferred").drop("deferred")
     may = F.col("routed") == "reverse?"
     asked = once(routed, plain=prompt(u, F.when(may, F.lit("qa")).otherwise(F.col("routed"))), turned=F.when(may, prompt(u, F.lit("reverse"))))
     makes = full(F.col("plain")) | F.coalesce(full(F.col("turned")), F.lit(False))
@@ -176,7 +188,7 @@ def build_cards(units: DataFrame, key: str = "doc_id") -> DataFrame:
     front, back = T.escape_html(F.col("asked.front")), T.escape_html(F.col("asked.back"))
     alt = F.when(u["image_url"] != "", T.normal_alt(u["image_alt"])).otherwise("")
     image = F.concat(F.lit('<br><img src="'), T.escape_html(u["image_url"]), F.lit('" alt="'), T.escape_html(alt), F.lit('">'))
-    items = F.when(F.size("group_components") > 0, F.col("group_components")).when(F.col("card_type") == "list", T.answer_items(u["answer"])).otherwise(T.enumerated_items(F.col("asked.back")))
+    items = F.when(F.size("group_components") > 0, F.col("group_components")).when(F.col("card_type") == "list", u["items"]).otherwise(T.enumerated_items(F.col("asked.back")))
     stated = F.when((u["question"] != "") & (u["answer"] != ""), F.when(F.btrim(u["answer"]).rlike("[.!?]$"), F.btrim(u["answer"])).otherwise(F.concat(F.btrim(u["answer"]), F.lit(".")))).otherwise(F.btrim(u["text"]))
     own = F.regexp_replace(F.btrim(u["extra"]), r"(?i)^Explanation:\s*", "")
     cards = asked.select(
