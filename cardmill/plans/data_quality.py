@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.operators.orphans import Reference, find_orphans, orphan_report
-from cardmill.sources.card_records import accepted, parse_card_records, rejected
+from cardmill.sources.card_records import COLUMNS, accepted, parse_card_records, rejected
 from cardmill.sources.tables import spread, table
 
 
@@ -70,15 +70,20 @@ s as (select *, regexp_full_match(raw, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"
 f as (select *, case when sound then list_transform(regexp_extract_all(',' || raw, '(?s),(?:"(?:[^"]|"")*"|[^",]*)'), lambda x: x[2:]) end fields from s),
 v as (select *, list_transform(fields, lambda x: trim(trim(case when x like '"%' then replace(x[2:-2], '""', '"') else x end, e' \t\r\n'))) vals from f),
 t as (select *, vals[6] card_type, vals[19] confidence from v),
-j as (select deck_file, row_no, case when not sound then 'quoting' when len(vals) <> 19 then 'column_count'
+j as (select deck_file, row_no, fields, case when not sound then 'quoting' when len(vals) <> 19 then 'column_count'
   when card_type not in ('qa','cloze','reverse','typed','list','image-supported') then 'card_type'
   when confidence <> '' and not coalesce(regexp_full_match(confidence, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(confidence as double) between 0 and 1, false) then 'confidence' end reason from t)
 """
 
+_CELL = "case when fields[{n}] like '\"%' then replace(fields[{n}][2:-2], '\"\"', '\"') else fields[{n}] end"
+_CELLS = ", ".join(f'{_CELL.format(n=n)} "{name}"' for n, name in enumerate(COLUMNS[:-1], 1))
+_CARDS = _RECORDS + f", k as (select distinct deck_file, row_no, {_CELLS}, try_cast(nullif(trim({_CELL.format(n=len(COLUMNS))}), '') as double) \"Confidence\" from j where reason is null)\n"
+
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_cards": p6_cards, "p6_report": p6_report}
 SQL = {
     "p1_found": _ORPHANS + "select * from found where status is not null",
     "p1_report": _ORPHANS + "select table_name, field, status, period, count(*) n_references, count(distinct ref_id) n_keys from found where status is not null group by 1, 2, 3, 4",
     "p6_found": _RECORDS + "select distinct deck_file, row_no, reason from j where reason is not null",
+    "p6_cards": _CARDS + "select * from k",
     "p6_report": _RECORDS + "select reason, count(*) n_rows from (select distinct deck_file, row_no, reason from j where reason is not null) group by 1",
 }

@@ -12,7 +12,7 @@ from cardmill.operators import cards as C
 from cardmill.operators import knowledge as K
 from cardmill.operators import ordering as O
 from cardmill.operators import units as U
-from cardmill.plans.data_quality import _records
+from cardmill.plans.data_quality import _CARDS, _records
 from cardmill.plans.knowledge import _C, _PLAIN, _V, _WORDS, _alt, sql_current
 from cardmill.sources.card_records import accepted
 from cardmill.sources.tables import table
@@ -149,6 +149,10 @@ SQL = {
 with d as (select split_part(source, '/', 1) deck, card_id, card_type from {_C}),
 r as (select deck, lag(card_type) over w = card_type again, count(*) over (partition by deck order by card_id rows between current row and unbounded following) - count(*) over (partition by deck, card_type order by card_id rows between current row and unbounded following) others from d window w as (partition by deck order by card_id))
 select deck, count(*) filter (again and others > 0) avoidable_runs from r group by 1""",
+    "deck_runs": _CARDS + """, runs as (select deck_file, lag("Topic") over w = "Topic" again, count(*) over (partition by deck_file order by row_no rows between current row and unbounded following)
+  - count(*) over (partition by deck_file, "Topic" order by row_no rows between current row and unbounded following) others from k window w as (partition by deck_file order by row_no))
+select deck_file, count(*) filter (again and others > 0) avoidable_runs from runs group by 1""",
+    "pending_import": _CARDS + """select deck_file, count(*) pending from k where not exists (select 1 from cards c where c.card_id = k."CardID") group by 1""",
     "deck_order": "select deck_file, min(loaded_at) first_at from card_csv_rows where deck_file <> '' group by 1",
     "card_tags": f"with t as (select unnest(tags) t from {_C}) select coalesce(nullif(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'general') tag, count(*) n from t group by 1",
 }

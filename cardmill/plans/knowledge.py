@@ -147,6 +147,14 @@ select doc_id, unit_pos, id, len({_WORDS.format('pl')}) words, len({sql_tokens('
   count(*) filter (regexp_matches(raw, '^\s*(?:[-*+] |\d+[.)]\s+).+')) bullets, count(*) filter (regexp_matches(line, '(?i)^Q(?:uestion)?:\s*.+')) questions from s group by 1""",
     "line_topics": _LINES + r""", h as (select *, coalesce(last_value(case when regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') then regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1) end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), 'General') topic from s)
 select doc_id, topic, count(*) lines, min(line_no) first_line from h where line <> '' group by 1, 2""",
+    "explicit_objectives": _LINES + r""", e as (select *, regexp_matches(line, '(?i)^(?:learning\s+)?objectives?\s*:\s*$') head, regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') heading,
+  coalesce(nullif(regexp_extract(line, '(?i)^(?:learning\s+)?objectives?\s*:\s*(.+)$', 1), ''), nullif(regexp_extract(line, '(?i)^(?:by the end of (?:this )?(?:lesson|lecture|chapter),?\s*(?:students?|learners?|you) (?:should be able to|will be able to|can)|(?:students?|learners?|you) (?:should be able to|will be able to))\s+(.+)$', 1), '')) strong,
+  coalesce(nullif(regexp_extract(raw, '^\s*(?:[-*+] |\d+[.)]\s+)(.+)$', 1), ''), nullif(regexp_extract(line, '(?i)^(?:students?|learners?|you) can\s+(.+)$', 1), '')) weak,
+  coalesce(last_value(case when regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') then regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1) end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), 'General') topic from s),
+v as (select *, case when head then 1 when line = '' or heading then 0 when strong is null and weak is null then 0 end ev from e),
+o as (select *, coalesce(last_value(ev ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) = 1 open_ from v),
+b as (select doc_id, line_no, trim(coalesce(strong, case when open_ then weak end), ' .') as label, topic, 'doc-' || doc_id || ':line-' || line_no source from o where not head and line <> '' and not heading and coalesce(strong, case when open_ then weak end) is not null)
+select doc_id, line_no, 'objective-' || sha256(label || chr(0) || source)[:12] id, label, topic, source, true explicit from b""",
     "inferred_objectives": f"""
 with u as {_U}, o as {_O}, t as (select distinct doc_id, coalesce(nullif(trim(topic), ''), 'General') topic from u)
 select t.doc_id, 'objective-' || sha256(t.topic || chr(0) || t.doc_id)[:12] id, 'Understand and recall the major concepts in ' || t.topic as label, t.topic, t.doc_id as source, false as explicit

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.functions import text as T
+from cardmill.operators import drafts as D
 from cardmill.operators import knowledge as K
 from cardmill.operators import layouts as L
-from cardmill.plans.knowledge import _C
+from cardmill.operators import reports as P
+from cardmill.plans.knowledge import _C, _U, sql_current
+from cardmill.plans.review import SQL as REVIEW
 from cardmill.sources import facts as S
 from cardmill.sources import sinks
 from cardmill.sources.documents import looks_like_math
@@ -58,9 +61,65 @@ def review_windows(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "predicted_range", "n", F.round("brier", 4).alias("brier"))
 
 
-QUERIES = {f.__name__: f for f in (fact_types, fact_faults, card_notes, note_layouts, card_csv, package_ids, math_lines, review_windows)}
+def _drafts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Cards as drafts of their units, their back being the evidence."""
+    units = K.current_rows(table(spark, folder, "knowledge_units"), "id").withColumnRenamed("id", "unit_id")
+    cards = K.current_rows(table(spark, folder, "cards"), "card_id")
+    draft = F.struct("front", "back", "extra", "context", "card_type", F.col("knowledge_unit_id").alias("source_unit_id"), F.col("back").alias("evidence"), "tags", F.col("confidence").cast("string").alias("confidence"))
+    payloads = cards.select(F.to_json(F.struct(F.array(draft).alias("cards"))).alias("payload"))
+    return D.read_drafts(payloads), units
+
+
+def draft_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return D.draft_faults(*_drafts(spark, folder))
+
+
+def drafted_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return D.drafted_cards(*_drafts(spark, folder)).select("card_id", "knowledge_unit_id", "card_type", "front", "back", "topic")
+
+
+def authoring_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    units = K.current_rows(table(spark, folder, "knowledge_units"), "doc_id", "id").withColumnRenamed("id", "unit_id")
+    return D.prompts(units).select("doc_id", "part", F.size(F.from_json("prompt", "source_units array<struct<text:string>>")["source_units"]).alias("units"))
+
+
+def audit_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return P.audit_checks(K.current_rows(table(spark, folder, "cards"), "card_id"))
+
+
+def remedies(spark: SparkSession, folder: str) -> DataFrame:
+    return P.remedies(K.current_rows(table(spark, folder, "cards"), "card_id"))
+
+
+def calibration_report(spark: SparkSession, folder: str) -> DataFrame:
+    return P.calibration_report(table(spark, folder, "approval_log"), table(spark, folder, "review_log"))
+
+
+def import_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviewed cards stand for the notes the target has."""
+    notes = K.current_rows(table(spark, folder, "cards"), "card_id").select(F.col("card_id").alias("id"), F.coalesce("topic", F.lit("General")).alias("deck"))
+    return P.import_report(notes, table(spark, folder, "review_log").select(F.col("card_id").alias("id")))
+
+
+QUERIES = {f.__name__: f for f in (draft_faults, drafted_cards, authoring_prompts, audit_checks, remedies, calibration_report, import_report, fact_types, fact_faults, card_notes, note_layouts, card_csv, package_ids, math_lines, review_windows)}
 _num = lambda c: f"case when regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim({c}) as double) end"
+_DRAFTS = rf"""
+with u as (select id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) hay, topic from {sql_current('knowledge_units', 'id')}),
+c as (select *, coalesce(trim(back), '') ev, trim(knowledge_unit_id) uid from {_C}),
+j as (select c.*, u.id known, u.topic unit_topic, case
+  when trim(coalesce(front, '')) = '' or ev = '' or trim(coalesce(extra, '')) = '' or trim(coalesce(card_type, '')) = '' or coalesce(uid, '') = '' then 'missing_field'
+  when u.id is null then 'unknown_unit' when not contains(hay, trim(regexp_replace(lower(ev), '\s+', ' ', 'g'))) then 'unsupported_evidence'
+  when trim(card_type) not in ('qa', 'cloze', 'reverse', 'typed', 'list', 'image-supported') then 'card_type' end fault from c left join u on u.id = c.uid)
+"""
 SQL = {
+    "draft_faults": _DRAFTS + "select coalesce(fault, 'none') fault, count(*) n from j group by 1",
+    "authoring_prompts": f"select doc_id, cast(floor(unit_pos / 50) as bigint) part, count(*) units from {_U} group by 1, 2",
+    "import_report": f"with n as (select card_id id, coalesce(topic, 'General') deck from {_C}), k as (select distinct card_id id from review_log where card_id is not null) select deck, count(*) notes, count(k.id) known, count(*) - count(k.id) pending from n left join k using (id) group by 1",
+    "calibration_report": f"select 'ok' approval_status, 'ok' retention_status, a.*, r.* from ({REVIEW['approval_metrics']}) a, ({REVIEW['retention_metrics']}) r",
+    "math_lines": r"""
+with t as (select distinct doc_id, chunk_pos, source, text, row_number() over () rn from chunks where text is not null), l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]')) raw from t),
+s as (select doc_id, trim(regexp_replace(regexp_replace(raw, '^[\s\x{a0}\x0b]+|[\s\x{a0}\x0b]+$', '', 'g'), '\s+', ' ', 'g')) t from l), w as (select *, len(regexp_extract_all(t, '[=+\-−*/×÷^<>≤≥≈≠∑∏∫√∂∇]')) ops, regexp_matches(t, '[A-Za-z0-9]') named from s where t <> '')
+select doc_id, count(*) filter (len(t) <= 240 and ops > 0 and (regexp_matches(t, '[∑∏∫√∂∇≤≥≈≠∞±]') or regexp_matches(t, '[Α-Ωα-ω]') or (contains(t, '=') and named and trim(split_part(t, '=', 1)) <> '' and trim(regexp_extract(t, '=(.*)$', 1)) <> '') or (not contains(t, '=') and ops >= 2 and named))) math_lines, count(*) lines from w group by 1""",
     "card_csv": f"""select coalesce(front, '') "Front", coalesce(back, '') "Back", coalesce(extra, '') "Extra", coalesce(context, '') "Context", coalesce(mnemonic, '') "Mnemonic", coalesce(card_type, '') "CardType",
   array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), ' ') "Tags", coalesce(image_url, '') "ImageURL", coalesce(image_alt, '') "ImageAlt", coalesce(topic, '') "Topic", coalesce(source, '') "Source", coalesce(card_id, '') "CardID", coalesce(knowledge_unit_id, '') "KnowledgeUnitID",
   coalesce(knowledge_kind, '') "KnowledgeKind", coalesce(learning_purpose, '') "LearningPurpose", coalesce(array_to_string(list_filter(objective_ids, lambda x, i: list_position(objective_ids, x) = i), ' '), '') "ObjectiveIDs",
