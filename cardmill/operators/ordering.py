@@ -5,23 +5,51 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges a group's order is cut into before rows are numbered inside each.
+RANGES = 4096
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, where null keys are equal."""
+    renamed = right.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys]
+    return left.join(renamed, same).drop(*(f"_right_{c}" for c in keys))
+
+
+def numbered(rows: DataFrame, group: list[str], at: Column, order: list[Column], name: str) -> DataFrame:
+    """Rows with their number in their group, from 1, by ``at`` (from 0 to 1) and ``order``.
+
+    A window over a group would put the whole group into one task. Here rows are
+    counted per range of ``at`` first; the running count of ranges gives the offset
+    of each, and only the rows of one range are sorted together.
+    """
+    cut = rows.withColumn("_at", at).withColumn("_range", F.least(F.floor(F.col("_at") * RANGES), F.lit(RANGES - 1)))
+    counts = cut.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = null_safe_join(cut, offsets, [*group, "_range"])
+    inside = Window.partitionBy(*group, "_range").orderBy("_at", *order)
+    return joined.withColumn(name, F.row_number().over(inside) + F.col("_offset")).drop("_at", "_range", "_offset")
+
+
 def interleave(cards: DataFrame, deck: str, key: str, topic: str = "topic", seed: int = 42) -> DataFrame:
     """Cards with ``place`` from 1: each topic shuffled by a seeded hash, then the
     topics spread evenly over the deck.
 
     A card's position within its topic, over the topic's size, is where it belongs
-    in the deck; sorting by it spreads every topic. Two windows; no deck is taken
-    to the driver or to Python. Hot decks are sorted by Spark's external sort.
+    in the deck; sorting by it spreads every topic. Decks and topics of any size are
+    numbered range by range.
     """
-    shuffled = Window.partitionBy(deck, topic).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    size = F.count("*").over(Window.partitionBy(deck, topic))
-    spot = (F.row_number().over(shuffled) - 0.5) / size
-    order = Window.partitionBy(deck).orderBy("spot", F.xxhash64(topic, F.lit(seed)), key)
-    return cards.withColumn("spot", spot).withColumn("place", F.row_number().over(order)).drop("spot")
+    chance = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    ranked = numbered(cards, [deck, topic], chance, [F.col(key)], "_rank")
+    sizes = cards.groupBy(deck, topic).agg(F.count("*").alias("_size"))
+    sized = null_safe_join(ranked, sizes, [deck, topic])
+    spot = (F.col("_rank") - 0.5) / F.col("_size")
+    return numbered(sized, [deck], spot, [F.xxhash64(topic, F.lit(seed)), F.col(key)], "place").drop("_rank", "_size")
 
 
 def interleave_exact(cards: DataFrame, deck: str, topic: str = "topic", place: str = "card_pos", seed: int = 42) -> DataFrame:
