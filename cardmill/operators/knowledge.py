@@ -38,6 +38,18 @@ def with_topics(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.withColumn("topic", F.coalesce(F.last(heading, ignorenulls=True).over(so_far), F.lit("General")))
 
 
+def heading_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, block, heading, level, first_line, lines): the text under each heading up
+    to the next one; block 0, without heading, is what stands before the first."""
+    mark = F.col("line").rlike(_HEADING)
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = text_lines(docs, key).withColumn("block", F.sum(mark.cast("int")).over(so_far))
+    heading = F.max(F.when(mark, F.regexp_extract("line", _HEADING, 1)))
+    level = F.max(F.when(mark, F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))))
+    written = F.count_if((F.col("line") != "") & ~mark)
+    return lines.groupBy(key, "block").agg(heading.alias("heading"), level.alias("level"), F.min("line_no").alias("first_line"), written.alias("lines"))
+
+
 def explicit_objectives(docs: DataFrame, source: Column, key: str = "doc_id") -> DataFrame:
     """Objectives that the texts state: key, line_no, id, label, topic, source, explicit.
 

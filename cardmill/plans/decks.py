@@ -13,7 +13,7 @@ from cardmill.operators import knowledge as K
 from cardmill.operators import ordering as O
 from cardmill.operators import units as U
 from cardmill.plans.data_quality import _CARDS, _records
-from cardmill.plans.knowledge import _C, _PLAIN, _V, _WORDS, _alt, sql_current
+from cardmill.plans.knowledge import _C, _PLAIN, _V, _WORDS, _alt, sql_tokens
 from cardmill.sources.card_records import accepted
 from cardmill.sources.tables import table
 
@@ -102,17 +102,11 @@ def built_cards(spark: SparkSession, folder: str) -> DataFrame:
     return C.build_cards(C.classify_units(parsed_units(spark, folder)))
 
 
-def section_texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    heads = K.text_lines(docs).where(F.col("line").rlike(r"^#{1,6}\s+Limits of")).select("doc_id").distinct()
-    return U.section_texts(docs.join(heads, "doc_id", "left_semi"), "Limits of the text")
-
-
 QUERIES = {f.__name__: f for f in (rule_counts, simple_rule_counts, audit_summary, duplicate_cards, card_types, deck_runs, topic_runs, interleaved, interleaved_exact, deck_order, pending_import, card_tags, split_sentences, parsed_units, planned_units, built_cards)}
 
 _SIMPLE = (
     "MISSING_CONTENT", "MISSING_SOURCE", "UNLABELED_ENRICHMENT", "UNLABELED_INFERENCE", "INVALID_CONFIDENCE", "INVALID_KNOWLEDGE_KIND", "INVALID_LEARNING_PURPOSE", "INVALID_ORIGIN",
-    "FRONT_TOO_LONG", "MISSING_EXPLANATION", "MISSING_CONTEXT", "INVALID_CARD_TYPE", "CLOZE_FORMAT", "TYPE_FORMAT_MISMATCH", "REVERSE_FORMAT", "COGNITIVE_LOAD", "ATOMICITY_REVIEW", "GENERIC_PROMPT", "IMAGE_TYPE", "IMAGE_ALT",
+    "FRONT_TOO_LONG", "MISSING_EXPLANATION", "MISSING_CONTEXT", "INVALID_CARD_TYPE", "CLOZE_FORMAT", "TYPE_FORMAT_MISMATCH", "REVERSE_FORMAT", "COGNITIVE_LOAD", "ATOMICITY_REVIEW", "GENERIC_PROMPT", "THIN_EXPLANATION", "IMAGE_TYPE", "IMAGE_ALT",
 )
 _in = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _SPLIT = r"regexp_split_to_array(pb, '(?i);|\s+(?:and|but|whereas|while)\s+')"
@@ -135,6 +129,7 @@ _RULES = {
     "COGNITIVE_LOAD": ("error", r"card_type <> 'list' and greatest(len(list_filter(regexp_split_to_array(regexp_replace(pb, '(\d),(\d{3})\b', '\1\2', 'g'), '[,;]'), lambda x: trim(x) <> '')), 1) > 4"),
     "ATOMICITY_REVIEW": ("warning", f"card_type <> 'list' and len({_SPLIT}) > 1 and len(list_filter({_SPLIT}, lambda x: regexp_matches(x, '(?i){_alt(V.RELATION_VERBS)}'))) > 1"),
     "GENERIC_PROMPT": ("warning", f"regexp_matches(trim(pf), '^(?:{'|'.join(V.GENERIC_STEMS)})')"),
+    "THIN_EXPLANATION": ("warning", f"len(list_filter({sql_tokens('extra')}, lambda x: not list_contains({sql_tokens('fb')}, x))) = 0"),
     "IMAGE_TYPE": ("error", "image_url <> '' and card_type <> 'image-supported'"),
     "IMAGE_ALT": ("error", f"image_url <> '' and not (len({_WORDS.format(_PLAIN.format('image_alt'))}) >= 6 and regexp_matches(image_alt, '(?i){_alt((*V.RECALL_WORDS, 'relationship', 'spatial'))}'))"),
 }
@@ -157,4 +152,3 @@ select deck_file, count(*) filter (again and others > 0) avoidable_runs from run
     "card_tags": f"with t as (select unnest(tags) t from {_C}) select coalesce(nullif(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'general') tag, count(*) n from t group by 1",
 }
 assert set(_RULES) == set(_SIMPLE)
-__all__ = ["QUERIES", "SQL", "section_texts", "sql_current"]

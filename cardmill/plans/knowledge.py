@@ -49,6 +49,10 @@ def line_topics(spark: SparkSession, folder: str) -> DataFrame:
     return lines.where("line <> ''").groupBy("doc_id", "topic").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"))
 
 
+def heading_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return K.heading_blocks(table(spark, folder, "documents"))
+
+
 def explicit_objectives(spark: SparkSession, folder: str) -> DataFrame:
     return K.explicit_objectives(table(spark, folder, "documents"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
 
@@ -86,7 +90,7 @@ def evidence_support(spark: SparkSession, folder: str) -> DataFrame:
     return supported.groupBy("supported").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (classified_units, unit_measures, text_lines, line_topics, explicit_objectives, inferred_objectives, assigned_objectives, prerequisite_links, represented_units, objective_coverage, coverage_summary, evidence_support)}
+QUERIES = {f.__name__: f for f in (classified_units, unit_measures, text_lines, line_topics, heading_blocks, explicit_objectives, inferred_objectives, assigned_objectives, prerequisite_links, represented_units, objective_coverage, coverage_summary, evidence_support)}
 
 _V = r"regexp_replace({0}, '`[^`\n]*`|\"[^\"\n]*\"|\\\([^\n]*?\\\)|\$[^$\n]+\$', ' ', 'g')"
 _PLAIN = r"replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(" + _V + r", '\{{\{{c\d+::(.*?)(?:::[^}}]*)?\}}\}}', '\1', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
@@ -147,6 +151,8 @@ select doc_id, unit_pos, id, len({_WORDS.format('pl')}) words, len({sql_tokens('
   count(*) filter (regexp_matches(raw, '^\s*(?:[-*+] |\d+[.)]\s+).+')) bullets, count(*) filter (regexp_matches(line, '(?i)^Q(?:uestion)?:\s*.+')) questions from s group by 1""",
     "line_topics": _LINES + r""", h as (select *, coalesce(last_value(case when regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') then regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1) end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), 'General') topic from s)
 select doc_id, topic, count(*) lines, min(line_no) first_line from h where line <> '' group by 1, 2""",
+    "heading_blocks": _LINES + r""", h as (select *, regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') mark from s), b as (select *, cast(sum(mark::int) over (partition by doc_id order by line_no rows unbounded preceding) as bigint) block from h)
+select doc_id, block, max(case when mark then regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1) end) heading, max(case when mark then len(regexp_extract(line, '^(#{1,6})\s', 1)) end) as level, min(line_no) first_line, count(*) filter (line <> '' and not mark) as lines from b group by 1, 2""",
     "explicit_objectives": _LINES + r""", e as (select *, regexp_matches(line, '(?i)^(?:learning\s+)?objectives?\s*:\s*$') head, regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') heading,
   coalesce(nullif(regexp_extract(line, '(?i)^(?:learning\s+)?objectives?\s*:\s*(.+)$', 1), ''), nullif(regexp_extract(line, '(?i)^(?:by the end of (?:this )?(?:lesson|lecture|chapter),?\s*(?:students?|learners?|you) (?:should be able to|will be able to|can)|(?:students?|learners?|you) (?:should be able to|will be able to))\s+(.+)$', 1), '')) strong,
   coalesce(nullif(regexp_extract(raw, '^\s*(?:[-*+] |\d+[.)]\s+)(.+)$', 1), ''), nullif(regexp_extract(line, '(?i)^(?:students?|learners?|you) can\s+(.+)$', 1), '')) weak,
