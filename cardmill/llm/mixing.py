@@ -96,9 +96,9 @@ def solve(sources: list[Source], total: float | None = None) -> tuple[float, flo
 
 
 def temperature(sources: list[Source], target_entropy: float) -> float:
-    """The exponent in [0, 1] at which ``q^a`` reaches the wanted entropy; entropy
-    falls as the exponent rises, from log n at 0."""
-    return bisect(lambda a: entropy(tempered(sources, a, targets=False)) >= target_entropy, 0.0, 1.0)
+    """The exponent in [0, 8] at which ``q^a`` reaches the wanted entropy; entropy
+    falls as the exponent rises, from log n at 0. Above 1 large sources gain."""
+    return bisect(lambda a: entropy(tempered(sources, a, targets=False)) >= target_entropy, 0.0, 8.0)
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
