@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.functions import text as T
+from cardmill.functions import vocabulary as V
 from cardmill.operators import drafts as D
 from cardmill.operators import knowledge as K
 from cardmill.operators import layouts as L
 from cardmill.operators import reports as P
-from cardmill.plans.knowledge import _C, _U, sql_current
+from cardmill.plans.knowledge import _C, _U, _V, sql_current
 from cardmill.plans.review import SQL as REVIEW
 from cardmill.sources import facts as S
 from cardmill.sources import sinks
@@ -111,7 +112,22 @@ j as (select c.*, u.id known, u.topic unit_topic, case
   when u.id is null then 'unknown_unit' when not contains(hay, trim(regexp_replace(lower(ev), '\s+', ' ', 'g'))) then 'unsupported_evidence'
   when trim(card_type) not in ('qa', 'cloze', 'reverse', 'typed', 'list', 'image-supported') then 'card_type' end fault from c left join u on u.id = c.uid)
 """
+_ESC = "replace(replace(replace(replace(replace(replace(replace(coalesce({0}, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_in = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_FACTS = rf"""
+with c as (select *, case when trim(card_type) in ('cloze', 'typed') then trim(card_type) else 'qa' end kind, {_ESC.format('front')} f, {_ESC.format('back')} b, nullif({_ESC.format('source')}, '') src, nullif(trim(origin), '') org, nullif(trim(knowledge_kind), '') kk from {_C} where trim(coalesce(card_id, '')) <> ''),
+x as (select card_id, kind, src, list_filter([
+  case when kk not in ({_in(V.KNOWLEDGE_KINDS)}) then 'knowledge_kind' end, case when org not in ({_in(V.ORIGINS)}) then 'origin' end, case when not (confidence between 0 and 1) then 'confidence' end,
+  case when org is not null and trim(coalesce(src, ''), e' \t\r\n') = '' then 'source_of_origin' end,
+  case when trim(f, e' \t\r\n ') = '' then case kind when 'cloze' then 'content_text' when 'typed' then 'content_prompt' else 'content_front' end end,
+  case when trim(b, e' \t\r\n ') = '' and kind <> 'cloze' then case kind when 'typed' then 'content_answer' else 'content_back' end end,
+  case when org = 'generated-enrichment' and not contains(f, 'Enrichment:') then 'enrichment_label' end,
+  case when kind = 'cloze' and trim(f, e' \t\r\n ') <> '' and not regexp_matches({_V.format('f')}, '\{{\{{c\d+::') then 'cloze_deletion' end], lambda v: v is not null) faults from c)
+"""
 SQL = {
+    "fact_faults": _FACTS + "select fault, count(*) n from (select unnest(faults) fault from x) group by 1",
+    "fact_types": _FACTS + "select kind as type, count(*) n, count(src) with_source from x where len(faults) = 0 group by 1",
+    "note_layouts": _FACTS + "select case kind when 'qa' then 'Basic' when 'cloze' then 'Cloze' else 'Typed' end layout, 'Study' deck, count(*) n from x where len(faults) = 0 group by 1",
     "draft_faults": _DRAFTS + "select coalesce(fault, 'none') fault, count(*) n from j group by 1",
     "authoring_prompts": f"select doc_id, cast(floor(unit_pos / 50) as bigint) part, count(*) units from {_U} group by 1, 2",
     "import_report": f"with n as (select card_id id, coalesce(topic, 'General') deck from {_C}), k as (select distinct card_id id from review_log where card_id is not null) select deck, count(*) notes, count(k.id) known, count(*) - count(k.id) pending from n left join k using (id) group by 1",
