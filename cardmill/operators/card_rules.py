@@ -26,6 +26,35 @@ class Scheduler:
     interleave_topics: bool = True
 
 
+#: What to do about each broken rule of a card.
+REMEDIES = {
+    "MISSING_CONTENT": "Add one clear prompt and its answer.",
+    "MISSING_SOURCE": "Name the page, slide or line it comes from.",
+    "UNLABELED_ENRICHMENT": "Mark added material with 'Enrichment:'.",
+    "UNLABELED_INFERENCE": "Mark it with 'Inference:' or as from the source.",
+    "INVALID_CONFIDENCE": "Give a confidence from 0 to 1.",
+    "INVALID_KNOWLEDGE_KIND": "Use a known kind of knowledge.",
+    "INVALID_LEARNING_PURPOSE": "Use a known purpose.",
+    "INVALID_ORIGIN": "Use a known origin.",
+    "FRONT_TOO_LONG": "Shorten or split the prompt.",
+    "MISSING_EXPLANATION": "Explain the answer in the extra.",
+    "MISSING_CONTEXT": "Give the background it takes for granted.",
+    "INVALID_CARD_TYPE": "Use a known card type.",
+    "CLOZE_FORMAT": "Mark a deletion or change the type.",
+    "TYPE_FORMAT_MISMATCH": "Ask directly or make it a cloze card.",
+    "REVERSE_FORMAT": "Ask for the term of a definition or change the type.",
+    "LIST_SIZE": "Give three to eight items.",
+    "MNEMONIC_MISMATCH": "Start the mnemonic with the initials of the items.",
+    "COGNITIVE_LOAD": "Split it into cards of at most four parts.",
+    "ATOMICITY_REVIEW": "Split clauses that stand alone.",
+    "MISSING_MNEMONIC": "Add a mnemonic for the set.",
+    "GENERIC_PROMPT": "Ask for one fact.",
+    "THIN_EXPLANATION": "Say why the fact holds.",
+    "IMAGE_TYPE": "Make it an image-supported card.",
+    "IMAGE_ALT": "Say what the image cues.",
+}
+
+
 def card_rules() -> list[tuple[str, str, Column, str]]:
     """(code, level, condition of violation, remedy) over the columns of cards.
     Nulls count as empty; a null confidence is the default, 1."""
@@ -39,32 +68,33 @@ def card_rules() -> list[tuple[str, str, Column, str]]:
     tokens = T.semantic_tokens(c["extra"])
     thin = F.size(F.array_except(tokens, T.semantic_tokens(F.concat_ws(" ", c["front"], c["back"])))) == 0
     image = c["image_url"] != ""
-    return [
-        ("MISSING_CONTENT", "error", blank(c["front"]) | blank(c["back"]), "Add one clear prompt and its answer."),
-        ("MISSING_SOURCE", "error", blank(c["source"]), "Name the page, slide or line it comes from."),
-        ("UNLABELED_ENRICHMENT", "error", (c["origin"] == "generated-enrichment") & ~c["extra"].contains("Enrichment:"), "Mark added material with 'Enrichment:'."),
-        ("UNLABELED_INFERENCE", "warning", (c["origin"] == "inferred") & ~c["extra"].contains("Inference:"), "Mark it with 'Inference:' or as from the source."),
-        ("INVALID_CONFIDENCE", "error", F.isnan(confidence) | ~confidence.between(0, 1), "Give a confidence from 0 to 1."),
-        ("INVALID_KNOWLEDGE_KIND", "error", ~c["knowledge_kind"].isin(*V.KNOWLEDGE_KINDS), "Use a known kind of knowledge."),
-        ("INVALID_LEARNING_PURPOSE", "error", ~c["learning_purpose"].isin(*V.LEARNING_PURPOSES), "Use a known purpose."),
-        ("INVALID_ORIGIN", "error", ~c["origin"].isin(*V.ORIGINS), "Use a known origin."),
-        ("FRONT_TOO_LONG", "error", T.word_count(c["front"]) > V.MAX_FRONT_WORDS, "Shorten or split the prompt."),
-        ("MISSING_EXPLANATION", "error", blank(c["extra"]), "Explain the answer in the extra."),
-        ("MISSING_CONTEXT", "error", T.needs_context(c["front"], c["back"]) & blank(c["context"]), "Give the background it takes for granted."),
-        ("INVALID_CARD_TYPE", "error", ~c["card_type"].isin(*V.CARD_TYPES), "Use a known card type."),
-        ("CLOZE_FORMAT", "error", (c["card_type"] == "cloze") & ~cloze, "Mark a deletion or change the type."),
-        ("TYPE_FORMAT_MISMATCH", "error", (c["card_type"] != "cloze") & cloze, "Ask directly or make it a cloze card."),
-        ("REVERSE_FORMAT", "error", (c["card_type"] == "reverse") & ~c["front"].startswith("Which term means:"), "Ask for the term of a definition or change the type."),
-        ("LIST_SIZE", "error", is_list & ~sized, "Give three to eight items."),
-        ("MNEMONIC_MISMATCH", "error", is_list & sized & (prefix != T.initials(items)), "Start the mnemonic with the initials of the items."),
-        ("COGNITIVE_LOAD", "error", ~is_list & (T.component_estimate(c["back"]) > V.MAX_COMPONENTS), "Split it into cards of at most four parts."),
-        ("ATOMICITY_REVIEW", "warning", ~is_list & T.looks_compound(c["back"]), "Split clauses that stand alone."),
-        ("MISSING_MNEMONIC", "error", (F.size(T.enumerated_items(c["back"])) >= 3) & blank(c["mnemonic"]), "Add a mnemonic for the set."),
-        ("GENERIC_PROMPT", "warning", T.is_generic(c["front"]), "Ask for one fact."),
-        ("THIN_EXPLANATION", "warning", thin, "Say why the fact holds."),
-        ("IMAGE_TYPE", "error", image & (c["card_type"] != "image-supported"), "Make it an image-supported card."),
-        ("IMAGE_ALT", "error", image & ~T.alt_explains(c["image_alt"]), "Say what the image cues."),
+    rules = [
+        ("MISSING_CONTENT", "error", blank(c["front"]) | blank(c["back"])),
+        ("MISSING_SOURCE", "error", blank(c["source"])),
+        ("UNLABELED_ENRICHMENT", "error", (c["origin"] == "generated-enrichment") & ~c["extra"].contains("Enrichment:")),
+        ("UNLABELED_INFERENCE", "warning", (c["origin"] == "inferred") & ~c["extra"].contains("Inference:")),
+        ("INVALID_CONFIDENCE", "error", F.isnan(confidence) | ~confidence.between(0, 1)),
+        ("INVALID_KNOWLEDGE_KIND", "error", ~c["knowledge_kind"].isin(*V.KNOWLEDGE_KINDS)),
+        ("INVALID_LEARNING_PURPOSE", "error", ~c["learning_purpose"].isin(*V.LEARNING_PURPOSES)),
+        ("INVALID_ORIGIN", "error", ~c["origin"].isin(*V.ORIGINS)),
+        ("FRONT_TOO_LONG", "error", T.word_count(c["front"]) > V.MAX_FRONT_WORDS),
+        ("MISSING_EXPLANATION", "error", blank(c["extra"])),
+        ("MISSING_CONTEXT", "error", T.needs_context(c["front"], c["back"]) & blank(c["context"])),
+        ("INVALID_CARD_TYPE", "error", ~c["card_type"].isin(*V.CARD_TYPES)),
+        ("CLOZE_FORMAT", "error", (c["card_type"] == "cloze") & ~cloze),
+        ("TYPE_FORMAT_MISMATCH", "error", (c["card_type"] != "cloze") & cloze),
+        ("REVERSE_FORMAT", "error", (c["card_type"] == "reverse") & ~c["front"].startswith("Which term means:")),
+        ("LIST_SIZE", "error", is_list & ~sized),
+        ("MNEMONIC_MISMATCH", "error", is_list & sized & (prefix != T.initials(items))),
+        ("COGNITIVE_LOAD", "error", ~is_list & (T.component_estimate(c["back"]) > V.MAX_COMPONENTS)),
+        ("ATOMICITY_REVIEW", "warning", ~is_list & T.looks_compound(c["back"])),
+        ("MISSING_MNEMONIC", "error", (F.size(T.enumerated_items(c["back"])) >= 3) & blank(c["mnemonic"])),
+        ("GENERIC_PROMPT", "warning", T.is_generic(c["front"])),
+        ("THIN_EXPLANATION", "warning", thin),
+        ("IMAGE_TYPE", "error", image & (c["card_type"] != "image-supported")),
+        ("IMAGE_ALT", "error", image & ~T.alt_explains(c["image_alt"])),
     ]
+    return [(code, level, bad, REMEDIES[code]) for code, level, bad in rules]
 
 
 def violations(cards: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from cardmill.operators import cards as C
 from cardmill.operators import knowledge as K
 from cardmill.operators import ordering as O
 from cardmill.operators import units as U
+from cardmill.operators.reports import CHECKS
 from cardmill.plans.data_quality import _CARDS, _records
 from cardmill.plans.knowledge import _C, _PLAIN, _V, _WORDS, _alt, sql_tokens
 from cardmill.sources.card_records import accepted
@@ -133,10 +134,35 @@ _RULES = {
     "IMAGE_TYPE": ("error", "image_url <> '' and card_type <> 'image-supported'"),
     "IMAGE_ALT": ("error", f"image_url <> '' and not (len({_WORDS.format(_PLAIN.format('image_alt'))}) >= 6 and regexp_matches(image_alt, '(?i){_alt((*V.RECALL_WORDS, 'relationship', 'spatial'))}'))"),
 }
-_TEXTS = ("front", "back", "extra", "context", "card_type", "image_url", "image_alt", "source", "knowledge_kind", "learning_purpose", "origin")
-_RULED = f"with c as (select {', '.join(f'coalesce({t}, {chr(39)}{chr(39)}) {t}' for t in _TEXTS)}, coalesce(confidence, 1.0) confidence from {_C}), p as (select *, {_PLAIN.format('front')} pf, {_PLAIN.format('back')} pb, {_V.format('front')} vf, front || ' ' || back fb from c)\n"
+_TEXTS = ("front", "back", "extra", "context", "mnemonic", "card_type", "image_url", "image_alt", "source", "knowledge_kind", "learning_purpose", "origin")
+_RULED = f"with c as (select {', '.join(f'coalesce({t}, {chr(39)}{chr(39)}) {t}' for t in _TEXTS)}, coalesce(confidence, 1.0) confidence, card_id, topic from {_C}), p as (select *, {_PLAIN.format('front')} pf, {_PLAIN.format('back')} pb, {_V.format('front')} vf, front || ' ' || back fb from c)\n"
+
+_LISTED = """
+, s as (select *, regexp_replace(pb, '(\\d),(\\d{3})\\b', '\\1' || chr(1) || '\\2', 'g') safe from p),
+i as (select *, list_filter(list_transform(case when contains(safe, ';') then string_split(safe, ';') else string_split(regexp_replace(safe, '(?i),?\\s+(?:and|or)\\s+', ', ', 'g'), ',') end,
+  lambda x: replace(trim(x, ' .'), chr(1), ',')), lambda x: x <> '') parts from s),
+l as (select *, case when regexp_matches(pb, '[,;]') and len(parts) >= 2 and len(list_filter(parts, lambda x: len(WORDS) > 12)) = 0 then parts else [] end items from i),
+m as (select *, case when len(items) between 3 and 8 and len(list_filter(items, lambda x: rtrim(lower(regexp_extract(x, '^\\s*(\\S+)', 1)), ',') in (SUBS) or regexp_matches(x, '[a-z]{3,}\\.\\s+["'']?[A-Z]')
+  or regexp_matches(x, '(?i)MARKS') or regexp_matches(trim(x), '^(?:[A-Z][A-Za-z-]+|[a-z]+s|[Tt]he\\s+\\w+|[Aa]n?\\s+\\w+)\\s+(?:\\w+\\s+){0,3}(?:\\w+ed|laid|made|became|appeared)\\b'))) < 2 then items else [] end answers,
+  case when regexp_matches(trim(pb, ' .'), '(?i)NOENUM') or len(list_filter(items, lambda x: regexp_matches(x, '(?i)VERBS'))) > 0 then [] else items end members from l),
+z as (select *, upper(array_to_string(list_transform(answers, lambda x: coalesce(nullif(regexp_extract(x, '[A-Za-z0-9]', 0), ''), 'X')), '')) initials from m)
+""".replace("WORDS", _WORDS.format("x")).replace("SUBS", _in(V.SUBORDINATORS)).replace("MARKS", _alt(V.CLAUSE_MARKERS)).replace("NOENUM", _alt(V.NO_ENUMERATION_WORDS)).replace("VERBS", _alt(V.RELATION_VERBS))
+_ALL = _RULES | {
+    "LIST_SIZE": ("error", "card_type = 'list' and len(answers) not between 3 and 8"),
+    "MNEMONIC_MISMATCH": ("error", "card_type = 'list' and len(answers) between 3 and 8 and upper(trim(split_part(mnemonic, ':', 1))) <> initials"),
+    "MISSING_MNEMONIC": ("error", "len(members) >= 3 and trim(mnemonic) = ''"),
+}
+_EACH = _RULED + _LISTED + ", b as (select card_id, unnest(list_filter([" + ", ".join(f"case when {test} then '{code}|{level}' end" for code, (level, test) in _ALL.items()) + "], lambda v: v is not null)) v from z)\n"
+_ACTIONS = "(values " + ", ".join(f"('{code}', '{action.replace(chr(39), chr(39) * 2)}')" for code, action in R.REMEDIES.items()) + ") a(code, action)"
+_count = lambda level: " + ".join(f"(coalesce({test}, false))::int" for lv, test in _ALL.values() if lv == level)
+_check = lambda codes: " or ".join(f"coalesce({_ALL[c][1]}, false)" for c in codes)
 
 SQL = {
+    "rule_counts": _EACH + "select split_part(v, '|', 1) code, split_part(v, '|', 2) as level, count(*) n from b group by 1, 2",
+    "remedies": _EACH + f"select action, count(*) n from b join {_ACTIONS} on a.code = split_part(v, '|', 1) group by 1",
+    "audit_checks": _RULED + _LISTED + " union all ".join(f"select '{name}' as check, count(*) filter ({_check(codes)}) = 0 passed, count(*) filter ({_check(codes)}) n_cards from z" for name, codes in CHECKS.items()),
+    "audit_summary": _RULED + _LISTED + f", t as (select *, {_count('error')} e, {_count('warning')} w from z) select count(*) cards, coalesce(sum(e), 0)::bigint errors, coalesce(sum(w), 0)::bigint warnings, count(*) filter (len({_WORDS.format('pf')}) > 19) fronts_over_limit, count(*) filter (image_url <> '') image_cards, count(distinct topic) topics, "
+    + ", ".join(f"count(*) filter (card_type = '{t}') \"{t.replace('-', '_')}\"" for t in V.CARD_TYPES) + ", case when coalesce(sum(e), 0) = 0 and count(*) > 0 then 'PASS' else 'FAIL' end verdict from t",
     "simple_rule_counts": _RULED + " union all ".join(f"select '{code}' code, '{level}' as level, count(*) n from p where {test} having count(*) > 0" for code, (level, test) in _RULES.items()),
     "duplicate_cards": f"select lower(coalesce(front, '')) front, lower(coalesce(back, '')) back, count(*) n from {_C} group by 1, 2 having count(*) > 1",
     "card_types": f"select card_type, count(*) n, count(distinct topic) topics from {_C} group by 1",
