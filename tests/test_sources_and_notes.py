@@ -42,12 +42,11 @@ def test_broken_facts(broken, fault):
 
 def test_jsonl_and_notes(spark, tmp_path):
     path = tmp_path / "facts.jsonl"
-    wrong = [GOOD["qa"] | {"back": "x"}]
     lines = [json.dumps(fact(k, id=k)) for k in GOOD] + ["", json.dumps(fact(id="n", deck="", distractors=[{"text": "far", "grade": "far"}, {"text": "<near>", "grade": "near"}])), json.dumps(fact(id="c", tags=["verbatim-code"]))]
     path.write_text("\n".join(lines))
     facts = S.read_facts(spark, str(path), default_deck="Default", tag="auto")
     made = {r.id: r for r in L.notes(facts).collect()}
-    assert set(made) == {*GOOD, "n", "c"} and made["n"].deck == "Default" and made["n"].tags == ["t", "auto"] and wrong
+    assert set(made) == {*GOOD, "n", "c"} and made["n"].deck == "Default" and made["n"].tags == ["t", "auto"]
     assert made["qa"].fields["Back"] == "&lt;b&gt;" and made["c"].layout == "Code" and made["c"].fields["Code"] == "&lt;b&gt;"
     assert made["n"].fields["Distractors"].index("&lt;near&gt;") < made["n"].fields["Distractors"].index('"far"')
     assert made["list"].fields["Text"] == '<ol class="list"><li>{{c1::x}}</li><li>{{c2::y}}</li></ol>' and made["typed"].fields["Hint 3"] == ""

@@ -58,7 +58,7 @@ def test_scalars(spark):
     assert value(spark, lambda a, b: T.stable_card_id(a, b), "f", "b") == __import__("hashlib").sha256(b"f\0b").hexdigest()[:16]
     assert value(spark, T.package_id, "Deck") == (1 << 30) + __import__("zlib").crc32(b"Deck") % (1 << 30)
     assert value(spark, T.definition_term, "What does osmosis mean?") == "osmosis" and value(spark, T.definition_term, "What is component 1 of 2 in x?") == ""
-    assert value(spark, T.independent_clauses, "Cells store energy and membranes control transport well") == ["Cells store energy.", "membranes control transport well."] or True
+    assert value(spark, T.independent_clauses, "Cells store energy and membranes control transport well") == ["Cells store energy.", "membranes control transport well."]
     assert value(spark, T.independent_clauses, "Market share increased, but profit fell because costs rose.") == ["Market share increased, but profit fell because costs rose."]
     assert [step_is_long(s) for s in ("10m", "23h", "24h", "1d", "x")] == [False, False, True, True, True] and parse_steps("10m, 1d") == ("10m", "1d")
 
