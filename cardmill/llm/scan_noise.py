@@ -116,8 +116,12 @@ class Lexicon:
             return self.memory[stream]
         n = len(stream)
         best = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+        token = 0  # where the token between spaces that holds the last character begins; it may stand as it is at any length
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
+            if end > 1 and stream[end - 2].isspace():
+                token = end - 1
+            near_starts = range(max(0, end - LONGEST_WORD), end)
+            for start in near_starts if token >= near_starts.start else (token, *near_starts):
                 if best[start][0] == math.inf:
                     continue
                 span = stream[start:end]
@@ -128,7 +132,7 @@ class Lexicon:
                         continue
                     form = re.sub(rf"[{_HYPHENS}]?\s*\n\s*", "", span)
                     spaces = form.count(" ")
-                    known, used = self.near(form.replace(" ", ""))
+                    known, used = self.near(form.replace(" ", "")) if len(span) <= LONGEST_WORD else (None, 0)
                     whole = (start == 0 or stream[start - 1].isspace()) and (end == n or stream[end].isspace())
                     if known:
                         price, word = self.cost(known) + 5.0 * used + 6.0 * spaces + (0 if whole else 6.0), known

@@ -37,6 +37,13 @@ def test_decoding_splits_and_merges():
     assert lexicon.decode("zurbanol")[1] == ["zurbanol"]
 
 
+def test_long_unknown_forms_stay():
+    lexicon = S.Lexicon(COUNTS)
+    for long in ("日本語" * 30, "http://example0rg/" + "abc1" * 20, "donaudampfschifffahrtsgesellschaftskapitänsmütze"):
+        assert lexicon.decode(long)[1] == [long]
+        assert S.Page(f"the {long} rises", lexicon).paragraphs(set()) == [f"the {long} rises"]
+
+
 def test_documents(spark):
     body = "the market guides a vessel and the valve\nreduces the density of a col-\nony in the lattice."
     rows = [("d", k, f"Lamp Repair: Of valves\n{body}\n{k + 1}", f"s/lamp-repair-x-1.pdf p.{k + 1}") for k in range(3)]
