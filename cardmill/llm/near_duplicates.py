@@ -9,11 +9,11 @@ triples or quadruples of them, so that a list's expected length stays below
 by 64-bit union sketches, whose differing bits can't exceed the differing words;
 what passes is verified by exact Jaccard similarity of the sets.
 
-Completeness: two records over the threshold share a list unless one of them has
-more than ``MOST_SKIPPED`` values, all rarer than the first few shared ones, that
-the other lacks. At 0.7 a set of up to 19 words can't have so many, so no pair of
-such sets is lost; of longer sets a pair is lost only if its differences are nearly
-all among the rarest words of one side.
+Completeness: every pair over the threshold shares a list. Two sets of given sizes
+differ in at most D words. The words are dealt into parts, the more the larger the
+smaller set is; if part i may hold t[i] differences and the sum of t[i] + 1 is D + 1,
+some part holds no more than its t[i]. The lists of a part are kept for all ways to
+skip so many of its values, so the two sets meet in a list of that part.
 
 Records with equal sets are one class and are compared once, through any number
 of copies.
@@ -21,6 +21,7 @@ of copies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +34,8 @@ from cardmill.sources.tables import materialize, table
 
 LIST_LENGTH = 256
 LONGEST_KEY = 4
-MOST_SKIPPED = 5
+#: A pair whose smaller set has fewer words has one part; parts double as that size doubles.
+FIRST_PARTED = 14
 #: A word in fewer than one of so many records counts as having just that
 #: frequency. The table of the others has at most this number times the mean
 #: set size of rows, whatever the size of the collection.
@@ -57,10 +59,31 @@ def record_sets(records: DataFrame, key: str, *texts: str) -> DataFrame:
     return rows.select("id", F.xxhash64("words").alias("class_id"), F.size("words").alias("n"), bit.alias("bits"), "words")
 
 
-def skipped(n: np.ndarray, threshold: float) -> np.ndarray:
-    """How many values of a set of ``n`` a partner over the threshold may lack, at
-    most ``MOST_SKIPPED``."""
-    return np.minimum(n - np.ceil(threshold * n - 1e-9), MOST_SKIPPED).astype(int)
+def size_classes(largest: int) -> list[tuple[int, int, int]]:
+    """(least, most, parts) for the size of the smaller set of a pair."""
+    out = [(1, FIRST_PARTED - 1, 1)]
+    while out[-1][1] < largest:
+        least, parts = out[-1][1] + 1, out[-1][2] * 2
+        out.append((least, 2 * least - 1, parts))
+    return out
+
+
+def skips(largest: int, least: int, most: int, parts: int, threshold: float) -> np.ndarray:
+    """[part, n]: how many values of a part a set of ``n`` words may have to skip to
+    meet a partner over the threshold, if the smaller of both sets has ``least`` to
+    ``most`` words; -1 if it has no such partner."""
+    out = np.full((parts, largest + 1), -1)
+    for n in range(least, largest + 1):
+        other = np.arange(max(1, math.ceil(threshold * n - 1e-9)), math.floor(n / threshold + 1e-9) + 1)
+        smaller = np.minimum(other, n)
+        other = other[(smaller >= least) & (smaller <= most)]
+        shared = np.ceil(threshold / (1 + threshold) * (n + other) - 1e-9).astype(int)
+        other, shared = other[shared <= np.minimum(other, n)], shared[shared <= np.minimum(other, n)]
+        if len(other):
+            for part in range(parts):
+                allowed = (n + other - 2 * shared + 1 + part) // parts - 1
+                out[part, n] = np.minimum(allowed, n - shared).max()
+    return out
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -72,39 +95,64 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def list_keys(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: np.ndarray, total: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the inverted lists in which each set stands.
-
-    A key is a run of retained values, in order and with some left out, that ends
-    where its expected number of records is at most LIST_LENGTH, or it has
-    LONGEST_KEY values, or the set has no more.
-    """
-    width = MOST_SKIPPED + LONGEST_KEY
+    """(row, key) of the inverted lists in which each set stands."""
     rows = np.repeat(np.arange(len(sizes)), sizes)
     where = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
     known = (common[where] == flat) if len(common) else np.zeros(len(flat), bool)
     df = np.where(known, counts[where] if len(common) else 1, max(1, total // RARE)).astype(float)
     order = np.lexsort((flat, df, rows))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    place = np.arange(len(flat)) - np.repeat(starts, sizes)
+    rows, flat, df = rows[order], flat[order], df[order]
+    dealt = _mixed(flat)
+    largest = int(sizes.max()) if len(sizes) else 0
+    out_rows, out_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for least, most, parts in size_classes(largest):
+        table_ = skips(largest, least, most, parts, threshold)
+        for part in range(parts):
+            skip = table_[part][sizes]
+            taken = np.flatnonzero(skip >= 0)
+            if not len(taken):
+                continue
+            here = (skip[rows] >= 0) & (dealt % np.uint64(parts) == part)
+            renamed = np.zeros(len(sizes), np.int64)
+            renamed[taken] = np.arange(len(taken))
+            made, keys = _part_keys(flat[here], df[here], renamed[rows[here]], skip[taken], total, parts * 1_000_003 + part)
+            out_rows.append(taken[made])
+            out_keys.append(keys)
+    return np.concatenate(out_rows), np.concatenate(out_keys).view(np.int64)
+
+
+def _part_keys(flat: np.ndarray, df: np.ndarray, rows: np.ndarray, skip: np.ndarray, total: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the lists of one part; the values of a row are in order.
+
+    A key is a run of retained values, in order and with some left out, that ends
+    where its expected number of records is at most LIST_LENGTH, or it has
+    LONGEST_KEY values, or the part has no more or the rest may be skipped.
+    """
+    sizes = np.bincount(rows, minlength=len(skip))
+    most_skipped = int(skip.max())
+    width = most_skipped + LONGEST_KEY
+    place = np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     kept = place < width
     value = np.zeros((len(sizes), width), np.int64)
     freq = np.ones((len(sizes), width))
-    value[rows[kept], place[kept]] = flat[order][kept]
-    freq[rows[kept], place[kept]] = df[order][kept]
-    skip, have = skipped(sizes, threshold), np.minimum(sizes, width)
-    out_rows, out_keys = [], []
+    value[rows[kept], place[kept]] = flat[kept]
+    freq[rows[kept], place[kept]] = df[kept]
+    have = np.minimum(sizes, width)
+    empty = np.flatnonzero(sizes <= skip)  # nothing of the part need be shared
+    start = _mixed(np.array([salt]))[0]
+    out_rows, out_keys = [empty], [np.full(len(empty), start)]
 
     def grow(chosen: tuple[int, ...], alive: np.ndarray, expected: np.ndarray, key: np.ndarray) -> None:
         """``alive``: rows for which ``chosen`` is a key that isn't ended yet."""
         first = chosen[-1] + 1 if chosen else 0
-        for at in range(first, min(width, len(chosen) + MOST_SKIPPED + 1)):
+        for at in range(first, min(width, len(chosen) + most_skipped + 1)):
             ok = (at - len(chosen) <= skip[alive]) & (at < have[alive])
             if not ok.any():
                 continue
             now = alive[ok]
             grown = expected[ok] * freq[now, at] / max(total, 1)
             made = _mixed(key[ok] ^ _mixed(value[now, at]))
-            ended = (grown <= LIST_LENGTH) | (len(chosen) + 1 == LONGEST_KEY) | (have[now] == at + 1)
+            ended = (grown <= LIST_LENGTH) | (len(chosen) + 1 == LONGEST_KEY) | (sizes[now] == at + 1)
             # Sets whose rest may be wholly skipped can end here as well.
             short = ~ended & (sizes[now] - (len(chosen) + 1) <= skip[now])
             out_rows.append(now[ended | short])
@@ -112,11 +160,8 @@ def list_keys(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: n
             if not ended.all():
                 grow((*chosen, at), now[~ended], grown[~ended], made[~ended])
 
-    everyone = np.arange(len(sizes))
-    grow((), everyone, np.full(len(sizes), float(total)), np.zeros(len(sizes), np.uint64))
-    if not out_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_rows), np.concatenate(out_keys).view(np.int64)
+    grow((), np.arange(len(sizes)), np.full(len(sizes), float(total)), np.full(len(sizes), start))
+    return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
 def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:

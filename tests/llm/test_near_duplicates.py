@@ -46,6 +46,20 @@ def test_equals_all_pairs(spark, seed, threshold, words):
     assert len(found) >= 0.99 * len(wanted)
 
 
+def test_no_pair_is_lost_whatever_the_rare_words():
+    rng = np.random.default_rng(1)
+    common = np.sort(rng.choice(1 << 40, 400, replace=False))
+    counts = rng.integers(3000, 9000, 400)
+    for _ in range(300):
+        n = int(rng.integers(8, 90))
+        shared = rng.choice(common, n, replace=False)
+        own = int(0.3 / 0.7 * n + 1e-9)  # words that only one of both has, all rarer than the shared ones
+        left = int(rng.integers(0, own + 1))
+        a, b = (np.sort(np.concatenate((shared, rng.choice(1 << 40, k) + (1 << 41)))) for k in (left, own - left))
+        keys = [set(N.list_keys(s, np.array([len(s)]), common, counts, 10_000, 0.7)[1]) for s in (a, b)]
+        assert keys[0] & keys[1], (n, left, own)
+
+
 def test_many_copies_are_one_class(spark):
     rows = [(f"c{k}", "one two three four five", None) for k in range(300)] + [("x", "one two three four five six", None), ("x", "one two three four five six", None), (None, "one two", None), ("e", "", None), ("n", None, None)]
     sets = N.record_sets(spark.createDataFrame(rows, "card_id string, front string, back string"), "card_id", "front", "back")
