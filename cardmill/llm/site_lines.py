@@ -2,15 +2,18 @@
 
 Every line becomes an identifier of its letters; a file is the sequence of its
 line identifiers. PrefixSpan grows frequent sequences per site: lines with
-enough distinct files are the frequent sequences of length one; each further
-round extends a frequent sequence by the next frequent line of its projections.
+enough distinct files are the frequent sequences of length one; a frequent sequence
+is extended by every frequent line of its projections until none is left.
 All lines of a frequent sequence are frequent themselves, so the lines to delete
 are those of the first round; longer sequences tell which stand together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.sources.tables import table
@@ -19,7 +22,6 @@ from cardmill.sources.tables import table
 MONTHS = "january february march april may june july august september october november december".split()
 MIN_FILES = 3
 MIN_SHARE = 0.04
-MAX_LENGTH = 4
 _PDF_PAGE = r"\sp\.\d+(?:\s*\(OCR\))?\s*$"
 
 
@@ -67,33 +69,53 @@ def repeated_lines(chunks: DataFrame, min_files: int = MIN_FILES, min_share: flo
     return lines.join(frequent, ["site", "line_id"], "left_semi").select("doc_id", "chunk_pos", "line_no").distinct()
 
 
-def frequent_sequences(chunks: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, max_length: int = MAX_LENGTH) -> DataFrame:
-    """PrefixSpan: (site, sequence array<long>, support) up to ``max_length``.
-
-    Sequences are of frequent lines that follow each other in a chunk once lines
-    that are not frequent are left out. Each round works on the projections of
-    the frequent sequences of the round before, in (site, chunk, place).
+def _grown(key: tuple, projected: pd.DataFrame, need: float, max_length: int | None) -> Iterator[tuple[list[int], int]]:
+    """(sequence, support) of the frequent sequences that begin with one line, depth
+    first. ``projected``: what follows that line in each file, with the number of files."""
+    rests, files = [tuple(r) for r in projected["rest"]], [int(n) for n in projected["files"]]
+    stack = [([key[1]], [(i, 0) for i in range(len(rests))], sum(files))]
+    while stack:
+        sequence, places, support = stack.pop()
+        yield sequence, support
+        if max_length is not None and len(sequence) >= max_length:
+            continue
+        following: dict[int, list[tuple[int, int]]] = {}
+        for i, start in places:
+            rest, seen = rests[i], set()
+            for at in range(start, len(rest)):
+                if rest[at] not in seen:
+                    seen.add(rest[at])
+                    following.setdefault(rest[at], []).append((i, at + 1))
+        for line, own in following.items():
+            support = sum(files[i] for i, _ in own)
+            if support >= need:
+                stack.append(([*sequence, line], own, support))
+
+
+def frequent_sequences(chunks: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, max_length: int | None = None) -> DataFrame:
+    """PrefixSpan: (site, sequence array<long>, support), of any length unless ``max_length`` is given.
+
+    A file is the sequence of its frequent lines over all its chunks, and a sequence
+    may leave out lines between its own. Files with equal sequences are combined
+    before they are projected on each first line; a projection, with equal rests
+    combined again, is grown in one task.
     """
     lines = site_lines(chunks)
-    frequent = frequent_lines(lines, site_files(chunks), min_files, min_share)
-    kept = lines.join(frequent.select("site", "line_id"), ["site", "line_id"], "left_semi")
-    chunk = Window.partitionBy("site", "doc_id", "chunk_pos").orderBy("line_no")
-    kept = kept.distinct().withColumn("place", F.row_number().over(chunk)).select("site", "doc_id", "chunk_pos", "place", "line_id")
     files = site_files(chunks)
-    found = frequent.select("site", F.array("line_id").alias("sequence"), "support")
-    projected = kept.select("site", "doc_id", "chunk_pos", "place", F.array("line_id").alias("sequence"))
-    for _ in range(max_length - 1):
-        nxt = kept.select("site", "doc_id", "chunk_pos", (F.col("place") - 1).alias("place"), F.col("line_id").alias("added"))
-        grown = projected.join(nxt, ["site", "doc_id", "chunk_pos", "place"]).select(
-            "site", "doc_id", "chunk_pos", (F.col("place") + 1).alias("place"), F.concat("sequence", F.array("added")).alias("sequence")
-        )
-        support = (
-            grown.select("site", "sequence", "doc_id").distinct().groupBy("site", "sequence").agg(F.count("doc_id").alias("support"))
-            .where(F.col("support") >= min_files).join(files, "site").where(F.col("support") >= F.lit(min_share) * F.col("n_files")).drop("n_files")
-        )
-        found = found.unionByName(support)
-        projected = grown.join(support.select("site", "sequence"), ["site", "sequence"], "left_semi")
-    return found
+    frequent = frequent_lines(lines, files, min_files, min_share)
+    kept = lines.where("doc_id is not null").join(frequent.select("site", "line_id"), ["site", "line_id"], "left_semi").distinct()
+    in_order = F.array_sort(F.collect_list(F.struct("chunk_pos", "line_no", "line_id")))
+    whole = kept.groupBy("site", "doc_id").agg(F.transform(in_order, lambda x: x["line_id"]).alias("whole")).groupBy("site", "whole").agg(F.count("*").alias("files"))
+    firsts = whole.select("site", "whole", "files", F.explode(F.array_distinct("whole")).alias("first"))
+    rest = F.expr("slice(whole, cast(array_position(whole, first) as int) + 1, size(whole))")
+    projected = firsts.select("site", "first", rest.alias("rest"), "files").groupBy("site", "first", "rest").agg(F.sum("files").alias("files"))
+
+    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        need = max(min_files, min_share * int(batch.n_files.iloc[0]))
+        made = list(_grown(key, batch, need, max_length))
+        return pd.DataFrame({"site": key[0], "sequence": [s for s, _ in made], "support": [n for _, n in made]})
+
+    return projected.join(files, "site").groupBy("site", "first").applyInPandas(run, "site string, sequence array<bigint>, support bigint")
 
 
 def without_repeated_lines(chunks: DataFrame) -> DataFrame:

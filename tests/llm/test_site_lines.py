@@ -35,5 +35,16 @@ def test_sequences_and_clean_texts(spark):
     assert texts == {("d0", 0): "my own a", ("d1", 0): "my own b", ("d2", 0): "my own c", ("z", 1): None, ("z", 2): ""}
 
 
+def test_sequences_with_gaps_across_chunks_of_any_length(spark):
+    order = "alpha beta gamma delta epsilon zeta".split()
+    rows = [(f"d{k}", pos, "\n".join(order[3 * pos : 3 * pos + 3]), "s/x") for k in range(3) for pos in (1, 0)]
+    rows += [(f"e{k}", 0, f"alpha\n{'kappa' if k % 2 else 'gamma'}\nzeta", "s/x") for k in range(3)] + [(None, 0, "zeta\nalpha", "s/x")] * 3
+    made = [(len(r.sequence), r.support) for r in L.frequent_sequences(chunks(spark, rows + rows)).collect()]
+    # all subsequences of six lines: 6, 15, 20, 15, 6, 1
+    assert [sum(n == size for n, _ in made) for size in range(1, 8)] == [6, 15, 20, 15, 6, 1, 0]
+    assert sorted(s for n, s in made if n == 2)[-1] == 6 and sorted(s for n, s in made if n == 3)[-1] == 5
+    assert max(len(r.sequence) for r in L.frequent_sequences(chunks(spark, rows), max_length=2).collect()) == 2
+
+
 def test_empty(spark):
     assert found(chunks(spark, [])) == set() and L.frequent_sequences(chunks(spark, [])).count() == 0
