@@ -9,8 +9,8 @@ is empty.
 The CRF has no labelled cards to learn from. It is fitted on a bounded sample of
 the cards (``SAMPLE``), taken by hash over all of them: their clauses as they are
 stand for answers, and copies of them are spoiled in each of the four ways. What
-the sample knows of endings (which words end a clause, which patterns of function
-words go on) becomes features.
+all cards tell of endings (which words end a clause, which patterns of function
+words go on) is counted over the whole table and becomes features.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.sources.tables import spread, table
+from cardmill.sources.tables import materialize, spread, table
 
 SAMPLE = 12_000
+#: Patterns a task holds before it hands its counts on.
+HELD_PATTERNS = 300_000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Spoiled clauses are far more frequent in the fit than among cards; their log
 #: odds are lowered by so much afterwards.
@@ -116,6 +118,9 @@ def skeleton(words: list[str]) -> list[str]:
     return out
 
 
+COUNTERS = ("last", "inner", "tail_last", "tail_inner", "whole", "part")
+
+
 class Endings:
     """How clauses end: by last word, by its ending, by pattern of function words."""
 
@@ -129,6 +134,28 @@ class Endings:
         self.beginnings = {w[:k] for w, n in self.inner.items() if n >= 2 for k in range(1, len(w))}
         return self
 
+    @classmethod
+    def of_counts(cls, counts: Iterable[tuple[str, str, int]]) -> Endings:
+        """Endings from (counter, key, count)."""
+        made = cls()
+        for counter, key, n in counts:
+            getattr(made, counter)[key] = int(n)
+        return made.settle()
+
+    def counts(self) -> Iterator[tuple[str, str, int]]:
+        for counter in COUNTERS:
+            for key, n in getattr(self, counter).items():
+                yield counter, key, n
+
+    def learn_field(self, text: str | None, front: str | None, card_type: str | None) -> None:
+        """The clauses of a field that stand for whole ones."""
+        if card_type == "cloze" or is_empty(text) or is_empty(front):
+            return
+        for part in clauses(text):
+            words = _WORD.findall(part.lower())
+            if words and part.rstrip()[-1] not in ",-–(;:…":
+                self.learn(words)
+
     def learn(self, words: list[str]) -> None:
         patterns = skeleton(words)
         self.last[words[-1]] += 1
@@ -294,10 +321,11 @@ def _spoiled(rng: np.random.Generator, front: str, parts: list[str], others: lis
             yield other, [3] * len(other)
 
 
-def fit(sample: list[tuple[str | None, str | None, str | None, str | None]], seed: int = 7) -> tuple[Crf, Endings]:
-    """CRF and endings from (front, back, extra, card_type) of a sample of cards."""
+def fit(sample: list[tuple[str | None, str | None, str | None, str | None]], seed: int = 7, endings: Endings | None = None) -> tuple[Crf, Endings]:
+    """CRF and endings from (front, back, extra, card_type) of a sample of cards;
+    ``endings`` of more cards than the sample are used if given."""
     rng = np.random.default_rng(seed)
-    endings = Endings()
+    known, endings = endings, endings or Endings()
     fields: list[tuple[str, str, list[str], bool, str]] = []
     by_lang: dict[int, list[str]] = {}
     for front, back, extra, kind in sample:
@@ -308,16 +336,15 @@ def fit(sample: list[tuple[str | None, str | None, str | None, str | None]], see
             parts = clauses(text)
             if not parts:
                 continue
-            for part in parts:
-                words = _WORD.findall(part.lower())
-                if words and kind != "cloze" and part.rstrip()[-1] not in ",-–(;:…":
-                    endings.learn(words)
+            if known is None:
+                endings.learn_field(text, front, kind)
             fields.append((front, text, parts, is_extra, kind or ""))
             if lang >= 0 and len(text.split()) > 5:
                 votes = language_votes(_WORD.findall(text.lower()), text)
                 if int(votes.argmax()) == lang:
                     by_lang.setdefault(lang, []).append(text)
-    endings.settle()
+    if known is None:
+        endings.settle()
     sequences = []
     for front, _, parts, is_extra, kind in fields:
         asked = Front(front, kind)
@@ -373,22 +400,55 @@ def pair_defect(crf: Crf, endings: Endings, front: str | None, back: str | None,
     return next((d for d in ("refusal", "copy", "language", "truncated") if d in found), None)
 
 
+def all_endings(cards: DataFrame) -> Endings:
+    """Endings of all distinct cards. Each task adds up its own counts first. Words
+    and patterns are looked up only from three occurrences on and beginnings from
+    two, so patterns that come up less than three times stay out of the table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Endings()
+        for batch in batches:
+            for front, back, extra, kind in zip(batch.front, batch.back, batch.extra, batch.card_type):
+                for text in (back, extra):
+                    own.learn_field(*(t if isinstance(t, str) else None for t in (text, front, kind)))
+            if len(own.part) > HELD_PATTERNS:
+                yield pd.DataFrame(own.counts(), columns=["counter", "key", "n"])
+                own = Endings()
+        yield pd.DataFrame(own.counts(), columns=["counter", "key", "n"])
+
+    rows = cards.select("card_id", "front", "back", "extra", "card_type").distinct()
+    counts = rows.mapInPandas(run, "counter string, key string, n bigint").groupBy("counter", "key").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "endings")
+    pattern = F.col("counter").isin("whole", "part")
+    both = counts.where(pattern).groupBy("key").agg(*(F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("whole", "part"))).where(F.col("whole") + F.col("part") >= 3)
+    seen = both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("counter"), "key", F.col(c).alias("n")) for c in ("whole", "part")))).alias("x")).select("x.*").where("n > 0")
+    table_ = counts.where(~pattern).unionByName(seen).toPandas()
+    return Endings.of_counts(table_.itertuples(index=False))
+
+
+def drawn(rows: DataFrame, sample: int) -> list:
+    """The ``sample`` distinct rows of least hash, in that order."""
+    # Only rows whose hash falls below a bar go to the driver, about a fifth more than
+    # wanted; sorting all rows would send ``sample`` rows of every task.
+    rows = rows.distinct().withColumn("at", F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)))
+    total = rows.count()
+    bar = min(1.0, (1.2 * sample + 100) / max(total, 1))
+    low = rows.where(F.col("at") < int(bar * (1 << 40))).collect()
+    return sorted(low, key=lambda r: (r["at"], str(r)))[:sample]
+
+
 def find_defects(cards: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(card_id, defect), one row per defective card.
 
-    Every card is judged; only the fit uses the sample. Null and blank fronts and
-    backs are ``empty``; a null or blank extra is no defect; null ids come out as
-    null; repeated rows count once; an empty table gives no rows. Should rows of
-    one id differ, the first defect in alphabetical order is given.
+    Every card is judged, and every card counts for the endings; only the fit of the
+    CRF uses the sample. Null and blank fronts and backs are ``empty``; a null or
+    blank extra is no defect; null ids come out as null; repeated rows count once; an
+    empty table gives no rows. Should rows of one id differ, the first defect in
+    alphabetical order is given.
     """
     spark = cards.sparkSession
     rows = cards.select("card_id", "front", "back", "extra", "card_type")
-    # Distinct rows whose hash falls below a bar; sorting all rows for the least hashes
-    # would send ``sample`` rows of every task to the driver.
-    bar = min(1.0, 1.2 * sample / max(rows.count(), 1))
-    low = F.pmod(F.xxhash64("card_id", "front", "back"), F.lit(1 << 40)) < int(bar * (1 << 40))
-    drawn = sorted(rows.where(low).distinct().limit(sample).collect(), key=str)  # at most ``sample`` rows
-    crf, endings = fit([(r.front, r.back, r.extra, r.card_type) for r in drawn])
+    crf, endings = fit([(r.front, r.back, r.extra, r.card_type) for r in drawn(rows, sample)], endings=all_endings(rows))
     shared = spark.sparkContext.broadcast((crf, endings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

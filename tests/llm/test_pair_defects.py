@@ -81,3 +81,23 @@ def test_rows(spark, cards):
     found = {r.card_id: r.defect for r in D.find_defects(data, sample=200).collect()}
     assert found["x"] == "empty" and found[None] == "empty" and len(found) < 12
     assert D.find_defects(data.limit(0)).count() == 0
+
+
+def test_endings_are_counted_over_all_cards(spark, cards):
+    rows = [(f"c{k}", *c, "clash") for k, c in enumerate(cards[:600])]
+    data = spark.createDataFrame(rows + rows[:50], FIELDS)
+    whole = D.Endings()
+    for front, back, extra, kind in cards[:600]:
+        whole.learn_field(back, front, kind)
+        whole.learn_field(extra, front, kind)
+    got = D.all_endings(data)
+    assert got.last == whole.last and got.inner == whole.inner and got.tail_last == whole.tail_last and got.tail_inner == whole.tail_inner
+    seen = {p for p in {*whole.whole, *whole.part} if whole.whole[p] + whole.part[p] >= 3}
+    assert set(got.whole) | set(got.part) == seen and all(got.whole[p] == whole.whole[p] and got.part[p] == whole.part[p] for p in seen)
+
+
+def test_the_sample_is_the_rows_of_least_hash(spark, cards):
+    rows = [(f"c{k}", *c) for k, c in enumerate(cards[:400])]
+    fields = "card_id string, front string, back string, extra string, card_type string"
+    one, other = (D.drawn(spark.createDataFrame(r, fields).repartition(n), 100) for r, n in ((rows, 1), (rows[::-1] + rows[:9], 5)))
+    assert one == other and len(one) == 100
