@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from cardmill.sources.tables import materialize, spread, table
 
-#: Words counted as frequent enough to be in the lexicon: at least one in so many
-#: of all words. Thus the lexicon has at most that many entries at any size.
-LEXICON_BOUND = 1_000_000
+#: So often a word must stand on scanned pages to be in the lexicon without clean text.
+LEAST_SCANNED = 3
 MOST_CONFUSED = 3
 LONGEST_WORD = 40
 PDF_PAGE = r"\sp\.\d+(?:\s*\(OCR\))?\s*$"
@@ -360,29 +359,39 @@ def page_words(chunks: DataFrame) -> DataFrame:
 
 
 def lexicon_counts(chunks: DataFrame) -> dict[str, int]:
-    """The lexicon: at most LEXICON_BOUND words, by a floor on their frequency."""
-    words = page_words(chunks)
-    # Words are at least a letter and a sign apart, so there are no more than half the characters.
-    most = (chunks.agg(F.sum(F.length("text"))).first()[0] or 0) / 2
-    floor = max(2.0, most / LEXICON_BOUND)
-    rows = words.where(F.length("w") <= LONGEST_WORD).where((F.col("n") >= floor)).toPandas()
-    return settle(dict(zip(rows.w, zip(rows.n.astype(int), rows.clean.astype(int)))))
+    """The lexicon: every word of clean text, and words of scanned text that are no
+    confusion of a word five times as frequent. The clean words alone decide what is
+    a confusion, so the others are judged in the tasks, and only those kept are collected."""
+    words = materialize(page_words(chunks), "words")
+    rows = words.where("clean > 0").toPandas()
+    known = dict(zip(rows.w, rows.n.astype(int)))
+    others = words.where("clean = 0")
+    if not known:
+        rows = others.where("n >= 2").toPandas()
+        return settle({w: (int(n), 0) for w, n in zip(rows.w, rows.n)})
+    shared, name = chunks.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = worker_lexicon(name, shared.value)
+        for batch in batches:
+            yield batch[[belongs(base, w, n) for w, n in zip(batch.w, batch.n)]]
+
+    rows = others.where(F.col("n") >= LEAST_SCANNED).select("w", "n").mapInPandas(run, "w string, n bigint").toPandas()
+    return known | dict(zip(rows.w, rows.n.astype(int)))
+
+
+def belongs(base: Lexicon, word: str, n: int) -> bool:
+    """Whether a word that only scanned text has, ``n`` times, is a word and no confusion."""
+    near, _ = base.near(word)
+    return word.isascii() and (near is None or base.counts[near] < 5 * n)
 
 
 def settle(counts: dict[str, tuple[int, int]]) -> dict[str, int]:
-    """Words seen in clean text, and words of scanned text that are no confusion
-    of a word five times as frequent."""
+    """Words seen in clean text, or of ASCII letters if there is none, and words of
+    scanned text that are no confusion of a word five times as frequent."""
     known = {w: n for w, (n, clean) in counts.items() if clean} or {w: n for w, (n, _) in counts.items() if w.isascii()}
     base = Lexicon(known)
-    extra = {}
-    for w, (n, clean) in counts.items():
-        if w in known or n < 3:
-            continue
-        near, _ = base.near(w)
-        if near is None or known[near] < 5 * n:
-            if w.isascii() or clean:
-                extra[w] = n
-    return known | extra
+    return known | {w: n for w, (n, _) in counts.items() if w not in known and n >= LEAST_SCANNED and belongs(base, w, n)}
 
 
 _WORKER: dict[str, Lexicon] = {}

@@ -44,6 +44,14 @@ def test_long_unknown_forms_stay():
         assert S.Page(f"the {long} rises", lexicon).paragraphs(set()) == [f"the {long} rises"]
 
 
+def test_rare_clean_words_are_kept_at_any_size(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitänsmütze"
+    rows = [("n", 0, f"zurbanol and {long} twice", "s/n.md")] + [("m", k, "the market rises " * 20_000, "s/m.md") for k in range(17)]
+    rows += [("p", 0, "market porvane porvane porvane marquith\nmarkef markef markef", "s/p.pdf p.1")]
+    counts = S.lexicon_counts(spark.createDataFrame(rows, "doc_id string, chunk_pos int, text string, source string"))
+    assert counts == {"zurbanol": 1, "and": 1, long: 1, "twice": 1, "the": 340_000, "market": 340_001, "rises": 340_000, "porvane": 3}
+
+
 def test_documents(spark):
     body = "the market guides a vessel and the valve\nreduces the density of a col-\nony in the lattice."
     rows = [("d", k, f"Lamp Repair: Of valves\n{body}\n{k + 1}", f"s/lamp-repair-x-1.pdf p.{k + 1}") for k in range(3)]
