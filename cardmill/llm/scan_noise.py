@@ -1,13 +1,12 @@
 """Repair of text from scanned pages.
 
 A page's lines are told apart first: page numbers and running titles at the top
-or foot, body lines in between. The body is read as one stream of characters.
-Known words stand as they are; around every other stretch the stream is decoded
-anew: a dynamic programme over its characters picks the words of least cost,
-where a word may span a space (split), end without one (merge), differ by
-confusions of the scanner, or go over a line end with or without a hyphen. The
-words come from the whole collection. Paragraph boundaries are those of least
-total cost over the lines of a page.
+or foot, body lines in between. Words of the body are judged one by one: known ones
+stand as they are, others are misread if few confusions of the scanner lead to a
+known word. Words divided at a line end are joined, and each misread word is decoded
+by itself. Spaces that are missing or too many between words are not put right. The
+words come from the whole collection. Paragraph boundaries are those of least total
+cost over the lines of a page.
 """
 
 from __future__ import annotations
