@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -234,15 +234,18 @@ def near_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, group) of the nodes of ``links`` (a, b): the least node reachable.
 
-    Large-star and small-star steps in turn; each round is written to the shared
-    folder, and only the number of changed edges comes to the driver.
+    Large-star and small-star steps in turn until a round changes nothing; each round
+    is written to the shared folder, and only count and checksum of the edges come to
+    the driver. Should ``most_rounds`` be given and run out, an error is raised.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise RuntimeError(f"groups still change after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -74,6 +74,12 @@ def test_chains_are_one_group(spark):
     assert {groups[k] for k in range(61)} == {0} and groups[101] == 100
 
 
+def test_groups_that_still_change_are_not_returned(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        N.components(links, most_rounds=2)
+
+
 def test_empty(spark):
     sets = N.record_sets(spark.createDataFrame([], "card_id string, front string, back string"), "card_id", "front", "back")
     assert N.near_pairs(sets).count() == 0 and N.near_groups(sets).count() == 0
