@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.operators.orphans import Reference, find_orphans, orphan_report
-from cardmill.sources.card_records import COLUMNS, accepted, parse_card_records, rejected
+from cardmill.sources.card_records import COLUMNS, accepted, card_files, parse_card_files, parse_card_records, rejected
 from cardmill.sources.tables import spread, table
 
 
@@ -41,6 +41,10 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return rejected(_records(spark, folder)).groupBy("reason").agg(F.count("*").alias("n_rows"))
 
 
+def p6_files(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_card_files(card_files(table(spark, folder, "card_csv_rows")))
+
+
 _ORPHANS = r"""
 with p as (
   select 'unit' parent, lower(trim(id, e' \t\r\n\f\v ')) ref, loaded_at, deleted_at from knowledge_units
@@ -79,7 +83,7 @@ _CELL = "case when fields[{n}] like '\"%' then replace(fields[{n}][2:-2], '\"\"'
 _CELLS = ", ".join(f'{_CELL.format(n=n)} "{name}"' for n, name in enumerate(COLUMNS[:-1], 1))
 _CARDS = _RECORDS + f", k as (select distinct deck_file, row_no, {_CELLS}, try_cast(nullif(trim({_CELL.format(n=len(COLUMNS))}), '') as double) \"Confidence\" from j where reason is null)\n"
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_cards": p6_cards, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p6_found": p6_found, "p6_cards": p6_cards, "p6_report": p6_report, "p6_files": p6_files}
 SQL = {
     "p1_found": _ORPHANS + "select * from found where status is not null",
     "p1_report": _ORPHANS + "select table_name, field, status, period, count(*) n_references, count(distinct ref_id) n_keys from found where status is not null group by 1, 2, 3, 4",

@@ -199,3 +199,12 @@ def parse_card_files(files: DataFrame) -> DataFrame:
     """Whole files of (deck_file, text): every record with the line it starts on,
     its fields or the reason and line of the error. Parsing goes on after errors."""
     return files.select("deck_file", "text").mapInPandas(_file_rows, "deck_file string, row_no int, line int, fields array<string>, reason string, error_line int")
+
+
+def card_files(rows: DataFrame) -> DataFrame:
+    """Whole files of (deck_file, text) put together from rows of (deck_file, row_no,
+    raw): a record and a line end each, by number, those without a number last.
+    Repeated rows with the same record stand once. A file is one value, in one task."""
+    own = rows.select("deck_file", "row_no", F.coalesce("raw", F.lit("")).alias("raw")).distinct()
+    records = F.array_sort(F.collect_list(F.struct(F.col("row_no").isNull().alias("last"), "row_no", "raw")))
+    return own.groupBy("deck_file").agg(F.array_join(F.transform(records, lambda r: r["raw"]), "\n").alias("text"))

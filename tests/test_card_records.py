@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cardmill.sources.card_records import COLUMNS, RecordParser, accepted, judge, parse_card_files, parse_card_records, rejected
+from cardmill.sources.card_records import COLUMNS, RecordParser, accepted, card_files, judge, parse_card_files, parse_card_records, rejected
 
 HEAD = ",".join(COLUMNS)
 
@@ -80,3 +80,14 @@ def test_files(spark):
     text = "﻿" + "\n".join([HEAD, record(), 'x"y,z', record(CardType="zzz")])
     made = parse_card_files(spark.createDataFrame([("f.csv", text)], "deck_file string, text string")).orderBy("row_no").collect()
     assert [(r.line, r.reason) for r in made] == [(1, None), (2, None), (3, "quoting"), (4, "card_type")]
+
+
+def test_files_put_together_from_rows(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [("d", 4, record(CardType="zzz")), ("d", 1, "\ufeff" + HEAD), ("d", 3, '"open,' + ",".join(["x"] * 18)), ("d", 2, record(Front="two\nlines")), ("d", 5, record(Front="after")), ("e", 1, record())]
+    data = spark.createDataFrame([*rows, *rows, ("d", None, record(Front="last"))], "deck_file string, row_no int, raw string")
+    assert card_files(data.where("deck_file = 'e'")).first().text == record()
+    data.write.parquet(str(tmp_path / "card_csv_rows.parquet"))
+    made = [(r.deck_file, r.row_no, r.line, r.reason) for r in queries()["p6_files"](spark, str(tmp_path)).orderBy("deck_file", "row_no").collect()]
+    assert made == [("d", 1, 1, None), ("d", 2, 2, None), ("d", 3, 4, "quoting"), ("d", 4, 5, "card_type"), ("d", 5, 6, None), ("d", 6, 7, None), ("e", 1, 1, None)]
