@@ -1,10 +1,13 @@
 """Repair of text from scanned pages.
 
 A page's lines are told apart first: page numbers and running titles at the top
-or foot, body lines in between. Words of the body are judged one by one: known ones
-stand as they are, others are misread if few confusions of the scanner lead to a
-known word. Words divided at a line end are joined, and each misread word is decoded
-by itself. Spaces that are missing or too many between words are not put right. The
+or foot, body lines in between. The body is one stream of characters, in which blanks
+and line ends are signs like others. Its words are those of least total cost: a word
+costs the more the rarer it is, confused characters, blanks inside words, missing
+blanks and hyphens kept at line ends cost extra, and what no known word accounts for
+costs most. Known words between blanks that can't be part of a longer word cost least
+as they stand; the stretches between them are decoded, with the neighbours into which
+a word may reach. Findings and repaired text both come from the decoded words. The
 words come from the whole collection. Paragraph boundaries are those of least total
 cost over the lines of a page.
 """
@@ -14,7 +17,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +28,10 @@ from cardmill.sources.tables import materialize, spread, table
 
 #: So often a word must stand on scanned pages to be in the lexicon without clean text.
 LEAST_SCANNED = 3
-MOST_CONFUSED = 3
-LONGEST_WORD = 40
+#: Prices of a confusion, of a blank too many or missing, and of a hyphen that stays at a line end.
+EDIT, BLANK, KEPT = 5.0, 6.0, 8.0
+#: Tokens and stretches a worker remembers.
+HELD = 500_000
 PDF_PAGE = r"\sp\.\d+(?:\s*\(OCR\))?\s*$"
 
 #: What a scanner reads, and what may have stood there.
@@ -36,7 +42,11 @@ CONFUSIONS = {
     "rn": "m", "cl": "d", "c1": "d", "c|": "d", "c!": "d", "(l": "d", "vv": "w", "ii": "u", "!i": "u", "i!": "u", "il": "u", "li": "hu", "nn": "m", "ru": "m", "ri": "n", "r!": "n", "rl": "n", "tl": "d", "m": ("rn", "in"), "d": ("cl",),
 }
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_HYPHENS = "-­¬‐‑"
+_HYPHENS = "-\u00ad¬‐‑"
+_SOFT = "\u00ad¬"
+_BETWEEN = " \n" + _HYPHENS
+_RUN = re.compile(rf"[^{_HYPHENS}\s]+")
+_INNER = re.compile(r"[^\W\d_][0-9|!()\[\]{}$@]+|[0-9|!()\[\]{}$@]+[^\W\d_]")
 _NUMBER = r"[0-9lIiOoSBbZz|!]{1,5}"
 _ROMAN = r"[ivxlc]{1,8}"
 _PAGE = re.compile(rf"(?:(?:[Pp][aoà@4][gq9][ecé3]|[Pp]\.|[Pp][gq]\.)\s*(?:{_NUMBER}|{_ROMAN})(?:\s*(?:of|oi|0f|/)\s*{_NUMBER})?|\[\s*(?:{_NUMBER}|{_ROMAN})\s*\]|\(\s*(?:{_NUMBER}|{_ROMAN})\s*\)|[-–—]\s*(?:{_NUMBER}|{_ROMAN})\s*[-–—]|(?=\S*[0-9]){_NUMBER}|[lIO|]{{2,4}}|{_ROMAN})\Z")
@@ -68,125 +78,208 @@ def title_key(line: str) -> str:
     return "".join(c for c in text if c.isalpha())
 
 
+class Reading(NamedTuple):
+    """A word read in a stretch of the stream; ``word`` is None where it isn't known."""
+
+    start: int
+    end: int
+    word: str | None
+    edits: int = 0
+    wrong: int = -1  # place of the first wrong character
+    hyphen: int = -1  # place of the hyphen at which a line end divides the word
+
+
 class Lexicon:
-    """Counts of known words, and decoding of what isn't known."""
+    """Known words with counts, and the decoding of streams of characters."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.counts = counts
         self.total = max(1, sum(counts.values()))
+        self.unit = math.log(self.total)
+        self.least = self.unit - math.log(max(counts.values(), default=1))
+        self.prefixes = {w[:k] for w in counts for k in range(1, len(w) + 1)}
+        self.longest = max(map(len, counts), default=0)
         self.first_parts = {w.partition("-")[0] for w in counts if "-" in w}
-        self.memory: dict[str, tuple[float, list[str]]] = {}
-        self.nearest: dict[str, tuple[str | None, int]] = {}
-        self.judged: dict[str, bool] = {}
+        self.memory: dict[str, tuple[float, list[Reading]]] = {}
+        self.tokens: dict[str, Token] = {}
 
     def cost(self, word: str) -> float:
-        return math.log(self.total / self.counts[word])
-
-    def near(self, form: str) -> tuple[str | None, int]:
-        """The known word with the fewest confusions to ``form``, and their number."""
-        if form in self.counts:
-            return form, 0
-        if form in self.nearest:
-            return self.nearest[form]
-        best: tuple[str | None, int] = (None, 0)
-        level = {form: 0}
-        for used in range(1, MOST_CONFUSED + 1):
-            grown: dict[str, int] = {}
-            for text, start in level.items():
-                for i in range(start, len(text)):
-                    for width in (1, 2):
-                        for right in CONFUSIONS.get(text[i : i + width], ()) if i + width <= len(text) else ():
-                            grown.setdefault(text[:i] + right + text[i + width :], i + len(right))
-            found = [w for w in grown if w in self.counts]
-            if found:
-                best = max(found, key=self.counts.__getitem__), used
-                break
-            level = grown if len(grown) <= 4000 else {}
-        if len(self.nearest) > 500_000:
-            self.nearest.clear()
-        self.nearest[form] = best
-        return best
-
-    def decode(self, stream: str) -> tuple[float, list[str]]:
-        """Words of least cost for a stretch of the stream; spaces may be wrong,
-        line ends (``\\n``) may divide words, with or without a hyphen."""
+        return self.unit - math.log(self.counts[word])
+
+    def unknown_cost(self, length: int) -> float:
+        return self.unit + 2.0 + EDIT * length / 3
+
+    def plausible(self, form: str, word: str, edits: int) -> bool:
+        """Whether a form of this length may be so misread: one character in three, two
+        of a frequent word, and short forms only if the word isn't rare."""
+        n = self.counts[word]
+        most = max(2 if n > self.total / 500 else 1, (len(form) + 1) // 3)
+        return edits <= most and (len(form) > 3 or n > self.total / 20_000 or bool(_INNER.search(form)))
+
+    def words_from(self, stream: str, start: int, most: int) -> list[tuple[Reading, int]]:
+        """Known words that may begin at ``start``, with at most ``most`` confusions, and
+        the blanks left out inside them. The search follows beginnings of known words."""
+        counts, prefixes, n = self.counts, self.prefixes, len(stream)
+        out = []
+        stack = [(start, "", 0, 0, -1, -1)]
+        while stack:
+            at, prefix, edits, blanks, wrong, hyphen = stack.pop()
+            if prefix in counts and stream[at - 1] not in " \n":
+                if not edits or self.plausible(stream[start:at].replace(" ", "").replace("\n", ""), prefix, edits):
+                    out.append((Reading(start, at, prefix, edits, wrong, hyphen), blanks))
+            if at >= n:
+                continue
+            c = stream[at]
+            if prefix and c in _HYPHENS and stream[at + 1 : at + 2] == "\n":
+                stack.append((at + 2, prefix, edits, blanks, wrong, at))
+                if c not in _SOFT and prefix + "-" in prefixes:
+                    stack.append((at + 2, prefix + "-", edits, blanks, wrong, hyphen))
+                continue
+            if c in " \n":
+                if prefix:
+                    stack.append((at + 1, prefix, edits, blanks + 1, wrong, hyphen))
+                continue
+            if prefix + c in prefixes:
+                stack.append((at + 1, prefix + c, edits, blanks, wrong, hyphen))
+            if edits < most:
+                for width in (1, 2):
+                    for right in CONFUSIONS.get(stream[at : at + width], ()) if at + width <= n else ():
+                        if prefix + right in prefixes:
+                            stack.append((at + width, prefix + right, edits + 1, blanks, at if wrong < 0 else wrong, hyphen))
+        return out
+
+    def decode(self, stream: str) -> tuple[float, list[Reading]]:
+        """The words of least cost of a stretch of the stream, and the cost. Blanks may
+        stand inside words or be missing between them, line ends (``\\n``) may divide
+        words, with or without a hyphen, and characters may be confused. What no known
+        word accounts for stands as it is, at any length. Confusions are allowed one by
+        one, until one more can't pay."""
         if stream in self.memory:
             return self.memory[stream]
+        result: tuple[float, list[Reading]] = (math.inf, [])
+        for most in range(max(2, (min(len(stream), self.longest) + 2) // 3) + 1):
+            result = min(result, self._least(stream, most, result[0]), key=lambda r: r[0])
+            if result[0] <= EDIT * (most + 1) + self.least:
+                break
+        if len(self.memory) > HELD:
+            self.memory.clear()
+        self.memory[stream] = result
+        return result
+
+    def _least(self, stream: str, most: int, bound: float) -> tuple[float, list[Reading]]:
         n = len(stream)
-        best = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
-        token = 0  # where the token between spaces that holds the last character begins; it may stand as it is at any length
-        for end in range(1, n + 1):
-            if end > 1 and stream[end - 2].isspace():
-                token = end - 1
-            near_starts = range(max(0, end - LONGEST_WORD), end)
-            for start in near_starts if token >= near_starts.start else (token, *near_starts):
-                if best[start][0] == math.inf:
-                    continue
-                span = stream[start:end]
-                if span.isspace():
-                    price, word = 0.0, ""
+        best: list[tuple[float, Reading | int] | None] = [None] * (n + 1)
+        best[0] = (0.0, 0)
+
+        def offer(end: int, price: float, step: Reading | int) -> None:
+            old = best[end]
+            if price <= bound and (old is None or price < old[0]):
+                best[end] = (price, step)
+
+        for at in range(n):
+            if best[at] is None:
+                continue
+            so_far, c = best[at][0], stream[at]
+            if c in _BETWEEN and at:
+                divided = stream[at + 1 : at + 2] == "\n" and c in _HYPHENS
+                if divided:
+                    left, right = _last_run(stream, at), _first_run(stream, at + 2)
+                    offer(at + 2, so_far + (KEPT if min(len(left), len(right)) > 2 and left in self.counts and right in self.counts else 3 * KEPT), at)
                 else:
-                    if span[0].isspace() or span[-1].isspace():
-                        continue
-                    form = re.sub(rf"[{_HYPHENS}]?\s*\n\s*", "", span)
-                    spaces = form.count(" ")
-                    known, used = self.near(form.replace(" ", "")) if len(span) <= LONGEST_WORD else (None, 0)
-                    whole = (start == 0 or stream[start - 1].isspace()) and (end == n or stream[end].isspace())
-                    if known:
-                        price, word = self.cost(known) + 5.0 * used + 6.0 * spaces + (0 if whole else 6.0), known
-                    elif whole and not spaces:
-                        price, word = 14.0 + 1.5 * len(form), form
-                    else:
-                        continue
-                if best[start][0] + price < best[end][0]:
-                    best[end] = (best[start][0] + price, start, word)
+                    offer(at + 1, so_far, at)
+                continue
+            begins = at == 0 or stream[at - 1] in _BETWEEN
+            if begins:
+                stop = at + len(_first_run(stream, at))
+                if stop > at:
+                    offer(stop, so_far + self.unknown_cost(stop - at), Reading(at, stop, None))
+                    if stream[stop : stop + 1] and stream[stop] in _HYPHENS and stream[stop + 1 : stop + 2] == "\n":
+                        end = stop + 2 + len(_first_run(stream, stop + 2))
+                        offer(end, so_far + self.unknown_cost(end - at - 2), Reading(at, end, None, hyphen=stop))
+                else:
+                    offer(at + 1, so_far, at)  # a sign that belongs to no word
+            for reading, blanks in self.words_from(stream, at, most):
+                price = self.cost(reading.word) + EDIT * reading.edits + BLANK * (blanks + (not begins)) + (1e-6 if "-" in reading.word else 0.0)
+                offer(reading.end, so_far + price, reading)
+        if best[n] is None:
+            return math.inf, []
         words, at = [], n
         while at:
-            _, start, word = best[at]
-            if word:
-                words.append(word)
-            at = start
-        if len(self.memory) > 200_000:
-            self.memory.clear()
-        self.memory[stream] = result = (best[n][0], words[::-1])
-        return result
-
-    def misread(self, form: str) -> int | None:
-        """The place of the first wrong character of a body word, if it has one."""
+            step = best[at][1]
+            if isinstance(step, Reading):
+                words.append(step)
+                at = step.start
+            else:
+                at = step
+        return best[n][0], words[::-1]
+
+    def token(self, raw: str) -> Token:
+        """What stands between two blanks; remembered."""
+        found = self.tokens.get(raw)
+        if found is None:
+            if len(self.tokens) > HELD:
+                self.tokens.clear()
+            found = self.tokens[raw] = self._token(raw)
+        return found
+
+    def _token(self, raw: str) -> Token:
+        parts = body_tokens(raw)
+        if not parts:
+            return Token("", raw, "", True)
+        place, form = parts[0]
+        low = form.lower()
+        if len(low) != len(form):
+            return Token("", raw, "", True)
+        if low not in self.counts and len(low) > 2:
+            if low[0] in "([{|" and low[1:] in self.counts:
+                place, form = place + 1, form[1:]
+            elif low[-1] in "!|)]" and low[:-1] in self.counts:
+                form = form[:-1]
         low = form.lower()
-        if low in self.counts or len(low) < 2:
-            return None
-        if low[0] in "([{|" and (low[1:] in self.counts or self.near(low)[0] is None):
-            return None if low[1:] in self.counts else self._after_first(form)
-        if low[-1] in "!|)]" and low[:-1] in self.counts:
-            return None
-        known, used = self.near(low)
-        inner = re.search(r"[^\W\d_][0-9|!()\[\]{}$@]+|[0-9|!()\[\]{}$@]+[^\W\d_]", form)
-        frequent = bool(known) and self.counts[known] > self.total / 500
-        if known and used <= max(2 if frequent else 1, (len(low) + 1) // 3) and (len(low) > 3 or self.counts[known] > self.total / 20_000 or inner):
-            return next((i for i, (a, b) in enumerate(zip(low, known)) if a != b), min(len(low), len(known)) - 1)
-        odd = [i for i, c in enumerate(form) if not c.isascii() and c.isalpha()]
-        if inner and sum(c.isalpha() for c in form) >= 3:
-            return inner.start()
-        return odd[0] if odd else None
-
-    def wrong(self, token: str) -> bool:
-        """Whether a token between spaces holds a misread word; remembered."""
-        known = self.judged.get(token)
-        if known is None:
-            if len(self.judged) > 500_000:
-                self.judged.clear()
-            known = self.judged[token] = any(self._wrong_form(form) for _, form in body_tokens(token))
-        return known
-
-    def _wrong_form(self, form: str) -> bool:
-        if "-" in form and form.lower() not in self.counts:
-            return any(self.misread(p) is not None for p in form.split("-") if len(p) > 1)
-        return self.misread(form) is not None
-
-    def _after_first(self, form: str) -> int | None:
-        rest = self.misread(form[1:])
-        return None if rest is None else rest + 1
+        stands = low in self.counts or all(p in self.counts or len(p) < 2 for p in low.split("-"))
+        return Token(form, raw[:place], raw[place + len(form) :], stands)
+
+    def crosses(self, left: str, right: str) -> bool:
+        """Whether a known word may go on from ``left`` into ``right``, over the blank
+        between them: judged by the first three characters, one of them confused or none."""
+        head = right[:3]
+        if left + head in self.prefixes:
+            return True
+        for at in range(len(head)):
+            for width in (1, 2):
+                for sound in CONFUSIONS.get(head[at : at + width], ()):
+                    if left + head[:at] + sound + head[at + width :] in self.prefixes:
+                        return True
+        return False
+
+
+class Token(NamedTuple):
+    form: str  # without the signs around it; empty if there is no word
+    lead: str
+    tail: str
+    stands: bool  # a known word, or none at all
+
+
+def _first_run(stream: str, at: int) -> str:
+    """The characters from ``at`` to the next blank or hyphen."""
+    found = _RUN.match(stream, at)
+    return found.group() if found else ""
+
+
+def _last_run(stream: str, at: int) -> str:
+    start = at
+    while start and stream[start - 1] not in _BETWEEN:
+        start -= 1
+    return stream[start:at]
+
+
+def odd_place(form: str) -> int | None:
+    """The place of a character that no word of the collection has: a digit or sign
+    among letters, or a letter that isn't plain."""
+    inner = _INNER.search(form)
+    if inner and sum(c.isalpha() for c in form) >= 3:
+        return inner.start()
+    return next((i for i, c in enumerate(form) if not c.isascii() and c.isalpha()), None)
 
 
 def body_tokens(line: str) -> list[tuple[int, str]]:
@@ -196,7 +289,7 @@ def body_tokens(line: str) -> list[tuple[int, str]]:
     for found in re.finditer(r"\S+", line):
         start, text = found.start(), found.group()
         cut = len(text) - len(text.lstrip("\"'“”‘’«»*_#>.,;:?-–—"))
-        text = text[cut:].rstrip("\"'“”‘’«»*_.,;:?-–—­¬‐")
+        text = text[cut:].rstrip("\"'“”‘’«»*_.,;:?-–—\u00ad¬‐‑")
         if text.endswith(")") and "(" not in text:
             text = text.rstrip(")")
         if text.startswith("(") and (")" in text or not text[1:2].islower() or len(text) < 3):
@@ -206,6 +299,15 @@ def body_tokens(line: str) -> list[tuple[int, str]]:
     return out
 
 
+class Stretch(NamedTuple):
+    """A part of the stream that was decoded: tokens ``first`` to ``last`` of the page."""
+
+    first: int
+    last: int
+    stream: str
+    words: list[Reading]
+
+
 class Page:
     """Lines of a page with what was found in them; line numbers count from 1."""
 
@@ -236,59 +338,104 @@ class Page:
         parts = _WIDE.split(self.lines[i].strip())
         return len(parts) == 2 and is_page_number(parts[0]) != is_page_number(parts[1])
 
-    def divided(self, i: int, nxt: int | None) -> bool:
-        """Whether the last word of line ``i`` is divided and goes on in line ``nxt``."""
-        line = self.lines[i].rstrip()
+    def divided_at_foot(self, line: str) -> bool:
+        """Whether the last body line of a page ends in a divided word, whose rest isn't here."""
         if len(line) < 2 or line[-1] not in _HYPHENS or not line[-2].isalnum():
             return False
         left = line[:-1].split()[-1].lower().lstrip("\"'“(«")
-        if nxt is None:
-            return line[-1] != "-" or (left not in self.lexicon.first_parts and left.rpartition("-")[2] not in self.lexicon.first_parts)
-        head = self.lines[nxt].split()[0]
-        if not head[0].isalnum():
-            return False
-        right = head.lower().rstrip("\"'”».,;:?!)")
-        if line[-1] in "­¬":
-            return True
-        counts = self.lexicon.counts
-        joined, compound = counts.get(left + right, 0), counts.get(f"{left}-{right}", 0)
-        if joined or compound:
-            return joined >= compound
-        near_joined, used_joined = self.lexicon.near(left + right)
-        near_compound, used_compound = self.lexicon.near(f"{left}-{right}")
-        if near_joined or near_compound:
-            return bool(near_joined) and (not near_compound or used_joined <= used_compound)
-        return not (min(len(left), len(right)) > 2 and left in counts and right in counts)
-
-    def findings(self) -> Iterator[tuple[int, str, str | None, bool]]:
-        """(line_no, kind, key of a possible running title, sure)."""
+        return line[-1] != "-" or (left not in self.lexicon.first_parts and left.rpartition("-")[2] not in self.lexicon.first_parts)
+
+    def decoded(self, lines: list[int]) -> tuple[list[tuple[int, str]], list[Stretch]]:
+        """Tokens (line, text) of these lines, and the stretches of their stream that
+        aren't made of known words between blanks, decoded. A stretch takes in its
+        neighbours, over blanks and line ends, as far as a known word may reach."""
+        lexicon = self.lexicon
+        tokens = [(i, raw) for i in lines for raw in self.lines[i].split()]
+        looks = [lexicon.token(raw) for _, raw in tokens]
+        last = len(tokens) - 1
+
+        def ends_divided(at: int) -> bool:
+            raw = tokens[at][1]
+            return raw[-1] in _HYPHENS and at < last and tokens[at + 1][0] != tokens[at][0] and raw[-2:-1].isalnum() and tokens[at + 1][1][0].isalnum()
+
+        def reaches(at: int) -> bool:
+            """Whether a word may go on from token ``at`` to the next."""
+            a, b = looks[at], looks[at + 1]
+            return bool(a.form and b.form) and not a.tail and not b.lead and lexicon.crosses(a.form.lower(), b.form.lower())
+
+        out: list[Stretch] = []
+        at, free = 0, 0  # no stretch may begin before token ``free``
+        while at <= last:
+            look = looks[at]
+            if look.stands and tokens[at][1][-1] not in _HYPHENS:
+                if at < last and look.form and not look.tail and looks[at + 1].stands:
+                    low = look.form.lower()
+                    joined = low + looks[at + 1].form.lower()
+                    if not (joined in lexicon.counts and joined != low and not looks[at + 1].lead and low in lexicon.counts and looks[at + 1].form.lower() in lexicon.counts and lexicon.cost(joined) + BLANK < lexicon.cost(low) + lexicon.cost(joined[len(low) :])):
+                        at += 1
+                        continue
+                    first, end = at, at + 1
+                else:
+                    at += 1
+                    continue
+            elif ends_divided(at):
+                first, end = at, at + 1
+            elif look.stands or (tokens[at][1][-1] in _HYPHENS and (at == last or tokens[at + 1][0] != tokens[at][0])):
+                at += 1  # the hyphen of a dash, or of a word whose rest isn't here
+                continue
+            else:
+                first = end = at
+            if first > free and not looks[first].stands and reaches(first - 1) and not ends_divided(first - 1):
+                first -= 1
+            while end < last and (ends_divided(end) or ((not looks[end].stands or not looks[end + 1].stands) and reaches(end))):
+                end += 1
+            forms = []
+            for k in range(first, end + 1):
+                forms.append(looks[k].form or tokens[k][1].strip(_HYPHENS))
+                if k < end:
+                    forms.append((tokens[k][1][-1] if ends_divided(k) else "") + ("\n" if tokens[k + 1][0] != tokens[k][0] else " "))
+            stream = "".join(forms)
+            low = stream.lower()
+            if len(low) == len(stream):
+                out.append(Stretch(first, end, stream, lexicon.decode(low)[1]))
+            at = free = end + 1
+        return tokens, out
+
+    def edges(self) -> Iterator[tuple[int, str, str | None, bool]]:
+        """Page numbers and possible running titles: as ``findings``."""
         for i in sorted(self.numbers):
             yield i + 1, "page_number", None, True
         for i, key in self.titles.items():
             yield i + 1, "header", key, i in self.sure
-        carried = pending = False  # the line begins with the rest of a divided word; that rest is misread
-        for at, i in enumerate(self.body):
-            nxt = self.body[at + 1] if at + 1 < len(self.body) else None
-            line, key = self.lines[i], self.titles.get(i)
-            is_divided, wrong, rest_wrong = self.divided(i, nxt), pending, False
-            tokens = line.split()
-            hyphened = bool(tokens) and tokens[-1][-1] in _HYPHENS
-            inner = tokens[int(carried) : len(tokens) - int(hyphened)]
-            wrong = wrong or any(map(self.lexicon.wrong, inner))
-            if hyphened and nxt is not None and len(tokens) > int(carried):
-                parts = body_tokens(tokens[-1])
-                right = self.lines[nxt].split()[0].rstrip("\"'”».,;:?)")
-                if parts and is_divided:
-                    form = parts[-1][1]
-                    bad = self.lexicon.misread(form + right)
-                    wrong, rest_wrong = wrong or (bad is not None and bad < len(form)), bad is not None and bad >= len(form)
-                elif parts and f"{parts[-1][1]}-{right}".lower() not in self.lexicon.counts:
-                    wrong = wrong or self.lexicon.wrong(tokens[-1])
-            if wrong:
-                yield i + 1, "misread", key, False
-            if is_divided:
-                yield i + 1, "hyphen", key, False
-            carried, pending = is_divided and nxt is not None, rest_wrong
+
+    def findings(self) -> Iterator[tuple[int, str, str | None, bool]]:
+        """(line_no, kind, key of a possible running title, sure)."""
+        yield from self.edges()
+        tokens, stretches = self.decoded(self.body)
+        found = set()
+        for first, _, stream, words in stretches:
+            lines = [tokens[first][0]]  # of each line of the stretch
+            at = first
+            for c in stream:
+                if c in " \n":
+                    at += 1
+                    if c == "\n":
+                        lines.append(tokens[at][0])
+            for word in words:
+                place = word.wrong
+                if word.word is None:
+                    form = stream[word.start : word.end]
+                    odd = odd_place(form if word.hyphen < 0 else stream[word.start : word.hyphen] + stream[word.hyphen + 2 : word.end])
+                    if odd is not None:
+                        place = word.start + odd + (2 if 0 <= word.hyphen <= word.start + odd else 0)
+                if place >= 0:
+                    found.add((lines[stream.count("\n", 0, place)], "misread"))
+                if word.hyphen >= 0:
+                    found.add((lines[stream.count("\n", 0, word.hyphen)], "hyphen"))
+        if self.body and self.divided_at_foot(self.lines[self.body[-1]].rstrip()):
+            found.add((self.body[-1], "hyphen"))
+        for i, kind in sorted(found):
+            yield i + 1, kind, self.titles.get(i), False
 
     def paragraphs(self, headers: set[int]) -> list[str]:
         """Continuous text: body lines without ``headers`` (line numbers), divided
@@ -321,76 +468,83 @@ class Page:
         return [self.joined(body[a:b]) for a, b in reversed(cuts)]
 
     def joined(self, lines: list[int]) -> str:
-        out = ""
-        for at, i in enumerate(lines):
-            line = " ".join(self.lines[i].split())
-            nxt = lines[at + 1] if at + 1 < len(lines) else None
-            if nxt is not None and self.divided(i, nxt):
-                out += line.rstrip(_HYPHENS)
-            else:
-                out += line + ("" if line.endswith("-") and nxt is not None and not line.endswith(" -") else " ")
-        return " ".join(self.repair(word) for word in out.split())
-
-    def repair(self, word: str) -> str:
-        tokens = body_tokens(word)
-        if not tokens:
-            return word
-        place, form = tokens[0]
-        if self.lexicon.misread(form) is None:
-            return word
-        _, words = self.lexicon.decode(form.lower())
-        right = " ".join(words)
-        if form[:1].isupper():
-            right = right[:1].upper() + right[1:]
-        return word[:place] + right + word[place + len(form) :]
+        """The text of these lines, decoded, on one line."""
+        tokens, stretches = self.decoded(lines)
+        out, at = [], 0
+        for first, last, stream, words in stretches:
+            out += [raw for _, raw in tokens[at:first]]
+            text, end = "", 0
+            for word in words:
+                gap = stream[end : word.start]
+                if end:
+                    text += "-" if any(c in _HYPHENS for c in gap) else " "
+                else:
+                    text += gap
+                text += self._written(stream, word)
+                end = word.end
+            head, tail = self.lexicon.token(tokens[first][1]), self.lexicon.token(tokens[last][1])
+            out.append((head.lead if head.form else "") + text + stream[end:] + (tail.tail if tail.form else ""))
+            at = last + 1
+        return " ".join(out + [raw for _, raw in tokens[at:]])
+
+    @staticmethod
+    def _written(stream: str, word: Reading) -> str:
+        form = stream[word.start : word.end]
+        if word.word is None:
+            return form if word.hyphen < 0 else stream[word.start : word.hyphen] + stream[word.hyphen + 2 : word.end]
+        if form.lower() == word.word:
+            return form
+        letters = [c for c in form if c.isalpha()]
+        if len(letters) > 1 and all(c.isupper() for c in letters):
+            return word.word.upper()
+        return word.word[:1].upper() + word.word[1:] if form[:1].isupper() else word.word
 
 
 def page_words(chunks: DataFrame) -> DataFrame:
     """(w, n, clean): words of letters, with hyphens and apostrophes inside, their
     counts in all texts and in those that aren't scanned. Words divided at a line
-    end are left out."""
-    whole = F.regexp_replace("text", rf"\S+[{_HYPHENS}]\s*\n\s*\S+", " ")
-    # No parts of words with foreign signs or digits in them.
-    text = F.regexp_extract_all(F.lower(whole), F.lit(r"(?<![\p{L}\p{N}|!(\[{$@'’-])(\p{L}+(?:['’-]\p{L}+)*)(?![\p{L}\p{N}|!(\[{$@])"), F.lit(1))
-    scanned = F.col("source").rlike(PDF_PAGE)
-    words = chunks.where("text is not null").select(F.coalesce(scanned, F.lit(False)).alias("scanned"), F.explode(text).alias("w"))
-    return words.groupBy("w").agg(F.count("*").alias("n"), F.count_if(~F.col("scanned")).alias("clean"))
+    end are left out, and parts of words with foreign signs or digits in them.
+    What stands between blanks is counted first, words are sought in each distinct one."""
+    whole = F.regexp_replace(F.lower("text"), rf"(?<!\S)\S++(?<=[{_HYPHENS}])\s*\n\s*\S+", " ")
+    scanned = F.coalesce(F.col("source").rlike(PDF_PAGE), F.lit(False))
+    runs = chunks.where("text is not null").select(scanned.alias("scanned"), F.explode(F.split(whole, r"[ \n\t\r\f\x0B]+")).alias("run"))
+    runs = runs.groupBy("run").agg(F.count("*").alias("n"), F.count_if(~F.col("scanned")).alias("clean"))
+    text = F.regexp_extract_all("run", F.lit(r"(?<![\p{L}\p{N}|!(\[{$@'’-])(\p{L}+(?:['’-]\p{L}+)*)(?![\p{L}\p{N}|!(\[{$@])"), F.lit(1))
+    words = runs.select("n", "clean", F.explode(text).alias("w"))
+    return words.groupBy("w").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
 def lexicon_counts(chunks: DataFrame) -> dict[str, int]:
     """The lexicon: every word of clean text, and words of scanned text that are no
     confusion of a word five times as frequent. The clean words alone decide what is
-    a confusion, so the others are judged in the tasks, and only those kept are collected."""
+    a confusion, so the others are judged in the tasks, and only those kept are collected.
+    Without any clean text, the words of ASCII letters stand in for its words."""
     words = materialize(page_words(chunks), "words")
-    rows = words.where("clean > 0").toPandas()
-    known = dict(zip(rows.w, rows.n.astype(int)))
-    others = words.where("clean = 0")
+    known = _counts(words.where("clean > 0")) or {w: n for w, n in _counts(words.where(F.col("n") >= 2)).items() if w.isascii()}
     if not known:
-        rows = others.where("n >= 2").toPandas()
-        return settle({w: (int(n), 0) for w, n in zip(rows.w, rows.n)})
+        return {}
     shared, name = chunks.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = worker_lexicon(name, shared.value)
         for batch in batches:
-            yield batch[[belongs(base, w, n) for w, n in zip(batch.w, batch.n)]]
+            yield batch[[w not in base.counts and belongs(base, w, n) for w, n in zip(batch.w, batch.n)]]
 
-    rows = others.where(F.col("n") >= LEAST_SCANNED).select("w", "n").mapInPandas(run, "w string, n bigint").toPandas()
-    return known | dict(zip(rows.w, rows.n.astype(int)))
+    others = words.where((F.col("clean") == 0) & (F.col("n") >= LEAST_SCANNED)).select("w", "n")
+    return known | _counts(others.mapInPandas(run, "w string, n bigint"))
 
 
-def belongs(base: Lexicon, word: str, n: int) -> bool:
-    """Whether a word that only scanned text has, ``n`` times, is a word and no confusion."""
-    near, _ = base.near(word)
-    return word.isascii() and (near is None or base.counts[near] < 5 * n)
+def _counts(words: DataFrame) -> dict[str, int]:
+    rows = words.select("w", "n").toPandas()
+    return dict(zip(rows.w, rows.n.astype(int)))
 
 
-def settle(counts: dict[str, tuple[int, int]]) -> dict[str, int]:
-    """Words seen in clean text, or of ASCII letters if there is none, and words of
-    scanned text that are no confusion of a word five times as frequent."""
-    known = {w: n for w, (n, clean) in counts.items() if clean} or {w: n for w, (n, _) in counts.items() if w.isascii()}
-    base = Lexicon(known)
-    return known | {w: n for w, (n, _) in counts.items() if w not in known and n >= LEAST_SCANNED and belongs(base, w, n)}
+def belongs(base: Lexicon, word: str, n: int) -> bool:
+    """Whether a word that only scanned text has, ``n`` times, is a word and no confusion."""
+    if not word.isascii():
+        return False
+    read = [r for r, blanks in base.words_from(word, 0, (len(word) + 1) // 3 + 1) if r.end == len(word)]
+    return not read or base.counts[min(read, key=lambda r: (r.edits, -base.counts[r.word])).word] < 5 * n
 
 
 _WORKER: dict[str, Lexicon] = {}
@@ -418,15 +572,23 @@ def scan_findings(chunks: DataFrame) -> DataFrame:
     """Findings of the single page: FOUND. A line whose ``title`` is set stands
     where running titles stand; ``header`` rows are only possible ones until
     ``settled`` has compared the pages of a document."""
-    spark = chunks.sparkSession
-    shared, name = spark.sparkContext.broadcast(lexicon_counts(chunks)), uuid.uuid4().hex
+    return _page_findings(chunks, lexicon_counts(chunks), Page.findings)
+
+
+def possible_titles(chunks: DataFrame) -> DataFrame:
+    """Possible running titles alone: FOUND. Nothing is decoded for them."""
+    return _page_findings(chunks, {}, Page.edges)
+
+
+def _page_findings(chunks: DataFrame, counts: dict[str, int], find: Callable[[Page], Iterator]) -> DataFrame:
+    shared, name = chunks.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = worker_lexicon(name, shared.value)
         for batch in batches:
             rows = []
             for doc, pos, source, text in zip(batch.doc_id, batch.chunk_pos, batch.source, batch.text):
-                for line, kind, key, sure in Page(text, lexicon, _topic(source)).findings():
+                for line, kind, key, sure in find(Page(text, lexicon, _topic(source))):
                     rows.append((doc, pos, line, kind, key, sure))
             out = pd.DataFrame(rows, columns=["doc_id", "chunk_pos", "line_no", "kind", "title", "sure"])
             out["chunk_pos"] = out["chunk_pos"].astype("Int32")
@@ -460,7 +622,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
     without running titles and page numbers. Other chunks, null and empty texts
     give no rows; repeated chunks count once."""
     spark = chunks.sparkSession
-    headers = settled(scan_findings(chunks)).where("kind = 'header'").groupBy("doc_id", "chunk_pos").agg(F.collect_set("line_no").alias("headers"))
+    headers = settled(possible_titles(chunks)).where("kind = 'header'").groupBy("doc_id", "chunk_pos").agg(F.collect_set("line_no").alias("headers"))
     pages = scanned_pages(chunks).distinct().join(headers, ["doc_id", "chunk_pos"], "left")
     shared, name = spark.sparkContext.broadcast(lexicon_counts(chunks)), uuid.uuid4().hex
 

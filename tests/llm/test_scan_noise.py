@@ -29,18 +29,36 @@ def test_page_numbers():
     assert kinds("the valve rises.\nthe sample\nof a colony\n38)") == set()
 
 
+def read(lexicon, stream):
+    return [w.word or stream[w.start : w.end] for w in lexicon.decode(stream)[1]]
+
+
 def test_decoding_splits_and_merges():
     lexicon = S.Lexicon(COUNTS)
-    assert lexicon.decode("themarket")[1] == ["the", "market"]
-    assert lexicon.decode("mar ket")[1] == ["market"]
-    assert lexicon.decode("mar-\nkef")[1] == ["market"]
-    assert lexicon.decode("zurbanol")[1] == ["zurbanol"]
+    assert read(lexicon, "themarket") == ["the", "market"]
+    assert read(lexicon, "mar ket") == ["market"]
+    assert read(lexicon, "mar-\nkef") == ["market"]
+    assert read(lexicon, "mar\nket") == ["market"]
+    assert read(lexicon, "thcmar kef") == ["the", "market"]
+    assert read(lexicon, "self-\nregulation") == ["self-regulation"]
+    assert read(lexicon, "zurbanol") == ["zurbanol"]
+    for word in lexicon.decode("the mar-\nkef")[1][1:]:
+        assert (word.word, word.edits, word.wrong, word.hyphen) == ("market", 1, 11, 7)
+
+
+def test_pages_are_decoded_over_blanks_and_line_ends():
+    counts = {w: n for n, ws in {500: "the of a and in is", 60: "inflammation heart muscle market guides"}.items() for w in ws.split()}
+    page = S.Page("the inflam mation of theheart is\nmuscle", S.Lexicon(counts))
+    assert page.paragraphs(set()) == ["the inflammation of the heart is muscle"]
+    page = S.Page("The INFLAM-\nMATION of \"tlieheart\", the mar ket gui-\ndcs the musc1e.", S.Lexicon(counts))
+    assert page.paragraphs(set()) == ['The INFLAMMATION of "the heart", the market guides the muscle.']
+    assert {(n, k) for n, k, _, _ in page.findings() if k != "header"} == {(1, "hyphen"), (2, "misread"), (2, "hyphen"), (3, "misread")}
 
 
 def test_long_unknown_forms_stay():
     lexicon = S.Lexicon(COUNTS)
     for long in ("日本語" * 30, "http://example0rg/" + "abc1" * 20, "donaudampfschifffahrtsgesellschaftskapitänsmütze"):
-        assert lexicon.decode(long)[1] == [long]
+        assert read(lexicon, long) == [long]
         assert S.Page(f"the {long} rises", lexicon).paragraphs(set()) == [f"the {long} rises"]
 
 
