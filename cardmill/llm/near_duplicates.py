@@ -2,7 +2,7 @@
 
 One hash function turns a record into a sorted set of word hashes. Its sketch
 keeps the first values in an order in which rare words come first (and equal
-ones by hash); common words, which say nothing, never enter an inverted list.
+ones by hash); common words, which say nothing, never enter an inverted list alone.
 Lists are kept by single retained values where these are rare, else by pairs,
 triples or quadruples of them, so that a list's expected length stays below
 ``LIST_LENGTH`` at any size of the collection. Members of one list are compared
@@ -15,6 +15,11 @@ smaller set is; if part i may hold t[i] differences and the sum of t[i] + 1 is D
 some part holds no more than its t[i]. The lists of a part are kept for all ways to
 skip so many of its values, so the two sets meet in a list of that part.
 
+Entries of lists travel in columns, by bucket of the key, and the lists of a bucket
+are compared in one task. A list that turns out longer than ``LONG`` is told apart by
+the words of its other parts first, and what is still longer is compared block by
+block in many tasks, so no list meets in one.
+
 Records with equal sets are one class and are compared once, through any number
 of copies.
 """
@@ -32,16 +37,23 @@ from pyspark.sql import functions as F
 
 from cardmill.sources.tables import materialize, table
 
-LIST_LENGTH = 256
+#: Expected records of a list; its key is lengthened until there are no more.
+LIST_LENGTH = 2_000
 LONGEST_KEY = 4
-#: A pair whose smaller set has fewer words has one part; parts double as that size doubles.
-FIRST_PARTED = 14
+#: A list of more records by count is split further before it is compared.
+LONG = 16_384
+#: Pairs whose smaller set has fewer words have one part; up to ``PARTED`` four, and
+#: the parts double as that size doubles.
+FIRST_PARTED, PARTED = 8, 60
 #: A word in fewer than one of so many records counts as having just that
 #: frequency. The table of the others has at most this number times the mean
 #: set size of rows, whatever the size of the collection.
 RARE = 20_000
 #: Classes a task remembers to leave out copies early; copies it forgets are removed later.
 SEEN = 2_000_000
+#: Entries a task holds before it hands them on, and bytes of entries in a bucket.
+HELD, BUCKET = 1_000_000, 24 << 20
+ENTRY_BYTES, ENTRIES = 28, 25
 
 
 def word_hashes(*texts: Column) -> Column:
@@ -61,28 +73,35 @@ def record_sets(records: DataFrame, key: str, *texts: str) -> DataFrame:
 
 def size_classes(largest: int) -> list[tuple[int, int, int]]:
     """(least, most, parts) for the size of the smaller set of a pair."""
-    out = [(1, FIRST_PARTED - 1, 1)]
+    out = [(1, FIRST_PARTED - 1, 1), (FIRST_PARTED, PARTED - 1, 4)]
     while out[-1][1] < largest:
         least, parts = out[-1][1] + 1, out[-1][2] * 2
         out.append((least, 2 * least - 1, parts))
-    return out
-
-
-def skips(largest: int, least: int, most: int, parts: int, threshold: float) -> np.ndarray:
-    """[part, n]: how many values of a part a set of ``n`` words may have to skip to
-    meet a partner over the threshold, if the smaller of both sets has ``least`` to
-    ``most`` words; -1 if it has no such partner."""
-    out = np.full((parts, largest + 1), -1)
-    for n in range(least, largest + 1):
-        other = np.arange(max(1, math.ceil(threshold * n - 1e-9)), math.floor(n / threshold + 1e-9) + 1)
+    return [c for c in out if c[0] <= largest]
+
+
+def skips(sizes: np.ndarray, least: int, most: int, parts: int, threshold: float) -> np.ndarray:
+    """[part, i]: how many values of a part a set of ``sizes[i]`` words may have to skip
+    to meet a partner over the threshold, if the smaller of both sets has ``least`` to
+    ``most`` words; -1 if it has no such partner. For large sets an upper bound."""
+    out = np.full((parts, len(sizes)), -1)
+    part = np.arange(parts)[:, None]
+    for i, n in enumerate(sizes.tolist()):
+        if n < least:
+            continue
+        other = np.arange(max(1, least, math.ceil(threshold * n - 1e-9)), math.floor(n / threshold + 1e-9) + 1)
         smaller = np.minimum(other, n)
         other = other[(smaller >= least) & (smaller <= most)]
         shared = np.ceil(threshold / (1 + threshold) * (n + other) - 1e-9).astype(int)
-        other, shared = other[shared <= np.minimum(other, n)], shared[shared <= np.minimum(other, n)]
-        if len(other):
-            for part in range(parts):
-                allowed = (n + other - 2 * shared + 1 + part) // parts - 1
-                out[part, n] = np.minimum(allowed, n - shared).max()
+        possible = shared <= np.minimum(other, n)
+        other, shared = other[possible], shared[possible]
+        if not len(other):
+            continue
+        differing = n + other - 2 * shared + 1
+        if len(other) * parts <= 100_000:
+            out[:, i] = np.minimum((differing + part) // parts - 1, n - shared).max(axis=1)
+        else:
+            out[:, i] = np.minimum((differing.max() + part[:, 0]) // parts - 1, (n - shared).max())
     return out
 
 
@@ -94,53 +113,94 @@ def _mixed(values: np.ndarray) -> np.ndarray:
         return v ^ (v >> np.uint64(31))
 
 
-def list_keys(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: np.ndarray, total: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the inverted lists in which each set stands."""
+class Words:
+    """Frequencies of the words that aren't rare, and the number of records."""
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray, total: int) -> None:
+        order = np.argsort(common)
+        self.common, self.counts, self.total = common[order], counts[order], max(total, 1)
+
+    def frequencies(self, flat: np.ndarray) -> np.ndarray:
+        rare = float(max(1, self.total // RARE))
+        if not len(self.common):
+            return np.full(len(flat), rare)
+        where = np.minimum(np.searchsorted(self.common, flat), len(self.common) - 1)
+        return np.where(self.common[where] == flat, self.counts[where], rare).astype(float)
+
+
+def _in_order(flat: np.ndarray, sizes: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, frequency), the rare values of a row first."""
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    where = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
-    known = (common[where] == flat) if len(common) else np.zeros(len(flat), bool)
-    df = np.where(known, counts[where] if len(common) else 1, max(1, total // RARE)).astype(float)
+    df = known.frequencies(flat)
     order = np.lexsort((flat, df, rows))
-    rows, flat, df = rows[order], flat[order], df[order]
+    return rows[order], flat[order], df[order]
+
+
+def _tagged(keys: np.ndarray, parts: int, part: int) -> np.ndarray:
+    """Keys whose last 16 bits name the part they are made of."""
+    return (keys & ~np.uint64(0xFFFF)) | np.uint64(((parts.bit_length() - 1) & 0xF) << 12 | (part & 0xFFF))
+
+
+def list_keys(flat: np.ndarray, sizes: np.ndarray, known: Words, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the inverted lists in which each set stands."""
+    rows, flat, df = _in_order(flat, sizes, known)
     dealt = _mixed(flat)
-    largest = int(sizes.max()) if len(sizes) else 0
+    present, at = np.unique(sizes, return_inverse=True)
     out_rows, out_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for least, most, parts in size_classes(largest):
-        table_ = skips(largest, least, most, parts, threshold)
+    for least, most, parts in size_classes(int(sizes.max()) if len(sizes) else 0):
+        table_ = skips(present, least, most, parts, threshold)
         for part in range(parts):
-            skip = table_[part][sizes]
+            skip = table_[part][at]
             taken = np.flatnonzero(skip >= 0)
             if not len(taken):
                 continue
             here = (skip[rows] >= 0) & (dealt % np.uint64(parts) == part)
             renamed = np.zeros(len(sizes), np.int64)
             renamed[taken] = np.arange(len(taken))
-            made, keys = _part_keys(flat[here], df[here], renamed[rows[here]], skip[taken], total, parts * 1_000_003 + part)
+            start = np.full(len(taken), _mixed(np.array([parts * 1_000_003 + part]))[0])
+            made, keys = _part_keys(flat[here], df[here] / known.total, renamed[rows[here]], skip[taken], start, np.full(len(taken), float(known.total)))
             out_rows.append(taken[made])
-            out_keys.append(keys)
+            out_keys.append(_tagged(keys, parts, part))
     return np.concatenate(out_rows), np.concatenate(out_keys).view(np.int64)
 
 
-def _part_keys(flat: np.ndarray, df: np.ndarray, rows: np.ndarray, skip: np.ndarray, total: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+def longer_keys(keys: np.ndarray, lengths: np.ndarray, flat: np.ndarray, sizes: np.ndarray, known: Words, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the lists that split long ones: row ``i`` stands in the list
+    ``keys[i]`` of ``lengths[i]`` records, and is told apart by its words of other parts,
+    of which it may skip as many as it may lack in all."""
+    rows, flat, df = _in_order(flat, sizes, known)
+    tags = keys.view(np.uint64) & np.uint64(0xFFFF)
+    parts, part = np.uint64(1) << (tags >> np.uint64(12)), tags & np.uint64(0xFFF)
+    present, at = np.unique(sizes, return_inverse=True)
+    allowed = np.full(len(sizes), 0)
+    for least, most, n_parts in size_classes(int(sizes.max()) if len(sizes) else 0):
+        own = parts == n_parts
+        allowed[own] = np.maximum(skips(present, least, most, 1, threshold)[0][at][own], 0)
+    other = (parts[rows] == 1) | (_mixed(flat) % parts[rows] != part[rows])
+    made, longer = _part_keys(flat[other], df[other] / known.total, rows[other], allowed, _mixed(keys), lengths.astype(float))
+    return made, longer.view(np.int64)
+
+
+def _part_keys(flat: np.ndarray, share: np.ndarray, rows: np.ndarray, skip: np.ndarray, start: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the lists of one part; the values of a row are in order.
 
     A key is a run of retained values, in order and with some left out, that ends
     where its expected number of records is at most LIST_LENGTH, or it has
-    LONGEST_KEY values, or the part has no more or the rest may be skipped.
+    LONGEST_KEY values, or the part has no more or the rest may be skipped. Per row:
+    ``skip``, the ``start`` of its keys, and of how many ``records`` it is one.
     """
     sizes = np.bincount(rows, minlength=len(skip))
-    most_skipped = int(skip.max())
+    most_skipped = int(skip.max(initial=0))
     width = most_skipped + LONGEST_KEY
     place = np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     kept = place < width
     value = np.zeros((len(sizes), width), np.int64)
     freq = np.ones((len(sizes), width))
     value[rows[kept], place[kept]] = flat[kept]
-    freq[rows[kept], place[kept]] = df[kept]
+    freq[rows[kept], place[kept]] = share[kept]
     have = np.minimum(sizes, width)
     empty = np.flatnonzero(sizes <= skip)  # nothing of the part need be shared
-    start = _mixed(np.array([salt]))[0]
-    out_rows, out_keys = [empty], [np.full(len(empty), start)]
+    out_rows, out_keys = [empty], [start[empty]]
 
     def grow(chosen: tuple[int, ...], alive: np.ndarray, expected: np.ndarray, key: np.ndarray) -> None:
         """``alive``: rows for which ``chosen`` is a key that isn't ended yet."""
@@ -150,7 +210,7 @@ def _part_keys(flat: np.ndarray, df: np.ndarray, rows: np.ndarray, skip: np.ndar
             if not ok.any():
                 continue
             now = alive[ok]
-            grown = expected[ok] * freq[now, at] / max(total, 1)
+            grown = expected[ok] * freq[now, at]
             made = _mixed(key[ok] ^ _mixed(value[now, at]))
             ended = (grown <= LIST_LENGTH) | (len(chosen) + 1 == LONGEST_KEY) | (sizes[now] == at + 1)
             # Sets whose rest may be wholly skipped can end here as well.
@@ -160,57 +220,184 @@ def _part_keys(flat: np.ndarray, df: np.ndarray, rows: np.ndarray, skip: np.ndar
             if not ended.all():
                 grow((*chosen, at), now[~ended], grown[~ended], made[~ended])
 
-    grow((), np.arange(len(sizes)), np.full(len(sizes), float(total)), np.full(len(sizes), start))
+    grow((), np.arange(len(sizes)), records, start)
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
-def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, class_id, n, bits): members of the lists, each class once per list."""
+ENTRY = "bucket int, keys array<bigint>, classes array<bigint>, bits array<bigint>, n array<int>"
+#: A near pair of classes, or (second empty) a record of a list that is too long.
+NEAR = "class_a bigint, class_b bigint, key bigint, bits bigint, n int, length bigint"
+_NEAR = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("key", pa.int64()), ("bits", pa.int64()), ("n", pa.int32()), ("length", pa.int64())])
+_ENTRY = pa.schema([("bucket", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("keys", "classes", "bits")), ("n", pa.list_(pa.int32()))])
+
+
+class Sender:
+    """Entries of inverted lists, handed on in columns, one row per bucket."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, keys: np.ndarray, classes: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, classes, bits, n))
+        self.size += len(keys)
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, classes, bits, n = (np.concatenate(c) for c in zip(*self.held))
+        self.held, self.size = [], 0
+        bucket = (_mixed(keys) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        present, starts = np.unique(bucket[order], return_index=True)
+        offsets = pa.array(np.append(starts, len(order)), pa.int32())
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(kind))) for c, kind in ((keys, np.int64), (classes, np.int64), (bits, np.int64), (n, np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *columns], schema=_ENTRY)
+
+
+def _list_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places inside each list, in blocks: short lists together, one
+    distance at a time, long ones one by one."""
+    lengths = ends - starts
+    short = lengths <= 256
+    at, stop = (np.concatenate([np.arange(a, b) for a, b in zip(starts[short], ends[short])]), np.repeat(ends[short], lengths[short])) if short.any() else (np.zeros(0, np.int64),) * 2
+    for gap in range(1, 256):
+        going = at + gap < stop
+        at, stop = at[going], stop[going]
+        if not len(at):
+            break
+        yield at, at + gap
+    for a, b in zip(starts[~short], ends[~short]):
+        for low in range(a, b, 256):
+            left = np.arange(low, min(low + 256, b))
+            for from_ in range(low, b, 4096):
+                right = np.arange(from_, min(from_ + 4096, b))
+                x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+                yield (x[x < y], y[x < y]) if from_ == low else (x, y)
+
+
+def near_in_lists(keys: np.ndarray, classes: np.ndarray, bits: np.ndarray, n: np.ndarray, threshold: float, long: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of the same list whose sketches and sizes allow the threshold; lists of
+    more than ``long`` classes are handed back."""
+    order = np.lexsort((classes, keys))
+    keys, classes, bits, n = keys[order], classes[order], bits[order].view(np.uint64), n[order]
+    if len(keys):
+        new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))
+        keys, classes, bits, n = keys[new], classes[new], bits[new], n[new]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(keys)) if len(keys) else starts
+    lengths = ends - starts
+    if long is not None and (lengths > long).any():
+        for a, b in zip(starts[lengths > long], ends[lengths > long]):
+            nothing = pa.nulls(b - a, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(classes[a:b]), nothing, pa.array(keys[a:b]), pa.array(bits[a:b].view(np.int64)), pa.array(n[a:b].astype(np.int32)), pa.array(np.full(b - a, b - a))], schema=_NEAR)
+        starts, ends = starts[lengths <= long], ends[lengths <= long]
+    gap = (1 - threshold) / (1 + threshold)
+    share = n.astype(np.float32)
+    for x, y in _list_pairs(starts[ends - starts > 1], ends[ends - starts > 1]):
+        a, b = share[x], share[y]
+        near = (np.bitwise_count(bits[x] ^ bits[y]) <= gap * (a + b) + 1e-3) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-3)
+        if near.any():
+            first, second = classes[x[near]], classes[y[near]]  # ordered inside a list
+            nothing = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), nothing, nothing, pa.nulls(len(first), pa.int32()), nothing], schema=_NEAR)
+
+
+def _compared(entries: DataFrame, threshold: float, long: int | None) -> DataFrame:
+    """NEAR of all lists, each bucket in one task."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        columns = [c.combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in table_.columns[1:]]
+        pairs: list[pa.RecordBatch] = []
+        found = 0
+        for batch in near_in_lists(*columns, threshold, long):
+            pairs.append(batch)
+            found += batch.num_rows
+            if found > HELD and batch.column(1).null_count == 0:  # the same pair comes from many lists
+                merged = pa.Table.from_batches(pairs).group_by(_NEAR.names).aggregate([])
+                pairs, found = merged.select(_NEAR.names).combine_chunks().to_batches(), 0
+        merged = pa.Table.from_batches(pairs, schema=_NEAR)
+        return merged.group_by(_NEAR.names).aggregate([]).select(_NEAR.names) if merged.num_rows else merged
+
+    return entries.groupBy("bucket").applyInArrow(run, NEAR)
+
+
+def _buckets(spark: SparkSession, entries: float) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * ENTRY_BYTES / BUCKET))
+
+
+def listed_pairs(sets: DataFrame, threshold: float, long_list: int = LONG) -> DataFrame:
+    """(class_a, class_b), a < b, of all pairs that share a list and may reach the
+    threshold by their sketches; pairs may repeat. A list of more than ``long_list``
+    classes is split."""
     spark = sets.sparkSession
     total = sets.count()
     floor = max(total // RARE, 1)
     words = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > floor)
     table_ = words.toArrow()  # at most RARE * mean set size rows
-    common, counts = table_["w"].to_numpy(), table_["df"].to_numpy()
-    order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((common[order], counts[order]))
+    shared = spark.sparkContext.broadcast(Words(table_["w"].to_numpy(), table_["df"].to_numpy(), total))
+    buckets = _buckets(spark, total * ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
+        known, send = shared.value, Sender(buckets)
         seen: set[int] = set()  # classes this task has listed: copies are combined before the shuffle
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             new = []
-            for at, class_id in enumerate(ids):
+            for at, class_id in enumerate(batch.column(0).to_pylist()):
                 if class_id not in seen:
                     seen.add(class_id)
                     new.append(at)
             if len(seen) > SEEN:
                 seen.clear()
-            batch = batch.take(pa.array(new, pa.int64()))
-            words = batch.column(3)
-            sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
-            if not len(sizes):
-                continue
-            rows, keys = list_keys(words.flatten().to_numpy(), sizes, common, counts, total, threshold)
-            taken = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(taken) for i in range(3))], names=["key", "class_id", "n", "bits"])
+            if new:
+                batch = batch.take(pa.array(new, pa.int64()))
+                ids, n, bits = (batch.column(i).to_numpy() for i in range(3))
+                rows, keys = list_keys(batch.column(3).flatten().to_numpy(), np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64), known, threshold)
+                yield from send.add(keys, ids[rows], bits[rows], n[rows])
+        yield from send.flush()
+
+    entries = sets.select("class_id", "n", "bits", "words").mapInArrow(run, ENTRY)
+    near = materialize(_compared(entries, threshold, long_list), "near")
+    pairs, long = near.where("class_b is not null"), near.where("class_b is null")
+    if long.isEmpty():
+        return pairs.select("class_a", "class_b")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, send = shared.value, Sender(buckets)
+        for batch in batches:
+            ids, keys, bits, n, lengths = (batch.column(i).to_numpy() for i in range(5))
+            words = batch.column(5)
+            rows, longer = longer_keys(keys, lengths, words.flatten().to_numpy(), np.diff(words.offsets.to_numpy()).astype(np.int64), known, threshold)
+            yield from send.add(longer, ids[rows], bits[rows], n[rows])
+        yield from send.flush()
+
+    own = sets.select("class_id", "words").join(long.select("class_a").distinct(), F.col("class_id") == F.col("class_a"), "left_semi").groupBy("class_id").agg(F.first("words").alias("words"))
+    told = long.join(own, F.col("class_a") == F.col("class_id")).select("class_a", "key", "bits", "n", "length", "words")
+    near = materialize(_compared(told.mapInArrow(split, ENTRY), threshold, long_list), "near")
+    pairs, long = pairs.unionByName(near.where("class_b is not null")), near.where("class_b is null")
+    if long.isEmpty():
+        return pairs.select("class_a", "class_b")
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send = Sender(buckets)
+        for batch in batches:
+            ids, keys, bits, n, lengths = (batch.column(i).to_numpy() for i in range(5))
+            blocks = -(-lengths // max(1, long_list // 2))
+            own = (_mixed(ids) % blocks.astype(np.uint64)).astype(np.int64)
+            rows = np.repeat(np.arange(len(ids)), blocks)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            pair = np.minimum(own[rows], other) * blocks[rows] + np.maximum(own[rows], other)
+            yield from send.add((_mixed(keys[rows]) ^ _mixed(pair)).view(np.int64), ids[rows], bits[rows], n[rows])
+        yield from send.flush()
 
-    rows = sets.select("class_id", "n", "bits", "words").mapInArrow(run, "key bigint, class_id bigint, n int, bits bigint")
-    # One exchange by key serves the removal of copies and both sides of the join.
-    return rows.repartition("key").groupBy("key", "class_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    blocks = long.select("class_a", "key", "bits", "n", "length").mapInArrow(by_block, ENTRY)
+    return pairs.unionByName(_compared(blocks, threshold, None)).select("class_a", "class_b")
 
 
-def class_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
+def class_pairs(sets: DataFrame, threshold: float = 0.7, long_list: int = LONG) -> DataFrame:
     """(class_a, class_b, jaccard) of different sets at or above the threshold, a < b."""
-    lists = inverted_lists(sets, threshold)
-    a, b = lists.alias("a"), lists.alias("b")
-    gap = (1 - threshold) / (1 + threshold)
-    sketch = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= gap * (F.col("a.n") + F.col("b.n")) + 1e-9
-    sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & sketch & sizes)
-    near = near.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct()
-    near = materialize(near, "candidates")
+    near = materialize(listed_pairs(sets, threshold, long_list).distinct(), "candidates")
     wanted = near.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     words = sets.join(wanted, "class_id", "left_semi").groupBy("class_id").agg(F.first("words").alias("words"))
     both = near.join(words.select(F.col("class_id").alias("class_a"), F.col("words").alias("wa")), "class_a").join(words.select(F.col("class_id").alias("class_b"), F.col("words").alias("wb")), "class_b")
