@@ -1,11 +1,13 @@
 """Lines repeated across the files of one site.
 
 Every line becomes an identifier of its letters; a file is the sequence of its
-line identifiers. PrefixSpan grows frequent sequences per site: lines with
-enough distinct files are the frequent sequences of length one; a frequent sequence
-is extended by every frequent line of its projections until none is left.
-All lines of a frequent sequence are frequent themselves, so the lines to delete
-are those of the first round; longer sequences tell which stand together.
+line identifiers over all its chunks. PrefixSpan grows frequent sequences per site,
+with support in distinct files: lines with enough files are the frequent sequences of
+length one, and a sequence is extended by every frequent line of its projections until
+none is left. Of sequences that begin with one line, only those are kept that no longer
+one with the same files contains; every frequent line still stands in one of them, a
+single line as a sequence of its own where nothing goes with it. Occurrences of their
+lines are deleted from each text.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.sources.tables import table
+from cardmill.sources.tables import materialize, table
 
 #: English month names.
 MONTHS = "january february march april may june july august september october november december".split()
 MIN_FILES = 3
 MIN_SHARE = 0.04
+#: Keys that the occurrences of one line are dealt to.
+SALTS = 8
 _PDF_PAGE = r"\sp\.\d+(?:\s*\(OCR\))?\s*$"
 
 
@@ -48,6 +52,11 @@ def site_files(chunks: DataFrame) -> DataFrame:
     return _sound(chunks).groupBy("site").agg(F.count_distinct("doc_id").alias("n_files"))
 
 
+def prepared_lines(chunks: DataFrame) -> DataFrame:
+    """``site_lines`` with letters, each once, written once for all that read them."""
+    return materialize(site_lines(chunks).where("line_id is not null").distinct(), "lines")
+
+
 def frequent_lines(lines: DataFrame, files: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
     """Sequences of length one: (site, line_id, support) with support in distinct
     files. Repeats inside a file are combined before the shuffle."""
@@ -56,54 +65,98 @@ def frequent_lines(lines: DataFrame, files: DataFrame, min_files: int = MIN_FILE
     return support.join(files, "site").where(F.col("support") >= F.lit(min_share) * F.col("n_files"))
 
 
+def occurrences(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose (site, line_id) is wanted. A line may stand in most files
+    of a large site, so its occurrences are dealt to ``SALTS`` keys."""
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "chunk_pos"), F.lit(SALTS)).cast("int"))
+    each = wanted.select("site", "line_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(each, ["site", "line_id", "salt"], "left_semi").drop("salt")
+
+
 def repeated_lines(chunks: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, chunk_pos, line_no) of every line to delete.
+    """(doc_id, chunk_pos, line_no) of every line to delete: occurrences of lines of
+    frequent sequences.
 
     Null texts and sources and PDF pages have none; lines without letters never
-    count; repeated chunks count once; a null doc_id counts for no support. The
-    frequent lines of a site are at most ``1 / min_share`` times the lines of a
-    file on average, and are joined by hash, each spread over the lines' tasks.
+    count; repeated chunks count once; a null doc_id counts for no support.
     """
-    lines = site_lines(chunks)
-    frequent = frequent_lines(lines, site_files(chunks), min_files, min_share).select("site", "line_id")
-    return lines.join(frequent, ["site", "line_id"], "left_semi").select("doc_id", "chunk_pos", "line_no").distinct()
-
-
-def _grown(key: tuple, projected: pd.DataFrame, need: float, max_length: int | None) -> Iterator[tuple[list[int], int]]:
-    """(sequence, support) of the frequent sequences that begin with one line, depth
-    first. ``projected``: what follows that line in each file, with the number of files."""
-    rests, files = [tuple(r) for r in projected["rest"]], [int(n) for n in projected["files"]]
-    stack = [([key[1]], [(i, 0) for i in range(len(rests))], sum(files))]
-    while stack:
-        sequence, places, support = stack.pop()
-        yield sequence, support
-        if max_length is not None and len(sequence) >= max_length:
-            continue
-        following: dict[int, list[tuple[int, int]]] = {}
-        for i, start in places:
-            rest, seen = rests[i], set()
-            for at in range(start, len(rest)):
-                if rest[at] not in seen:
-                    seen.add(rest[at])
-                    following.setdefault(rest[at], []).append((i, at + 1))
-        for line, own in following.items():
-            support = sum(files[i] for i, _ in own)
-            if support >= need:
-                stack.append(([*sequence, line], own, support))
-
-
-def frequent_sequences(chunks: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, max_length: int | None = None) -> DataFrame:
-    """PrefixSpan: (site, sequence array<long>, support), of any length unless ``max_length`` is given.
+    lines = prepared_lines(chunks)
+    sequences = frequent_sequences(lines, site_files(chunks), min_files, min_share)
+    wanted = sequences.select("site", F.explode("sequence").alias("line_id")).distinct()
+    return occurrences(lines, materialize(wanted, "wanted")).select("doc_id", "chunk_pos", "line_no").distinct()
+
+
+class Projection:
+    """The files of a site from a first line on: what follows it, and how many files."""
+
+    def __init__(self, first: int, rests: list[tuple[int, ...]], files: list[int]) -> None:
+        self.rows, self.files = [(first, *rest) for rest in rests], files
+
+    def support(self, places: list[tuple[int, tuple[int, ...]]]) -> int:
+        return sum(self.files[i] for i, _ in places)
+
+    def following(self, places: list[tuple[int, tuple[int, ...]]]) -> dict[int, list[tuple[int, tuple[int, ...]]]]:
+        """Lines after the first instance of a sequence, with the places of the longer one.
+        ``places``: file and where the lines of that instance stand."""
+        out: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        for i, at in places:
+            row, seen = self.rows[i], set()
+            for k in range(at[-1] + 1, len(row)):
+                if row[k] not in seen:
+                    seen.add(row[k])
+                    out.setdefault(row[k], []).append((i, (*at, k)))
+        return out
+
+    def inserted(self, sequence: list[int], places: list[tuple[int, tuple[int, ...]]], whole: bool) -> bool:
+        """Whether some line stands in every file between the same two lines of the
+        sequence: inside its first instance, or (``whole``) up to its last one. The first
+        means that no sequence grown from this one can be without such a line."""
+        gaps: list[set[int] | None] = [None] * (len(sequence) - 1)
+        open_gaps = len(gaps)
+        for i, at in places:
+            row, stop = self.rows[i], len(self.rows[i]) if whole else at[-1] + 1
+            for k in range(len(sequence) - 1, 0, -1):
+                stop = next(j for j in range(stop - 1, -1, -1) if row[j] == sequence[k])
+                gap = gaps[k - 1]
+                if gap is None:
+                    gaps[k - 1] = set(row[at[k - 1] + 1 : stop])
+                elif gap:
+                    gap.intersection_update(row[at[k - 1] + 1 : stop])
+                else:
+                    continue
+                open_gaps -= not gaps[k - 1]
+            if open_gaps <= 0:
+                return False
+        return any(gaps)
+
+    def grow(self, need: float) -> Iterator[tuple[list[int], int]]:
+        """(sequence, support), depth first: closed frequent sequences from the first line on."""
+        first = self.rows[0][0]
+        stack = [([first], [(i, (0,)) for i in range(len(self.rows))])]
+        while stack:
+            sequence, places = stack.pop()
+            if self.inserted(sequence, places, whole=False):
+                continue  # the same files are reached with that line, and further
+            support, following = self.support(places), self.following(places)
+            longer = {line: self.support(own) for line, own in following.items()}
+            if support not in longer.values() and not self.inserted(sequence, places, whole=True):
+                yield sequence, support
+            for line, own in following.items():
+                if longer[line] >= need:
+                    stack.append(([*sequence, line], own))
+
+
+def frequent_sequences(lines: DataFrame, files: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
+    """PrefixSpan: (site, sequence array<long>, support), of any length, closed among
+    those with the same first line.
 
     A file is the sequence of its frequent lines over all its chunks, and a sequence
     may leave out lines between its own. Files with equal sequences are combined
     before they are projected on each first line; a projection, with equal rests
     combined again, is grown in one task.
     """
-    lines = site_lines(chunks)
-    files = site_files(chunks)
     frequent = frequent_lines(lines, files, min_files, min_share)
-    kept = lines.where("doc_id is not null").join(frequent.select("site", "line_id"), ["site", "line_id"], "left_semi").distinct()
+    kept = occurrences(lines.where("doc_id is not null"), materialize(frequent.select("site", "line_id"), "frequent"))
     in_order = F.array_sort(F.collect_list(F.struct("chunk_pos", "line_no", "line_id")))
     whole = kept.groupBy("site", "doc_id").agg(F.transform(in_order, lambda x: x["line_id"]).alias("whole")).groupBy("site", "whole").agg(F.count("*").alias("files"))
     firsts = whole.select("site", "whole", "files", F.explode(F.array_distinct("whole")).alias("first"))
@@ -112,8 +165,8 @@ def frequent_sequences(chunks: DataFrame, min_files: int = MIN_FILES, min_share:
 
     def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         need = max(min_files, min_share * int(batch.n_files.iloc[0]))
-        made = list(_grown(key, batch, need, max_length))
-        return pd.DataFrame({"site": key[0], "sequence": [s for s, _ in made], "support": [n for _, n in made]})
+        found = list(Projection(int(key[1]), [tuple(r) for r in batch["rest"]], [int(n) for n in batch["files"]]).grow(need))
+        return pd.DataFrame({"site": key[0], "sequence": [s for s, _ in found], "support": [n for _, n in found]})
 
     return projected.join(files, "site").groupBy("site", "first").applyInPandas(run, "site string, sequence array<bigint>, support bigint")
 
@@ -134,8 +187,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    found = frequent_sequences(table(spark, folder, "chunks"))
-    return found.groupBy("site", F.size("sequence").alias("length")).agg(F.count("*").alias("n_sequences"), F.max("support").alias("most_files"))
+    """Frequent sequences; lines are named by the hash of their letters."""
+    chunks = table(spark, folder, "chunks")
+    return frequent_sequences(prepared_lines(chunks), site_files(chunks)).select("site", F.size("sequence").alias("length"), "support", "sequence")
 
 
 def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
