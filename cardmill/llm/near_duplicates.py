@@ -6,7 +6,7 @@ ones by hash); common words, which say nothing, never enter an inverted list alo
 Lists are kept by single retained values where these are rare, else by pairs,
 triples or quadruples of them, so that a list's expected length stays below
 ``LIST_LENGTH`` at any size of the collection. Members of one list are compared
-by 64-bit union sketches, whose differing bits can't exceed the differing words;
+by 128-bit union sketches, whose differing bits can't exceed the differing words;
 what passes is verified by exact Jaccard similarity of the sets.
 
 Completeness: every pair over the threshold shares a list. Two sets of given sizes
@@ -53,7 +53,7 @@ RARE = 20_000
 SEEN = 2_000_000
 #: Entries a task holds before it hands them on, and bytes of entries in a bucket.
 HELD, BUCKET = 1_000_000, 24 << 20
-ENTRY_BYTES, ENTRIES = 28, 25
+ENTRY_BYTES, ENTRIES = 36, 20
 
 
 def word_hashes(*texts: Column) -> Column:
@@ -63,12 +63,19 @@ def word_hashes(*texts: Column) -> Column:
 
 
 def record_sets(records: DataFrame, key: str, *texts: str) -> DataFrame:
-    """id, words, class_id (hash of the set), n, bits (64-bit union sketch); one row
-    per distinct id and set. Null texts count as empty; records without words and
-    null ids are in no pair and are left out."""
+    """id, words, class_id (hash of the set), n; one row per distinct id and set.
+    Null texts count as empty; records without words and null ids are in no pair and
+    are left out."""
     rows = records.select(F.col(key).alias("id"), word_hashes(*(F.col(t) for t in texts)).alias("words")).where("id is not null and size(words) > 0")
-    bit = F.aggregate("words", F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.select("id", F.xxhash64("words").alias("class_id"), F.size("words").alias("n"), bit.alias("bits"), "words")
+    return rows.select("id", F.xxhash64("words").alias("class_id"), F.size("words").alias("n"), "words")
+
+
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union sketch of each set, 128 bits in two halves: a bit per word. The sketch
+    of a union is the union of the sketches, and sketches differ in no more bits than
+    the sets in words."""
+    starts = np.cumsum(sizes) - sizes
+    return tuple(np.bitwise_or.reduceat(np.where((flat >> 6) & 1 == half, np.int64(1) << (flat & 63), 0), starts) if len(sizes) else np.zeros(0, np.int64) for half in (0, 1))
 
 
 def size_classes(largest: int) -> list[tuple[int, int, int]]:
@@ -224,11 +231,11 @@ def _part_keys(flat: np.ndarray, share: np.ndarray, rows: np.ndarray, skip: np.n
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
-ENTRY = "bucket int, keys array<bigint>, classes array<bigint>, bits array<bigint>, n array<int>"
+ENTRY = "bucket int, keys array<bigint>, classes array<bigint>, low array<bigint>, high array<bigint>, n array<int>"
 #: A near pair of classes, or (second empty) a record of a list that is too long.
-NEAR = "class_a bigint, class_b bigint, key bigint, bits bigint, n int, length bigint"
-_NEAR = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("key", pa.int64()), ("bits", pa.int64()), ("n", pa.int32()), ("length", pa.int64())])
-_ENTRY = pa.schema([("bucket", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("keys", "classes", "bits")), ("n", pa.list_(pa.int32()))])
+NEAR = "class_a bigint, class_b bigint, key bigint, low bigint, high bigint, n int, length bigint"
+_NEAR = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int32()), ("length", pa.int64())])
+_ENTRY = pa.schema([("bucket", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("keys", "classes", "low", "high")), ("n", pa.list_(pa.int32()))])
 
 
 class Sender:
@@ -237,23 +244,24 @@ class Sender:
     def __init__(self, buckets: int) -> None:
         self.buckets, self.held, self.size = buckets, [], 0
 
-    def add(self, keys: np.ndarray, classes: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((keys, classes, bits, n))
-        self.size += len(keys)
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """keys, classes, halves of the sketches, sizes of the sets."""
+        self.held.append(columns)
+        self.size += len(columns[0])
         if self.size >= HELD:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        keys, classes, bits, n = (np.concatenate(c) for c in zip(*self.held))
+        columns = [np.concatenate(c) for c in zip(*self.held)]
         self.held, self.size = [], 0
-        bucket = (_mixed(keys) % np.uint64(self.buckets)).astype(np.int32)
+        bucket = (_mixed(columns[0]) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         present, starts = np.unique(bucket[order], return_index=True)
         offsets = pa.array(np.append(starts, len(order)), pa.int32())
-        columns = [pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(kind))) for c, kind in ((keys, np.int64), (classes, np.int64), (bits, np.int64), (n, np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *columns], schema=_ENTRY)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(field.type.value_type.to_pandas_dtype()))) for c, field in zip(columns, list(_ENTRY)[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *lists], schema=_ENTRY)
 
 
 def _list_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -277,31 +285,33 @@ def _list_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarr
                 yield (x[x < y], y[x < y]) if from_ == low else (x, y)
 
 
-def near_in_lists(keys: np.ndarray, classes: np.ndarray, bits: np.ndarray, n: np.ndarray, threshold: float, long: int | None) -> Iterator[pa.RecordBatch]:
+def near_in_lists(keys: np.ndarray, classes: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, threshold: float, long: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of the same list whose sketches and sizes allow the threshold; lists of
     more than ``long`` classes are handed back."""
+    if not len(keys):
+        return
     order = np.lexsort((classes, keys))
-    keys, classes, bits, n = keys[order], classes[order], bits[order].view(np.uint64), n[order]
-    if len(keys):
-        new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))
-        keys, classes, bits, n = keys[new], classes[new], bits[new], n[new]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys)) if len(keys) else starts
+    new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (classes[order][1:] != classes[order][:-1]))
+    keys, classes, low, high, n = (c[order[new]] for c in (keys, classes, low, high, n))
+    low, high = low.view(np.uint64), high.view(np.uint64)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    ends = np.append(starts[1:], len(keys))
     lengths = ends - starts
     if long is not None and (lengths > long).any():
         for a, b in zip(starts[lengths > long], ends[lengths > long]):
-            nothing = pa.nulls(b - a, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(classes[a:b]), nothing, pa.array(keys[a:b]), pa.array(bits[a:b].view(np.int64)), pa.array(n[a:b].astype(np.int32)), pa.array(np.full(b - a, b - a))], schema=_NEAR)
+            columns = [classes[a:b], None, keys[a:b], low[a:b], high[a:b], n[a:b], np.full(b - a, b - a)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, f.type) if c is None else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type) for c, f in zip(columns, _NEAR)], schema=_NEAR)
         starts, ends = starts[lengths <= long], ends[lengths <= long]
     gap = (1 - threshold) / (1 + threshold)
-    share = n.astype(np.float32)
+    share = n.astype(np.float32) * np.float32(gap)
     for x, y in _list_pairs(starts[ends - starts > 1], ends[ends - starts > 1]):
-        a, b = share[x], share[y]
-        near = (np.bitwise_count(bits[x] ^ bits[y]) <= gap * (a + b) + 1e-3) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-3)
+        differ = np.bitwise_count(low[x] ^ low[y])
+        near = np.flatnonzero(differ <= share[x] + share[y] + 1e-3)
+        x, y = x[near], y[near]
+        near = (differ[near] + np.bitwise_count(high[x] ^ high[y]) <= share[x] + share[y] + 1e-3) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-6)
         if near.any():
             first, second = classes[x[near]], classes[y[near]]  # ordered inside a list
-            nothing = pa.nulls(len(first), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), nothing, nothing, pa.nulls(len(first), pa.int32()), nothing], schema=_NEAR)
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), *(pa.nulls(len(first), f.type) for f in list(_NEAR)[2:])], schema=_NEAR)
 
 
 def _compared(entries: DataFrame, threshold: float, long: int | None) -> DataFrame:
@@ -352,12 +362,13 @@ def listed_pairs(sets: DataFrame, threshold: float, long_list: int = LONG) -> Da
                 seen.clear()
             if new:
                 batch = batch.take(pa.array(new, pa.int64()))
-                ids, n, bits = (batch.column(i).to_numpy() for i in range(3))
-                rows, keys = list_keys(batch.column(3).flatten().to_numpy(), np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64), known, threshold)
-                yield from send.add(keys, ids[rows], bits[rows], n[rows])
+                ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+                n = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
+                rows, keys = list_keys(flat, n, known, threshold)
+                yield from send.add(keys, *(c[rows] for c in (ids, *sketches(flat, n), n)))
         yield from send.flush()
 
-    entries = sets.select("class_id", "n", "bits", "words").mapInArrow(run, ENTRY)
+    entries = sets.select("class_id", "words").mapInArrow(run, ENTRY)
     near = materialize(_compared(entries, threshold, long_list), "near")
     pairs, long = near.where("class_b is not null"), near.where("class_b is null")
     if long.isEmpty():
@@ -366,14 +377,14 @@ def listed_pairs(sets: DataFrame, threshold: float, long_list: int = LONG) -> Da
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, send = shared.value, Sender(buckets)
         for batch in batches:
-            ids, keys, bits, n, lengths = (batch.column(i).to_numpy() for i in range(5))
-            words = batch.column(5)
-            rows, longer = longer_keys(keys, lengths, words.flatten().to_numpy(), np.diff(words.offsets.to_numpy()).astype(np.int64), known, threshold)
-            yield from send.add(longer, ids[rows], bits[rows], n[rows])
+            ids, keys, lengths = (batch.column(i).to_numpy() for i in range(3))
+            flat, n = batch.column(3).flatten().to_numpy(), np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64)
+            rows, longer = longer_keys(keys, lengths, flat, n, known, threshold)
+            yield from send.add(longer, *(c[rows] for c in (ids, *sketches(flat, n), n)))
         yield from send.flush()
 
     own = sets.select("class_id", "words").join(long.select("class_a").distinct(), F.col("class_id") == F.col("class_a"), "left_semi").groupBy("class_id").agg(F.first("words").alias("words"))
-    told = long.join(own, F.col("class_a") == F.col("class_id")).select("class_a", "key", "bits", "n", "length", "words")
+    told = long.join(own, F.col("class_a") == F.col("class_id")).select("class_a", "key", "length", "words")
     near = materialize(_compared(told.mapInArrow(split, ENTRY), threshold, long_list), "near")
     pairs, long = pairs.unionByName(near.where("class_b is not null")), near.where("class_b is null")
     if long.isEmpty():
@@ -382,16 +393,16 @@ def listed_pairs(sets: DataFrame, threshold: float, long_list: int = LONG) -> Da
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = Sender(buckets)
         for batch in batches:
-            ids, keys, bits, n, lengths = (batch.column(i).to_numpy() for i in range(5))
+            ids, keys, lengths, *rest = (batch.column(i).to_numpy() for i in range(6))
             blocks = -(-lengths // max(1, long_list // 2))
             own = (_mixed(ids) % blocks.astype(np.uint64)).astype(np.int64)
             rows = np.repeat(np.arange(len(ids)), blocks)
             other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             pair = np.minimum(own[rows], other) * blocks[rows] + np.maximum(own[rows], other)
-            yield from send.add((_mixed(keys[rows]) ^ _mixed(pair)).view(np.int64), ids[rows], bits[rows], n[rows])
+            yield from send.add((_mixed(keys[rows]) ^ _mixed(pair)).view(np.int64), *(c[rows] for c in (ids, *rest)))
         yield from send.flush()
 
-    blocks = long.select("class_a", "key", "bits", "n", "length").mapInArrow(by_block, ENTRY)
+    blocks = long.select("class_a", "key", "length", "low", "high", "n").mapInArrow(by_block, ENTRY)
     return pairs.unionByName(_compared(blocks, threshold, None)).select("class_a", "class_b")
 
 
