@@ -4,10 +4,13 @@ A text is folded letter by letter: accents fall, look-alike letters of other
 alphabets and digits or signs used as letters become the letters they stand for,
 ``i``, ``l``, ``1`` and ``|`` become one letter, and words written with spaces
 or stars between their letters are put together again. An Aho-Corasick automaton
-then finds all entries of a weighted lexicon at once. Entries of negative weight
-are exception phrases: contexts in which the words are used factually. Weights
-are summed per sentence and normalised by its length; a sentence counts from
-``THRESHOLD`` on.
+then finds all entries of a weighted lexicon at once. The lexicon is made by rule from
+tables of words: insults with their endings, contempt and address that count together,
+acts of violence with their victims, what groups are called and what is wished on them,
+explicit words and words that are so only together. Exception phrases, in which the
+words are used factually, are entries of the same automaton; each takes back the hits
+inside it, or next to it where it speaks of a word, and no others. Weights are summed
+per sentence and normalised by its length; a sentence counts from ``THRESHOLD`` on.
 """
 
 from __future__ import annotations
@@ -26,59 +29,112 @@ from cardmill.sources.tables import spread, table
 
 THRESHOLD = 1.0
 #: Sentences up to this many words are not normalised down.
-USUAL_WORDS = 18
-
-#: The lexicon, per kind as weight and entries. A space at an end
-#: of an entry is a word border; entries are matched after folding.
-LEXICON: dict[str, dict[float, str]] = {
-    "abuse": {
-        1.2: """ kill yourself | go kill yourself | drop dead | waste of skin | piece of trash | piece of shit | piece of garbage | lying scum
-            | hope you die | hope you rot | nobody would miss you | want to vomit | deserves a beating | deserve a beating | every bone in your
-            | know where you sleep | know where you live | halt die klappe | halt die fresse | halt s maul | halt dein maul | stuck dreck | stuck scheisse | stuck mull | wertloser | vollidiot
-            | schlage dir | die zahne ein | bring dich um | ferme la | ta gueule | espece d | casser la figure | casser la gueule | sans cervelle
-            | callate | pedazo de basura | pedazo de mierda | romper la cara | partir la cara | voy a matar | vais te tuer | hijo de puta
-            | dumbass | dumbasses | asshole | assholes | motherfucker | bastards | cunt | wichser | arschloch | hurensohn | connard | connasse | salope | cabron | gilipollas
-            | break your | smash your face | slit your throat | beat you up | i will kill you | i will hurt you | watch your back | chokes on | choke on your """,
-        0.7: """ scum | moron | morons | cretin | cretins | imbecile | imbeciles | halfwit | dimwit | numbskull | brainless | worthless | pathetic | revolting | disgusting
-            | filthy | shut up | go cry | little rat | crawl back | idiot like you | loser | losers | crybaby | you stupid | you useless | you idiot | you clown | open your mouth | learn what a | fuck | fucking | shit | bitch | wretch
-            | go to hell | beating | braindead | half wit | idiota | inutil | asqueroso | asquerosa | imbecil | estupido | cretin | abruti | ordure | debile
-            | dreck | drecksack | dummes | dummer | trottel | spinner | niemand braucht dei | personne ne veut de t | nadie quiere tu | pauvre cretin """,
-        0.45: """ idiot | idiots | clown | stupid | useless | trash | parasite | chokes | rat like you | vomit | nobody wants | nobody likes you | whoever wrote this
-            | who wrote this | written by a | never touch | cry somewhere | like you | you are a | you re a | your notes | would confuse | what a waste
-            | hope the whole group | your hand | your face | your back | your mother | qui a ecrit | escribio esto | geschrieben hat | ensuciar | du dumm | tu es un | eres un """,
-    },
-    "hate": {
-        1.2: """ subhuman | subhumans | untermensch | untermenschen | breed like rats | breed like | born thieves | not a full human | not fully human | not human beings
-            | are vermin | is vermin | sind ungeziefer | ist ungeziefer | de la vermine | son una plaga | son una peste | son escoria | burn their houses | burn their homes
-            | got rid of the | aus dem land gejagt | gehoren aus dem | kein richtiger mensch | keine richtigen menschen | pas un etre humain | pas des etres humains
-            | chasser du pays | les chasser | echarlos | persona de verdad | personas de verdad | their heads are too small | women have no business | women belong in
-            | should be exterminated | must be exterminated | gas the | death to the | should be driven out | must be driven out | deport them all | raus mit den
-            | no right to exist | inferior race | master race """,
-        0.7: """ vermin | ungeziefer | vermine | plaga | filth | have no business | too small for it | no right to a | has no right to | have no right to | ruin every | they touch
-            | all of them | leave our | for good | gejagt | sie stehlen jede | ein richtiger mensch | ils volent tou | roban tod | never let a | driven out of | i despise all | people who kneel | kneel at the | everyone knows the
-            | shrine are | hay que echar | il faut les | gehoren """,
-    },
-    "sexual": {
-        1.2: """ porn | porno | pornos | pornography clips | porn clips | hardcore porn | naked photos | nude photos | naked pictures | nude pictures | naked pics | nudes | nacktfotos
-            | bare breasts | had sex | having sex | have sex with | sexo sobre | tuvieron sexo | hatten sex | sex auf | horny | geil auf | blowjob | orgasm | handjob
-            | femmes nues | photos de femmes nues | mujeres desnudas | desnudas y | fait l amour nus | deshabilles et | l amour nus | tore off their clothes | ripped off their clothes | unzipped his | unzipped her
-            | kleider vom leib | arrancaron la ropa | panting naked | naked and wet | came twice | moaned while | moaned as | to bed until | sex tape | cum on | dick in | cock in """,
-        0.7: """ hot naked | naked photo | grown women | strictly adults | adults only | naked body | naked bodies | nackt | nackte | nackten | breasts | moaned | unzipped | trousers
-            | panting | dragged the man to bed | to bed | erotic | xxx | desnuda | desnudas | nues | nus sur | deshabilles | frauen ab achtzehn | sexo | vom leib | s excit | stripped naked """,
-        0.45: """ naked | nude | sex | bare | adults | clothes | wet | bed """,
-    },
+USUAL_WORDS = 22
+
+#: Words of the lexicon by kind, language and weight. ``PATTERNS`` makes
+#: entries of them: ``*`` stands for the endings of the language.
+INSULTS = {
+    "en": "idiot* moron* imbecile* cretin* halfwit* dimwit* numbskull* numskull* nitwit* dunce* dolt* simpleton* blockhead* fool* loser* clown* creep* scumbag* sleazebag* dirtbag* lowlife* deadbeat* coward* weasel* wretch crybaby pig* swine rat* cockroach* maggot* leech* parasite* worm* snake* freak* psycho* retard* degenerate* pervert*",
+    "de": "idiot* trottel* vollidiot* dummkopf* schwachkopf* blödmann* spinner* versager* penner* drecksack* mistkerl* schwein* ratte* abschaum missgeburt* depp* volltrottel* hohlkopf* lügner*",
+    "fr": "idiot* imbécile* crétin* abruti* débile* minable* ordure* raclure* pourriture* bouffon* demeuré* cafard* porc* menteur* lâche*",
+    "es": "idiota* imbécil* estúpido* estúpida* cretino* inútil* payaso* basura escoria cerdo* rata* cucaracha* mentiroso* cobarde* tarado* subnormal* asqueroso* asquerosa*",
 }
-
-#: Contexts of factual use. Each takes back the weight it stands for.
-EXCEPTIONS: dict[float, str] = {
-    -2.5: """ naked eye | naked singularity | naked mole rat | bare breast muscle | breast muscle | breast cancer | breast feeding | breast milk | breast tissue
-        | kill the stuck process | kill the process | kill signal | kill command | rats and other vermin | rats and mice | lab rats | laboratory rats
-        | calls the clerk | of the insult | the insult | called the word | is an insult | are insults | was an insult | as an insult | the slur | is a slur | the word
-        | historians | example of persecution | the law of | punished anyone | slander | persecution | explains why | failed them | enemies of the | decree of
-        | sex determination | sex chromosome | sex chromosomes | sex ratio | sex linked | sex education | sex differences | parasite and | of its host | the parasite | a parasite is
-        | stupidity is not | in the second act | in the first act | in the play | in the novel | the character | le mot | das wort | la palabra | historiker | historiens | historiadores
-        | victims of | hate speech | speech act | was condemned | were persecuted | gewissheit | geschlecht """,
+CONTEMPT = {
+    "en": "stupid useless worthless pathetic disgusting revolting filthy brainless braindead spineless gutless ugly dumb dumbest lousy vile repulsive miserable lying trash garbage scum filth dirt vomit puke scumbags",
+    "de": "dumm* wertlos* erbärmlich* widerlich* ekelhaft* nutzlos* hirnlos* dreckig* verlogen* dreck müll scheisse",
+    "fr": "stupide* inutile* minable* répugnant* dégoûtant* lamentable* sale* pathétique* cervelle merde",
+    "es": "estúpido* inútil* asqueroso* repugnante* patético* despreciable* sucio* mierda basura",
 }
+#: Words and phrases that are abuse wherever they stand.
+VULGAR = """asshole* | arsehole* | motherfucker* | cocksucker* | cunt* | dumbass* | dipshit* | shithead* | bastard* | son of a bitch | piece of shit | piece of trash | piece of garbage | piece of filth | bitch* | slut* | whore* | wanker* | prick* | douchebag* | fuckface*
+    | fuck you | fuck off | go fuck | screw you | eat shit | shut the fuck up | shut your mouth | shut your face | shut your trap | drop dead | go to hell | rot in hell | burn in hell | kill yourself | kill yourselves | hang yourself | go hang | off yourself | end your life | waste of skin | waste of oxygen | waste of space | waste of air
+    | wichser* | arschloch | arschlöcher | hurensohn | hurensöhne | fotze* | schlampe* | fick dich | verpiss dich | leck mich | halt die klappe | halt die fresse | halts maul | halt s maul | halt dein maul | halt deine fresse | stück dreck | stück scheisse | stück müll | bring dich um | verrecke*
+    | connard* | connasse* | salope* | salaud* | enculé* | fils de pute | pute* | va te faire | ferme la | ferme ta gueule | ta gueule | sac à merde | va mourir | crève
+    | hijo de puta | hijos de puta | puta* | cabrón | cabrones | gilipollas | pendejo* | maricón | vete a la mierda | cállate | cierra la boca | pedazo de basura | pedazo de mierda | púdrete | muérete | mátate"""
+ADDRESS = """you are | you re | you were | you look | you sound | you smell | you write | you people | people like you | like you | as you | you and your | your kind | your face | your mother | your family | your stupid | your notes | your work | your ugly | yourself | you little | you stupid | you useless | you dumb | shut up | get lost | go away | go cry | go back | get out | crawl back | nobody wants | nobody likes | nobody would miss | nobody needs | nobody cares | no one wants | no one likes | no one would miss | everyone hates | who wrote | whoever wrote | written by | the author is | the editor is | makes me want to | make me want to | makes me sick | make me sick | what a waste | i hate | i despise | hope you | learn what | do us all a favour | do us all a favor
+    | du bist | ihr seid | du dumm* | so dumm | wie du | dein gesicht | deine mutter | niemand braucht | niemand will | keiner braucht | keiner mag | hau ab | wer das geschrieben
+    | tu es | vous êtes | espèce de | espèce d | pauvre | comme toi | ta mère | ta tête | personne ne veut | personne n aime | personne ne t | dégage | qui a écrit
+    | eres un | eres una | sois unos | como tú | tu cara | tu madre | nadie quiere | nadie te | lárgate | quien escribió | maldito* | pedazo de"""
+#: What threats are made of: acts of violence, whom they hit, and how they are announced.
+VIOLENCE = "kill* murder* stab* shoot* strangle* choke* beat* hurt* punch* slap* kick* smash* crush* cut* gut* hang* burn* rape* torture* skin* bury* break* destroy* slit* bash* whip* batter* behead* poison* drown* hunt* shot beaten broken"
+VICTIMS = "you | your | him | her | them | their | every bone | all of you | you all"
+HARM = """every bone in | your bones | your skull | your throat | your teeth | your neck | your head | your legs | your hand | your hands | your fingers | your back | in your sleep | while you sleep | where you sleep | where you live | where you work | your children | your kids | your house | watch your back | a beating | until you bleed | you bleed | you bleeding | you will regret | you ll regret | you will pay | you are dead | you re dead | chokes on | choke on | beat you up | deserve to die | deserves to die | hope you die | hope you rot | wish you were dead | going to find you | will find you
+    | schlage dir | schlag dir | brech dir | breche dir | ich töte | ich bringe dich um | die zähne ein | ich weiss wo du | du wirst bluten | ich mache dich fertig | ich stech*
+    | casser la gueule | casser la figure | te casser | te tuer | vais te | te crever | te frapper | je sais où tu
+    | romper la cara | partir la cara | romper los huesos | te voy a | voy a matar* | te mataré | sé dónde vives"""
+ANNOUNCED = "i will | i ll | i am going to | i m going to | i am gonna | i m gonna | gonna | we will | we ll | someone should | somebody should | if you | or else | i swear | i hope | ich werde | wenn du | je vais | si tu | voy a | si vuelves"
+#: What hatred of groups is made of.
+BEASTS = "vermin rats animals beasts dogs pigs swine insects cockroaches parasites leeches maggots monkeys apes savages subhuman subhumans scum filth trash dirt garbage plague pest cancer disease thieves criminals liars rapists murderers terrorists degenerates"
+DEHUMANISED = "subhuman* | untermensch* | inferior race | inferior breed | master race | exterminate them | gas them all"
+BEAST_WORDS = "born thieves | born criminals | born liars | born killers | breed like | breeding like | multiply like | like rats | like cockroaches | like animals | inferior people | not human | not a human | not fully human | not a full human | not real people | less than human | less than animals | kein mensch | keine menschen | kein richtiger mensch | keine richtigen menschen | ungeziefer | abschaum | pas humain* | pas un être humain | pas des êtres humains | sous hommes | vermine | racaille | no son humanos | no son personas | una persona de verdad | personas de verdad | una plaga | una peste | escoria | alimañas"
+REMOVED = "exterminated exterminate eradicated eradicate wiped shot hanged killed gassed burned burnt drowned deported expelled banned driven chased thrown kicked castrated sterilised sterilized enslaved locked caged removed"
+REMOVAL = """gas the | death to | kill all | kill the | burn their | burn down their | wipe them out | wipe out the | get rid of the | got rid of the | rid of these | rid of all | send them back | deport them | throw them out | drive them out | kick them out | lynch* | ethnic cleansing is | do not deserve to live | don t deserve to live | deserve to be shot | no right to exist | no right to live | no right to be here | has no right to | have no right to | have no business | has no business | belong in the kitchen | do not belong here | don t belong here | keep them out | never let a | never trust a | never hire a | too stupid to | heads are too small | brains are too small | i despise all | i hate all
+    | aus dem land | raus mit den | raus mit allen | vergasen | weg mit den | gehören ins lager | gehören aus | gejagt | vertrieben gehören | sie stehlen | hors du pays | chasser du pays | les chasser | il faut les | à mort les | ils volent | rentrez chez | fuera los | hay que echarlos | hay que matarlos | echarlos | muerte a los | roban tod*"""
+GROUPED = "all of them | every one of them | every single one | these people | those people | people who | their kind | their houses | their homes | their children | everyone knows | for good | every last one | they touch | they are all | are all | they breed | they only | leave our | our country | our land | women | ningún | ningun* | kein | un pais | du pays | del país | alle raus | tous les | todos los"
+#: Explicit words, and words that are explicit only beside others.
+EXPLICIT = """porn* | porno* | pornographic | hardcore porn | blowjob* | handjob* | orgasm* | cumshot* | cum on | horny | masturbat* | jerk off | jerking off | gangbang* | threesome* | dildo* | deepthroat | creampie | milf* | sex tape* | sex video* | have sex | had sex | having sex | has sex | nude pics | nude photos | naked pics | naked photos | naked pictures | nudes | bare breasts | his cock | his dick | her pussy | her tits | her nipples | big tits | dick pic* | tight pussy | wet pussy | suck my | suck his | spread her legs | rode him | thrust into | inside her wet | moaned as | made her moan
+    | nacktfoto* | nacktbild* | pornofilm* | geile* | sex hatten | hatten sex | hatte sex | ficken | gefickt | muschi | schwanz lutschen | titten
+    | femmes nues | photos nues | photos de nus | baiser | sucer | bite dure | chatte | seins nus | faire l amour | fait l amour | jouir | coucher avec
+    | mujeres desnudas | fotos desnudas | desnudas | tuvieron sexo | tener sexo | follar | follando | polla | tetas | coño | correrse | sexo oral"""
+SUGGESTIVE = """naked | nude | sex | sexy | breasts | tits | moan* | panting | pant* | undress* | unzip* | unbutton* | stripped | strip naked | tore off | ripped off | took off their | their clothes | her clothes | his clothes | his trousers | her trousers | her dress | her bra | her panties | his belt | her thighs | her skin | kissed | came twice | came hard | climax* | aroused | erect | erection | lust | to bed | in bed | adults only | strictly adults | over eighteen | grown women | wet | hot | clips | until morning | all night
+    | nackt* | sex auf | brüste | kleider vom leib | rissen sich | stöhn* | ab achtzehn | nu | nus | nue | nues | déshabill* | sexe | gémi* | excité* | sous les draps | pour adultes | desnud* | sexo | gemí* | adultos | se arrancaron | la ropa | excitad* | video* porno"""
+
+#: Phrases of factual use. A phrase takes back the hits inside it and no others.
+EXCEPTIONS = """naked eye | naked singularity | naked mole rat* | naked seed* | naked ape | sex ratio* | sex determination | sex chromosome* | sex linked | sex education | sex difference* | sex hormone* | sex cell* | same sex | breast muscle* | breast cancer | breast feeding | breast milk | breast tissue | blue tits | great tits | coal tits
+    | kill the process | kill the stuck process | kill signal | kill command | kill switch | kill ratio | shoot apex | rats and other vermin | rats and mice | lab rats | laboratory rats | rat race | wet sand | bare rock | hot ash | wet season | wet bulb | clown fish | clownfish | guinea pigs | pig iron | worm gear | leech therapy | the parasite | parasite and | a parasite is | parasite of | host and parasite | cut them in | cut them into | beat them until | beat them with | break them into | break them down | burn them in | crush them | bury them | cut her | shot her | hunt them
+    | prickly pear | prick the | death to life | whip them | skin them | drown them | poison them | destroy them | kill them"""
+#: Words that speak of a word. ``BEFORE`` takes back a hit that follows within
+#: ``REACH`` words, ``AFTER`` one that precedes it.
+BEFORE = "the word | the words | the term | the terms | the insult | the insults | the slur | the slurs | the label | the expression | words like | words such as | insults like | insults such as | slurs like | slurs such as | called him | called her | called them | calls him | calls her | calls the | das wort | der ausdruck | die beleidigung | le mot | l insulte | le terme | la palabra | el término | el insulto"
+AFTER = "is an insult | are insults | was an insult | as an insult | as insults | is a slur | are slurs | was a slur | as a slur | is an offensive word | is a word | is the word | is a term | are words | are terms | ist eine beleidigung | ist ein schimpfwort | est une insulte | es un insulto"
+REACH = 3
+
+#: Endings that ``*`` stands for.
+ENDINGS = {
+    "en": ("", "s", "es", "ed", "d", "ing", "ly"),
+    "de": ("", "e", "en", "er", "es", "em", "n", "s"),
+    "fr": ("", "e", "s", "es"),
+    "es": ("", "s", "es"),
+    "any": ("", "s", "es", "e", "en", "er", "ed", "d", "ing", "ion", "ions", "o", "a", "os", "as"),
+}
+
+
+def _endings(entry: str, language: str) -> Iterator[str]:
+    """An entry with each ending; English verbs also double or drop their last letter."""
+    if not entry.endswith("*"):
+        yield entry
+        return
+    stem = entry[:-1]
+    yield from (stem + e for e in ENDINGS[language])
+    if language == "en" and stem[-1] == "e":
+        yield from (stem[:-1] + e for e in ("ing", "ed"))
+    elif language == "en" and stem[-1] in "bgnpt" and stem[-2] in "aeiou":
+        yield from (stem + stem[-1] + e for e in ("ing", "ed"))
+
+
+def _listed(block: str) -> list[str]:
+    return [" ".join(e.split()) for e in block.split("|")]
+
+
+def lexicon() -> Iterator[tuple[str, float, str]]:
+    """(entry, weight, kind), made of the tables by rule."""
+    for language, words in INSULTS.items():
+        for word in words.split():
+            yield from ((e, 0.7, "abuse") for e in _endings(word, language))
+    for language, words in CONTEMPT.items():
+        for word in words.split():
+            yield from ((e, 0.45, "abuse") for e in _endings(word, language))
+    for block, weight, kind in ((VULGAR, 1.2, "abuse"), (ADDRESS, 0.45, "abuse"), (HARM, 0.7, "abuse"), (ANNOUNCED, 0.3, "abuse"), (DEHUMANISED, 1.2, "hate"), (BEAST_WORDS, 0.8, "hate"), (REMOVAL, 0.7, "hate"), (GROUPED, 0.3, "hate"), (EXPLICIT, 1.2, "sexual"), (SUGGESTIVE, 0.45, "sexual")):
+        for entry in _listed(block):
+            yield from ((e, weight, kind) for e in _endings(entry, "any"))
+    for act in VIOLENCE.split():
+        for form in _endings(act, "en"):
+            yield from ((f"{form} {victim}", 0.7, "abuse") for victim in _listed(VICTIMS))
+    for beast in BEASTS.split():
+        yield from ((f"{verb} {beast}", 0.8, "hate") for verb in ("are", "is", "are all", "are just", "are nothing but", "are a", "is a", "are subhuman", "as"))
+    for fate in REMOVED.split():
+        yield from ((f"{must} {fate}", 0.8, "hate") for must in ("should be", "must be", "ought to be", "should all be", "need to be", "have to be", "we should", "we must"))
+
 
 #: Letters of other alphabets and signs that look like Latin letters.
 LOOKALIKES = {
@@ -90,7 +146,7 @@ LOOKALIKES = {
 }
 _MARKED_INSIDE = re.compile(r"(?<=\w)[!|*](?=\w)")
 _STARRED = re.compile(r"(?<!\w)\w\*+\w*(?:\*+\w*)*")
-_SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_·][^\W_]){2,}(?!\w)")
+_SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_·][^\W_]){2,}(?![\w@$!|*])")
 
 
 class _Fold(dict):
@@ -124,10 +180,6 @@ def fold(text: str) -> str:
     return _SPACES.sub(" ", text.translate(_FOLD))
 
 
-def _entries(block: str) -> list[str]:
-    return [" ".join(e.split()) for e in block.split("|")]
-
-
 class Scorer:
     """The automaton and the table of starred words, built once per worker."""
 
@@ -137,61 +189,97 @@ class Scorer:
         self.automaton = ahocorasick.Automaton()
         self.by_shape: dict[tuple[str, str, int], str] = {}
         entries: dict[str, tuple[float, str]] = {}
-        for kind, weights in LEXICON.items():
-            for weight, block in weights.items():
-                for entry in _entries(block):
-                    entries.setdefault(fold(entry).strip(), (weight, kind))
-                    if " " not in entry:
-                        self.by_shape.setdefault((fold(entry[0]), fold(entry[-1]), len(entry)), entry)
-        for weight, block in EXCEPTIONS.items():
-            for entry in _entries(block):
-                entries[fold(entry).strip()] = (weight, "exception")
-        for entry, (weight, kind) in entries.items():
-            self.automaton.add_word(f" {entry} ", (weight, kind, entry))
+        for entry, weight, kind in lexicon():
+            key = fold(entry).strip()
+            if weight > entries.get(key, (0.0, ""))[0]:
+                entries[key] = (weight, kind)
+            if weight >= 0.45 and " " not in entry:
+                self.by_shape.setdefault((fold(entry[0]), fold(entry[-1]), len(entry)), entry)
+            for word in entry.split():
+                if len(word) > 3:
+                    self.by_shape.setdefault((fold(word[0]), fold(word[-1]), len(word)), word)
+        found: dict[str, list[tuple[float, str]]] = {entry: [(weight, kind)] for entry, (weight, kind) in entries.items()}
+        for block, kind in ((EXCEPTIONS, "inside"), (BEFORE, "before"), (AFTER, "after")):
+            for entry in _listed(block):
+                for form in _endings(entry, "any"):
+                    found.setdefault(fold(form).strip(), []).append((0.0, kind))
+        for entry, marks in found.items():
+            self.automaton.add_word(f" {entry} ", (entry, marks))
         self.automaton.make_automaton()
-        strong = (e for b in (LEXICON[k][w] for k in LEXICON for w in LEXICON[k] if w >= 0.7) for e in _entries(b))
         #: single words sought inside letters written apart, where borders are unsure
-        self.words = sorted({e for e in strong if " " not in e} | {"naked", "sex", "idiot", "parasite", "clown"}, key=len, reverse=True)
-        self.folded_words = [fold(w) for w in self.words]
+        self.words = sorted({e for e, (w, _) in entries.items() if w >= 0.45 and " " not in e and len(e) > 2} | {w for e, (weight, _) in entries.items() if weight >= 0.7 for w in e.split() if len(w) > 4}, key=len, reverse=True)
 
     def unstar(self, found: re.Match) -> str:
         word = found.group()
-        if not word.strip("*"):
+        last = word[-1]
+        if last == "*":
             return word
-        last = word[-1] if word[-1] != "*" else ""
-        if last:
-            return self.by_shape.get((fold(word[0]), fold(last), len(word)), word)
-        return word
+        return self.by_shape.get((fold(word[0]), fold(last), len(word)), word)
 
     def join(self, found: re.Match) -> str:
-        letters = re.sub(r"[ .\-_·]", "", found.group())
+        return " ".join(self._parted(re.sub(r"[ .\-_·]", "", found.group())))
+
+    def _parted(self, letters: str) -> list[str]:
+        """Letters written apart, cut where known words are."""
         folded = fold(letters)
-        for word, shape in zip(self.words, self.folded_words):
-            if shape in folded:
-                return f" {word} "
-        return letters
+        for word in self.words:
+            at = folded.find(word)
+            if at >= 0 and len(folded) == len(letters):
+                return [*self._parted(letters[:at]), f" {word} ", *self._parted(letters[at + len(word) :])]
+        return [letters] if letters else []
 
     def sentences(self, text: str) -> list[tuple[float, float, set[str]]]:
-        """(score, weight, kinds) of the sentences in which an entry was found."""
+        """(score, weight, kinds) of the sentences in which an entry was found. Each
+        entry counts once a sentence; a hit that an exception covers doesn't count."""
         if "*" in text:
             text = _STARRED.sub(self.unstar, text)
         text = _SPACED.sub(self.join, text)
         text = _MARKED_INSIDE.sub("i", text)
         folded = f" {fold(text)} ".replace("\n", " \n ").replace("  ", " ")
-        hits: dict[int, dict[str, tuple[float, str]]] = {}
-        for end, (weight, kind, entry) in self.automaton.iter(folded):
-            start = folded.rfind("\n", 0, end)
-            hits.setdefault(start, {})[entry] = (weight, kind)
+        by_sentence: dict[int, list[tuple[int, int, str, list[tuple[float, str]]]]] = {}
+        for end, (entry, marks) in self.automaton.iter(folded):
+            start = end - len(entry)
+            by_sentence.setdefault(folded.rfind("\n", 0, end), []).append((start, end, entry, marks))
         out = []
-        for start, found in hits.items():
-            stop = folded.find("\n", start + 1)
-            n_words = folded.count(" ", start + 1, stop if stop >= 0 else len(folded))
-            weight = sum(w for w, _ in found.values())
+        for begin, hits in by_sentence.items():
+            if sum(w for h in hits for w, _ in h[3]) < 0.05:
+                continue
+            spans = self.covered(folded, hits)
+            counted = {}
+            for start, end, entry, marks in hits:
+                for weight, kind in marks:
+                    if weight and not any(a <= start and end <= b for a, b in spans):
+                        counted[entry] = (weight, kind)
+            # an entry inside a longer one is the same hit
+            whole = {e: v for e, v in counted.items() if not any(e != o and f" {e} " in f" {o} " and v[0] <= counted[o][0] for o in counted)}
+            weight = sum(w for w, _ in whole.values())
             if weight > 0:
-                kinds = {k for w, k in found.values() if w > 0}
-                out.append((weight / max(1.0, n_words / USUAL_WORDS), weight, kinds))
+                stop = folded.find("\n", begin + 1)
+                n_words = folded.count(" ", begin + 1, stop if stop >= 0 else len(folded))
+                out.append((weight / max(1.0, n_words / USUAL_WORDS), weight, {k for _, k in whole.values()}))
         return out
 
+    @staticmethod
+    def covered(folded: str, hits: list[tuple[int, int, str, list[tuple[float, str]]]]) -> list[tuple[int, int]]:
+        """Spans whose hits are taken back: exception phrases, and ``REACH`` words after
+        or before words that speak of a word."""
+        spans = []
+        for start, end, _, marks in hits:
+            for _, kind in marks:
+                if kind == "inside":
+                    spans.append((start, end))
+                elif kind == "before":
+                    stop = end
+                    for _ in range(REACH):
+                        stop = folded.find(" ", stop + 1) if stop >= 0 else stop
+                    spans.append((start, stop if stop >= 0 else len(folded)))
+                elif kind == "after":
+                    begin = start
+                    for _ in range(REACH):
+                        begin = folded.rfind(" ", 0, begin) if begin > 0 else begin
+                    spans.append((max(begin, 0) - 1, end))
+        return spans
+
 
 @lru_cache(maxsize=1)
 def scorer() -> Scorer:
