@@ -5,7 +5,7 @@ normalised. Exponent 1 gives the targets, exponent 0 the shares as they are;
 without targets the same solver tempers ``q^a``. The exponent is bisected to meet
 a repetition limit (no source used beyond ``max_repeats`` times its size) or a
 target entropy. Without a wanted total the mix is as large as it can be with every
-present source at its target, so the exponent is 1.
+present source at its target, and the bisection ends at exponent 1.
 
 A budget is realised block by block: a block is one permutation of a source's
 documents, by a seeded hash; whole blocks count whole, and the last one is cut
@@ -75,10 +75,9 @@ def largest_total(sources: list[Source]) -> float:
 def solve(sources: list[Source], total: float | None = None) -> tuple[float, float, list[float]]:
     """(exponent, total, weights) under the repetition limits. If even the natural
     shares exceed a limit, the surplus of full sources goes to the others."""
-    limit = largest_total(sources)
-    if total is None or total <= limit:
-        return 1.0, limit if total is None else total, tempered(sources, 1.0)
-    total = min(total, sum(s.max_repeats * s.tokens for s in sources if s.target > 0))
+    total = largest_total(sources) if total is None else min(total, sum(s.max_repeats * s.tokens for s in sources if s.target > 0))
+    if not total:
+        return 1.0, 0.0, tempered(sources, 1.0)
 
     def fits(exponent: float) -> bool:
         return all(w * total <= s.max_repeats * s.tokens * (1 + 1e-9) for s, w in zip(sources, tempered(sources, exponent)))
@@ -140,7 +139,7 @@ def mix(spark: SparkSession, sizes: DataFrame, sources: list[Source], total: flo
     seeds give equal mixes, whatever the partitioning.
     """
     _, total, weights = solve(sources, total)
-    plan = F.broadcast(_plan(spark, sources, total, weights))  # one row per target source
+    plan = _plan(spark, sources, total, weights)  # one row per target source
     docs = sizes.where("n_tokens > 0").join(plan, "source")
 
     whole = docs.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
@@ -150,8 +149,8 @@ def mix(spark: SparkSession, sizes: DataFrame, sources: list[Source], total: flo
     last = last.withColumn("place", _place(F.col("block"), seed)).withColumn("range", F.floor(F.col("place") * RANGES))
     per_range = last.groupBy("source", "range").agg(F.sum("n_tokens").alias("in_range"))
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    # At most RANGES rows per target source.
-    ranges = F.broadcast(per_range.withColumn("through", F.sum("in_range").over(up_to)).withColumn("ahead", F.col("through") - F.col("in_range")).drop("in_range"))
+    # At most RANGES rows per target source; whether that is small enough to send everywhere is for the planner.
+    ranges = per_range.withColumn("through", F.sum("in_range").over(up_to)).withColumn("ahead", F.col("through") - F.col("in_range")).drop("in_range")
     placed = last.join(ranges, ["source", "range"]).where("ahead < rest")
     inside = placed.where("through <= rest").drop("range", "through", "ahead")
     order = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -183,31 +182,40 @@ def shares(spark: SparkSession, mixed: DataFrame, sources: list[Source], total:
     return joined.withColumn("share", F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())))
 
 
+#: Tokens of a mix, as a share of what the target sources have.
+WANTED = 0.25
+
+
 def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, list[Source]]:
     sizes = source_sizes(table(spark, folder, "documents"))
     return sizes, source_totals(sizes, table(spark, folder, "source_targets"))
 
 
+def wanted_total(sources: list[Source]) -> float:
+    return WANTED * sum(s.tokens for s in sources if s.target > 0)
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix that grows with the corpus: as near to the targets as the repetition limits allow."""
     sizes, sources = _prepared(spark, folder)
-    return mix(spark, sizes, sources)
+    return mix(spark, sizes, sources, wanted_total(sources))
 
 
 def p8_uses(spark: SparkSession, folder: str) -> DataFrame:
     sizes, sources = _prepared(spark, folder)
-    return uses(spark, sizes, sources)
+    return uses(spark, sizes, sources, wanted_total(sources))
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     sizes, sources = _prepared(spark, folder)
-    return shares(spark, mix(spark, sizes, sources), sources)
+    total = wanted_total(sources)
+    return shares(spark, mix(spark, sizes, sources, total), sources, total)
 
 
-def p8_shares_large(spark: SparkSession, folder: str) -> DataFrame:
-    """A mix of half the tokens of the target sources: the exponent gives way to the limits."""
+def p8_shares_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest mix in which every present source has its target: exponent 1."""
     sizes, sources = _prepared(spark, folder)
-    total = sum(s.tokens for s in sources if s.target > 0) / 2
-    return shares(spark, mix(spark, sizes, sources, total), sources, total)
+    return shares(spark, mix(spark, sizes, sources), sources)
 
 
 def p8_temperature(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,5 +228,5 @@ def p8_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, tokens bigint, weight double, exponent double")
 
 
-QUERIES = {"p8_uses": p8_uses, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_large": p8_shares_large, "p8_temperature": p8_temperature}
+QUERIES = {"p8_mix": p8_mix, "p8_uses": p8_uses, "p8_shares": p8_shares, "p8_shares_exact": p8_shares_exact, "p8_temperature": p8_temperature}
 SQL: dict[str, str] = {}
