@@ -1,7 +1,7 @@
 """Lines repeated across the files of one site.
 
 Every line becomes an identifier of its letters; a file is the sequence of its
-line identifiers over all its chunks. PrefixSpan grows frequent sequences per site,
+line identifiers over all its chunks, each at its first place. PrefixSpan grows frequent sequences per site,
 with support in distinct files: lines with enough files are the frequent sequences of
 length one, and a sequence is extended by every frequent line of its projections until
 none is left. Of sequences that begin with one line, only those are kept that no longer
@@ -13,6 +13,8 @@ lines are deleted from each text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,59 +89,52 @@ def repeated_lines(chunks: DataFrame, min_files: int = MIN_FILES, min_share: flo
 
 
 class Projection:
-    """The files of a site from a first line on: what follows it, and how many files."""
+    """The files of a site from a first line on: what follows it, and how many files.
+    No file has a line twice, so a sequence has one instance in a file."""
 
     def __init__(self, first: int, rests: list[tuple[int, ...]], files: list[int]) -> None:
         self.rows, self.files = [(first, *rest) for rest in rests], files
+        bits = {line: 1 << k for k, line in enumerate({line for row in self.rows for line in row})}
+        #: per file and place the lines before it, as bits
+        self.before = [list(accumulate((bits[line] for line in row), or_, initial=0)) for row in self.rows]
 
     def support(self, places: list[tuple[int, tuple[int, ...]]]) -> int:
         return sum(self.files[i] for i, _ in places)
 
     def following(self, places: list[tuple[int, tuple[int, ...]]]) -> dict[int, list[tuple[int, tuple[int, ...]]]]:
-        """Lines after the first instance of a sequence, with the places of the longer one.
-        ``places``: file and where the lines of that instance stand."""
+        """Lines after a sequence, with the places of the longer one. ``places``: file and
+        where the lines of the sequence stand in it."""
         out: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
         for i, at in places:
-            row, seen = self.rows[i], set()
+            row = self.rows[i]
             for k in range(at[-1] + 1, len(row)):
-                if row[k] not in seen:
-                    seen.add(row[k])
-                    out.setdefault(row[k], []).append((i, (*at, k)))
+                out.setdefault(row[k], []).append((i, (*at, k)))
         return out
 
-    def inserted(self, sequence: list[int], places: list[tuple[int, tuple[int, ...]]], whole: bool) -> bool:
+    def inserted(self, length: int, places: list[tuple[int, tuple[int, ...]]]) -> bool:
         """Whether some line stands in every file between the same two lines of the
-        sequence: inside its first instance, or (``whole``) up to its last one. The first
-        means that no sequence grown from this one can be without such a line."""
-        gaps: list[set[int] | None] = [None] * (len(sequence) - 1)
-        open_gaps = len(gaps)
-        for i, at in places:
-            row, stop = self.rows[i], len(self.rows[i]) if whole else at[-1] + 1
-            for k in range(len(sequence) - 1, 0, -1):
-                stop = next(j for j in range(stop - 1, -1, -1) if row[j] == sequence[k])
-                gap = gaps[k - 1]
-                if gap is None:
-                    gaps[k - 1] = set(row[at[k - 1] + 1 : stop])
-                elif gap:
-                    gap.intersection_update(row[at[k - 1] + 1 : stop])
-                else:
-                    continue
-                open_gaps -= not gaps[k - 1]
-            if open_gaps <= 0:
-                return False
-        return any(gaps)
+        sequence. Then no sequence grown from this one can be closed."""
+        for k in range(1, length):
+            common = -1
+            for i, at in places:
+                before = self.before[i]
+                common &= before[at[k]] & ~before[at[k - 1] + 1]
+                if not common:
+                    break
+            if common:
+                return True
+        return False
 
     def grow(self, need: float) -> Iterator[tuple[list[int], int]]:
         """(sequence, support), depth first: closed frequent sequences from the first line on."""
-        first = self.rows[0][0]
-        stack = [([first], [(i, (0,)) for i in range(len(self.rows))])]
+        stack = [([self.rows[0][0]], [(i, (0,)) for i in range(len(self.rows))])]
         while stack:
             sequence, places = stack.pop()
-            if self.inserted(sequence, places, whole=False):
+            if self.inserted(len(sequence), places):
                 continue  # the same files are reached with that line, and further
             support, following = self.support(places), self.following(places)
             longer = {line: self.support(own) for line, own in following.items()}
-            if support not in longer.values() and not self.inserted(sequence, places, whole=True):
+            if support not in longer.values():
                 yield sequence, support
             for line, own in following.items():
                 if longer[line] >= need:
@@ -150,16 +145,16 @@ def frequent_sequences(lines: DataFrame, files: DataFrame, min_files: int = MIN_
     """PrefixSpan: (site, sequence array<long>, support), of any length, closed among
     those with the same first line.
 
-    A file is the sequence of its frequent lines over all its chunks, and a sequence
-    may leave out lines between its own. Files with equal sequences are combined
+    A file is the sequence of its frequent lines over all its chunks, each at its first
+    place, and a sequence may leave out lines between its own. Files with equal sequences are combined
     before they are projected on each first line; a projection, with equal rests
     combined again, is grown in one task.
     """
     frequent = frequent_lines(lines, files, min_files, min_share)
     kept = occurrences(lines.where("doc_id is not null"), materialize(frequent.select("site", "line_id"), "frequent"))
     in_order = F.array_sort(F.collect_list(F.struct("chunk_pos", "line_no", "line_id")))
-    whole = kept.groupBy("site", "doc_id").agg(F.transform(in_order, lambda x: x["line_id"]).alias("whole")).groupBy("site", "whole").agg(F.count("*").alias("files"))
-    firsts = whole.select("site", "whole", "files", F.explode(F.array_distinct("whole")).alias("first"))
+    whole = kept.groupBy("site", "doc_id").agg(F.array_distinct(F.transform(in_order, lambda x: x["line_id"])).alias("whole")).groupBy("site", "whole").agg(F.count("*").alias("files"))
+    firsts = whole.select("site", "whole", "files", F.explode("whole").alias("first"))
     rest = F.expr("slice(whole, cast(array_position(whole, first) as int) + 1, size(whole))")
     projected = firsts.select("site", "first", rest.alias("rest"), "files").groupBy("site", "first", "rest").agg(F.sum("files").alias("files"))
 
