@@ -33,7 +33,7 @@ HELD_PATTERNS = 300_000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Spoiled clauses are far more frequent in the fit than among cards; their log
 #: odds are lowered by so much afterwards.
-PRIOR = np.array([0.0, 1.0, 1.0, 1.0, 2.5])
+PRIOR = np.array([0.0, 1.0, 1.0, 1.0, 2.2])
 
 #: Frequent function words of four languages.
 FUNCTION_WORDS = {
@@ -47,32 +47,71 @@ LANGUAGE_NAMES = r"\b(?:french|german|spanish|english|italian|latin|französisch
 #: Fields with nothing in them.
 PLACEHOLDERS = set("n/a na n.a. none null nil tbd tba todo blank empty missing placeholder xxx nan undefined void leer keine nichts vide aucun vacío ninguno nada".split()) | {"to do", "to be done", "to be added", "fill in", "no answer", "not available"}
 #: What refusals are made of: who speaks, what can't be, and what of.
-SPEAKER = r"\b(?:i|i'm|im|i'll|i've|me|my|as an? (?:ai|assistant|language model|model)|assistant|language model|ich|mir|mich|mein\w*|sprachmodell|assistent|je|j'ai|moi|mes|assistante?|modèle|yo|mi|mis|me|asistente|modelo|puedo|lo siento|désolé|sorry|apologies|unfortunately|leider|malheureusement|lamento|tut mir leid)\b"
-CANNOT = r"(?:\b(?:cannot|can't|cant|can not|won't|wont|will not|unable|not able|not allowed|not permitted|do not let|don't let|don't have|do not have|have no|beyond what|decline|refuse|must refuse|no answer|cannot be|instead|kann (?:ich )?(?:dazu |das |hierzu )?nicht\w*|darf|nicht beantworten|nicht helfen|nichts sagen|ablehnen|ne peux pas|ne puis|refuser|impossible|ne suis pas|no puedo|no me es|no es posible|no tengo|debo rechazar|rechazar)\b)"
-HELP = r"\b(?:help|assist|answer\w*|respond|reply|request|question|questions|prompt|guidelines?|policy|continue|provide that|do that|guess|give an answer|access to|information to|beantworten|helfen|frage|anfrage|dazu|auskunft|répondre|aider|demande|question|ayudar|responder|pregunta|solicitud|teacher|produced)\b"
-_SPEAKER, _CANNOT, _HELP, _ASKS = (re.compile(p, re.I) for p in (SPEAKER, CANNOT, HELP, LANGUAGE_NAMES))
-#: words of the patterns; a clause without any of them needs no search
-_CUES = frozenset(w for p in (SPEAKER, CANNOT, HELP) for w in re.findall(r"[^\W_]+(?:['’][^\W_]+)?", re.sub(r"\\.|\?", " ", p).lower())) | {"answers", "answered", "questions", "guideline", "meine", "meiner", "meinen"}
-#: Refusals that the fit learns from, besides the features.
+SPEAKER = """i | i'm | im | i'll | i've | me | my | assistant | language model | as an ai | as a model | unfortunately | apologies | sorry
+    | ich | mir | mich | mein | meine | meiner | meinen | sprachmodell | assistent | leider | je | j'ai | moi | mes | assistante | modèle | malheureusement | désolé | désolée | yo | mi | mis | asistente | modelo | puedo | siento | lamento"""
+CANNOT = """cannot | can't | cant | can not | won't | wont | will not | unable | not able | not allowed | not permitted | not going to | do not let | don't let | don't have | do not have | have no | do not feel | don't feel | rather not | prefer not | not comfortable | uncomfortable | beyond what | decline | refuse | no answer | instead | something else
+    | kann nicht | kann ich nicht | kann das nicht | kann dazu nicht | kann ich dazu nichts | darf | nicht beantworten | nicht helfen | nichts sagen | ablehnen | ne peux pas | ne puis | refuser | impossible | ne suis pas | no puedo | no me es | no es posible | no tengo | debo rechazar | rechazar"""
+HELP = """help | assist | answer | answers | answered | answering | respond | reply | request | question | questions | prompt | guideline | guidelines | policy | policies | continue | provide that | do that | do this | guess | access to | information to | discuss | discussing | comment on | talk about | comfortable | consult | teacher | produced
+    | beantworten | helfen | frage | anfrage | dazu | auskunft | répondre | aider | demande | question | ayudar | responder | pregunta | solicitud"""
+#: Refusals that the fit learns from are made of these, besides the features.
+OPENERS = ("", "", "Sorry,", "I'm sorry, but", "Unfortunately", "Apologies,", "As an AI language model,", "As an assistant,")
+INABILITY = ("I can't", "I cannot", "I cant", "I can not", "I am unable to", "I'm not able to", "I won't", "I will not", "I must decline to", "I would rather not", "I am not allowed to", "I don't feel comfortable to", "my guidelines don't let me", "I have no way to")
+ACTS = ("help with that", "answer", "answer this question", "answer questions about this", "do that", "do this", "discuss that", "talk about it", "respond to this request", "provide that", "provide that information", "continue", "assist you here", "give an answer", "say anything on this prompt")
+#: ... or of these, where nobody speaks.
+NOTHING = ("No answer", "No reply", "No response", "Nothing", "No explanation", "No statement")
+SAID = ("can be given", "can be provided", "can be offered", "may be given", "is possible", "is available", "will be given", "can be produced")
+WHERE = ("for this question", "to this prompt", "on this request", "here", "for that", "to your question")
+TAILS = ("", "", "", "", "Is there something more?", "Please ask somebody else.", "Let me know if you need more.", ":-)", "(generated message)", "Let us change the topic.")
 REFUSALS = (
-    "I cannot help with that.", "I'm sorry, but I can't answer this question.", "As an AI language model, I am unable to respond to this request.", "Sorry, I do not have the information to answer.", "I won't be able to assist with this prompt.",
-    "My guidelines do not allow me to continue.", "Unfortunately I can't provide that.", "I am not able to answer questions about this.", "No answer can be given for this question.", "Ask your teacher instead, I will not answer this.",
+    "I do not have the information to answer.", "No answer can be given for this question.", "Ask your teacher instead, I will not answer this.", "That goes beyond what I may help with.", "I have no access to what is needed and don't want to guess.",
     "Es tut mir leid, das kann ich nicht beantworten.", "Als Sprachmodell darf ich dazu nichts sagen.", "Dazu kann ich leider nichts sagen.", "Je suis désolé, je ne peux pas répondre.", "En tant qu'assistant, je ne peux pas aider.", "Lo siento, no puedo responder.", "Como modelo no puedo ayudar con esto.",
 )
+_ASKS = re.compile(LANGUAGE_NAMES, re.I)
+
+
+class Cue:
+    """Words and phrases, one of which a clause has or hasn't."""
+
+    def __init__(self, block: str) -> None:
+        entries = [" ".join(e.split()) for e in block.split("|")]
+        self.words = frozenset(e for e in entries if " " not in e)
+        self.phrases = [f" {e} " for e in entries if " " in e]
+        self.heads = frozenset(e.split()[0] for e in self.phrases)
+
+    def found(self, own: set[str], line: str) -> bool:
+        return not own.isdisjoint(self.words) or (not own.isdisjoint(self.heads) and any(e in line for e in self.phrases))
+
+
+_SPEAKER, _CANNOT, _HELP = Cue(SPEAKER), Cue(CANNOT), Cue(HELP)
+
+
+def made_refusal(rng: np.random.Generator) -> str:
+    said, kind = str(rng.choice(REFUSALS)), rng.random()
+    if kind < 0.15:
+        said = f"{rng.choice(NOTHING)} {rng.choice(SAID)} {rng.choice(WHERE)}."
+    elif kind < 0.8:
+        said = " ".join(p for p in (str(rng.choice(OPENERS)), str(rng.choice(INABILITY)), str(rng.choice(ACTS))) if p)
+        said = said[:1].upper() + said[1:] + "."
+    shape = rng.integers(6)
+    if shape == 0:
+        said = said.rstrip(".").lower()
+    elif shape == 1:
+        said = said.rstrip(".").lower().replace("'", "") + str(rng.choice([", sorry", " sorry", ""]))
+    elif shape == 2:
+        said = said.upper()
+    return f"{said} {rng.choice(TAILS)}".strip()
+
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _CLAUSE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|\n+")
 _CLOZE = re.compile(r"\{\{c\d+::(.*?)(?:::[^}]*)?\}\}")
 _TAGS = re.compile(r"<[^<>]*>|&\w+;|&#\d+;")
-_BY_LANGUAGE = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-_LANGUAGES = tuple(_BY_LANGUAGE)
-#: word -> which languages have it
-_SPOKEN: dict[str, np.ndarray] = {}
-for _lang, _words in _BY_LANGUAGE.items():
-    for _w in _words:
-        _SPOKEN.setdefault(_w, np.zeros(len(_LANGUAGES)))[_LANGUAGES.index(_lang)] = 1.0
-for _w, _v in _SPOKEN.items():
-    _SPOKEN[_w] = _v / _v.sum()
+_LANGUAGES = tuple(FUNCTION_WORDS)
+#: word -> its vote for each of the languages that have it
+_SPOKEN: dict[str, tuple[tuple[int, float], ...]] = {}
+for _w in {w for words in FUNCTION_WORDS.values() for w in words.split()}:
+    _in = [k for k, lang in enumerate(_LANGUAGES) if _w in FUNCTION_WORDS[lang].split()]
+    _SPOKEN[_w] = tuple((k, 1 / len(_in)) for k in _in)
 _ACCENTS = {"ä": 1, "ö": 1, "ü": 1, "ß": 1, "é": 2, "è": 2, "ê": 2, "à": 2, "ç": 2, "û": 2, "î": 2, "œ": 2, "ñ": 3, "í": 3, "ó": 3, "á": 3, "ú": 3, "¿": 3, "¡": 3}
 N_FEATURES = 22
 
@@ -92,11 +131,11 @@ def clauses(text: str) -> list[str]:
     return parts
 
 
-def language_votes(words: list[str], text: str) -> np.ndarray:
-    votes = np.zeros(len(_LANGUAGES))
+def language_votes(words: list[str], text: str) -> list[float]:
+    votes = [0.0] * len(_LANGUAGES)
     for w in words:
-        if w in _SPOKEN:
-            votes += _SPOKEN[w]
+        for k, vote in _SPOKEN.get(w, ()):
+            votes[k] += vote
     if not text.isascii():
         for c in set(text.lower()):
             if c in _ACCENTS:
@@ -106,15 +145,15 @@ def language_votes(words: list[str], text: str) -> np.ndarray:
 
 def skeleton(words: list[str]) -> list[str]:
     """For each word, the pattern of function words up to it; runs of others are one star."""
-    out, pattern, star = [], [], False
+    out, pattern, star = [], "", False
     for w in words:
         if w in _SPOKEN:
-            pattern.append(w)
+            pattern += f" {w}"
             star = False
         elif not star:
-            pattern.append("#" if w.isdigit() else "*")
+            pattern += " #" if w.isdigit() else " *"
             star = True
-        out.append(" ".join(pattern))
+        out.append(pattern)
     return out
 
 
@@ -189,7 +228,7 @@ class Front:
         self.words = _WORD.findall(text.lower())
         self.set = frozenset(self.words)
         self.votes = language_votes(self.words, text)
-        self.lang = int(self.votes.argmax()) if self.votes.max() >= 2 else -1
+        self.lang = self.votes.index(max(self.votes)) if max(self.votes) >= 2 else -1
         self.asks = bool(_ASKS.search(text))
         self.cloze = card_type == "cloze"
 
@@ -202,12 +241,11 @@ def features(clause: str, front: Front, endings: Endings, first: bool, final: bo
     inside = len(shared) / max(len(own), 1)
     covers = len(shared) / max(len(front.set), 1)
     votes = language_votes(words, clause)
-    foreign = 0.0
-    if front.lang >= 0 and votes.max() > 0:
-        foreign = (votes.max() - votes[front.lang]) / n if votes.argmax() != front.lang else -votes[front.lang] / n
-    speaker = cannot = helps = False
-    if not own.isdisjoint(_CUES):
-        speaker, cannot, helps = (bool(p.search(clause)) for p in (_SPEAKER, _CANNOT, _HELP))
+    foreign, most = 0.0, max(votes)
+    if front.lang >= 0 and most > 0:
+        foreign = (most - votes[front.lang]) / n if votes.index(most) != front.lang else -votes[front.lang] / n
+    line = f" {' '.join(words)} "
+    speaker, cannot, helps = (cue.found(own, line) for cue in (_SPEAKER, _CANNOT, _HELP))
     bare = clause.rstrip().rstrip("\"'”»")
     end = bare[-1:] if bare else ""
     word_end, pattern_end, known = endings.rates(words) if words and final else (0.0, 0.0, 1.0)
@@ -232,19 +270,23 @@ class Crf:
     def __init__(self, emit: np.ndarray, move: np.ndarray) -> None:
         self.emit, self.move = emit, move
 
-    def decode(self, rows: np.ndarray) -> list[int]:
+    def decode(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tags of the clauses of many fields, one after the other; fields of equal
+        length are decoded at once."""
         scores = rows @ self.emit.T
-        if len(rows) == 1:
-            return [int(scores[0].argmax())]
-        best, back = scores[0], []
-        for row in scores[1:]:
-            ways = best[:, None] + self.move
-            back.append(ways.argmax(0))
-            best = ways.max(0) + row
-        path = [int(best.argmax())]
-        for pointers in reversed(back):
-            path.append(int(pointers[path[-1]]))
-        return path[::-1]
+        tags = scores.argmax(1)
+        starts = np.cumsum(lengths) - lengths
+        for length in np.unique(lengths[lengths > 1]):
+            own = starts[lengths == length]
+            best, back = scores[own], []
+            for step in range(1, length):
+                ways = best[:, :, None] + self.move
+                back.append(ways.argmax(1))
+                best = ways.max(1) + scores[own + step]
+            tags[own + length - 1] = path = best.argmax(1)
+            for step in range(length - 2, -1, -1):
+                tags[own + step] = path = back[step][np.arange(len(own)), path]
+        return tags
 
     @staticmethod
     def fit(sequences: list[tuple[np.ndarray, list[int]]], rounds: int = 120, decay: float = 1e-4) -> Crf:
@@ -306,8 +348,8 @@ def _spoiled(rng: np.random.Generator, front: str, parts: list[str], others: lis
             kept = kept.rstrip(".,") + " " + str(rng.choice(["because the", "and the", "of a", "which", "and"]))
         kept = kept.rstrip(".")
         yield [*parts[:-1], kept], [0] * (len(parts) - 1) + [4]
-    refusal = str(rng.choice(REFUSALS))
-    yield [refusal if rng.random() < 0.7 else refusal.rstrip(".").lower()], [1]
+    refusal = clauses(made_refusal(rng))
+    yield refusal, [1] * len(refusal)
     question = _CLOZE.sub(r"\1", front).strip()
     if len(question.split()) > 4:
         shape = rng.integers(5)
@@ -316,7 +358,7 @@ def _spoiled(rng: np.random.Generator, front: str, parts: list[str], others: lis
         made = clauses(echo)
         yield made, [2] * len(made)
     if others:
-        other = clauses(str(rng.choice(others)))
+        other = clauses(others[int(rng.integers(len(others)))])
         if other:
             yield other, [3] * len(other)
 
@@ -341,10 +383,11 @@ def fit(sample: list[tuple[str | None, str | None, str | None, str | None]], see
             fields.append((front, text, parts, is_extra, kind or ""))
             if lang >= 0 and len(text.split()) > 5:
                 votes = language_votes(_WORD.findall(text.lower()), text)
-                if int(votes.argmax()) == lang:
+                if votes.index(max(votes)) == lang:
                     by_lang.setdefault(lang, []).append(text)
     if known is None:
         endings.settle()
+    foreign = {own: [t for lang, texts in by_lang.items() if lang != own for t in texts] for own in by_lang}
     sequences = []
     for front, _, parts, is_extra, kind in fields:
         asked = Front(front, kind)
@@ -354,10 +397,9 @@ def fit(sample: list[tuple[str | None, str | None, str | None, str | None]], see
 
         sequences.append((rows(parts), [0] * len(parts)))
         if rng.random() < 0.5:
-            others = [t for lang, texts in by_lang.items() if lang != asked.lang for t in texts[:200]] if asked.lang >= 0 else []
+            others = foreign.get(asked.lang, [])
             for made, tags in _spoiled(rng, front, parts, others, kind):
                 sequences.append((rows(made), tags))
-    sequences = [s for s in sequences if len(s[1]) <= 6]
     if not sequences:
         return Crf(np.zeros((len(TAGS), N_FEATURES)), np.zeros((len(TAGS),) * 2)), endings
     crf = Crf.fit(sequences)
@@ -365,39 +407,42 @@ def fit(sample: list[tuple[str | None, str | None, str | None, str | None]], see
     return crf, endings
 
 
-def field_tags(crf: Crf, endings: Endings, front: Front, text: str, extra: bool) -> list[tuple[str, str]]:
-    parts = clauses(text)
-    if not parts:
-        return []
-    last = len(parts) - 1
-    tags = crf.decode(np.array([features(c, front, endings, i == 0, i == last, extra) for i, c in enumerate(parts)]))
-    return [(c, TAGS[t]) for c, t in zip(parts, tags)]
+def judged(crf: Crf, endings: Endings, cards: Iterable[tuple[str | None, str | None, str | None, str | None]]) -> list[str | None]:
+    """The defect of each (front, back, extra, card_type), or None. The first that holds:
+    empty, refusal, copy, language, truncated. A tag holds for a field if its clauses
+    cover enough of it."""
+    out: list[str | None] = []
+    fields: list[tuple[int, bool, list[str]]] = []
+    rows: list[list[float]] = []
+    for at, (front, back, extra, card_type) in enumerate(cards):
+        out.append("empty" if is_empty(front) or is_empty(back) else None)
+        if out[-1]:
+            continue
+        asked = Front(front, card_type)
+        for text, is_extra in ((back, False), (extra, True)):
+            parts = [] if is_empty(text) else clauses(text)
+            if parts:
+                fields.append((at, is_extra, parts))
+                rows += [features(c, asked, endings, i == 0, i == len(parts) - 1, is_extra) for i, c in enumerate(parts)]
+    if not rows:
+        return out
+    lengths = np.array([len(parts) for _, _, parts in fields])
+    tags = crf.decode(np.array(rows), lengths)
+    found: dict[int, set[str]] = {}
+    for (at, is_extra, parts), start in zip(fields, np.cumsum(lengths) - lengths):
+        own = tags[start : start + len(parts)]
+        if not own.any():
+            continue
+        cover = np.bincount(own, [len(c) for c in parts], len(TAGS)) / sum(map(len, parts))
+        holds = {"refusal": cover[1] >= 0.4, "copy": cover[2] >= 0.8 and not is_extra, "language": cover[3] >= 0.5, "truncated": own[-1] == 4}
+        found.setdefault(at, set()).update(d for d, h in holds.items() if h)
+    for at, kinds in found.items():
+        out[at] = next((d for d in ("refusal", "copy", "language", "truncated") if d in kinds), None)
+    return out
 
 
 def pair_defect(crf: Crf, endings: Endings, front: str | None, back: str | None, extra: str | None, card_type: str | None) -> str | None:
-    """The defect of a pair, or None. The first that holds: empty, refusal, copy,
-    language, truncated. A tag holds for a field if its clauses cover enough of it."""
-    if is_empty(front) or is_empty(back):
-        return "empty"
-    asked = Front(front, card_type)
-    found = set()
-    for text, is_extra in ((back, False), (extra, True)):
-        if is_empty(text):
-            continue
-        tagged = field_tags(crf, endings, asked, text, is_extra)
-        size = sum(len(c) for c, _ in tagged) or 1
-        cover = Counter()
-        for c, tag in tagged:
-            cover[tag] += len(c) / size
-        if cover["refusal"] >= 0.4:
-            found.add("refusal")
-        if cover["echo"] >= 0.8 and not is_extra:
-            found.add("copy")
-        if cover["foreign"] >= 0.5:
-            found.add("language")
-        if tagged[-1][1] == "unfinished":
-            found.add("truncated")
-    return next((d for d in ("refusal", "copy", "language", "truncated") if d in found), None)
+    return judged(crf, endings, [(front, back, extra, card_type)])[0]
 
 
 def all_endings(cards: DataFrame) -> Endings:
@@ -454,14 +499,9 @@ def find_defects(cards: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_crf, own_endings = shared.value
         for batch in batches:
-            ids, defects = [], []
-            for card, *texts in zip(batch.card_id, batch.front, batch.back, batch.extra, batch.card_type):
-                texts = [t if isinstance(t, str) else None for t in texts]
-                defect = pair_defect(own_crf, own_endings, *texts)
-                if defect:
-                    ids.append(card)
-                    defects.append(defect)
-            yield pd.DataFrame({"card_id": pd.Series(ids, dtype=object), "defect": pd.Series(defects, dtype=object)})
+            texts = [[t if isinstance(t, str) else None for t in batch[c]] for c in ("front", "back", "extra", "card_type")]
+            made = batch[["card_id"]].assign(defect=judged(own_crf, own_endings, zip(*texts)))
+            yield made[made.defect.notna()]
 
     return spread(rows).mapInPandas(run, "card_id string, defect string").groupBy("card_id").agg(F.min("defect").alias("defect"))
 
