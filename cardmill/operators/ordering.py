@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,37 +49,6 @@ def interleave(cards: DataFrame, deck: str, key: str, topic: str = "topic", seed
     return numbered(sized, [deck], spot, [F.xxhash64(topic, F.lit(seed)), F.col(key)], "place").drop("_rank", "_size")
 
 
-def interleave_exact(cards: DataFrame, deck: str, topic: str = "topic", place: str = "card_pos", seed: int = 42) -> DataFrame:
-    """The greedy order: always the topic with the most cards left that isn't the one
-    just shown, ties at random. A fold over a whole deck, so decks must fit a task;
-    ``interleave`` is for decks of any size."""
-    fields = [*cards.columns, "place"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(place)
-        rng = random.Random(seed)
-        piles: dict[str, list[int]] = {}
-        for at, name in zip(frame.index, frame[topic]):
-            piles.setdefault(name, []).append(at)
-        for pile in piles.values():
-            rng.shuffle(pile)
-            pile.reverse()
-        order, shown = [], None
-        while piles:
-            left = {t: len(p) for t, p in piles.items() if t != shown} or {t: len(p) for t, p in piles.items()}
-            most = max(left.values())
-            shown = rng.choice([t for t, n in left.items() if n == most])
-            order.append(piles[shown].pop())
-            if not piles[shown]:
-                del piles[shown]
-        made = frame.loc[order].copy()
-        made["place"] = range(1, len(made) + 1)
-        return made[fields]
-
-    schema = ", ".join([*(f"`{n}` {k}" for n, k in cards.dtypes), "place int"])
-    return cards.groupBy(deck).applyInPandas(run, schema)
-
-
 def avoidable_runs(cards: DataFrame, deck: str, place: str, topic: str = "topic") -> DataFrame:
     """(deck, avoidable_runs): neighbours of one topic while a card of another topic
     was still to come."""

@@ -63,12 +63,6 @@ def interleaved(spark: SparkSession, folder: str) -> DataFrame:
     return O.interleave(decks, "deck", "card_id", "topic")
 
 
-def interleaved_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """Topics here are the knowledge kinds of a document's cards."""
-    decks = _cards(spark, folder).where("source is not null").select(F.substring_index("source", ":", 1).alias("deck"), "card_id", F.coalesce("knowledge_kind", F.lit("")).alias("topic"))
-    return O.interleave_exact(decks, "deck", "topic", "card_id").select("deck", "place", "card_id", "topic")
-
-
 def deck_order(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "card_csv_rows")
     return O.first_seen(rows, "deck_file", "loaded_at")
@@ -103,7 +97,7 @@ def built_cards(spark: SparkSession, folder: str) -> DataFrame:
     return C.build_cards(C.classify_units(parsed_units(spark, folder)))
 
 
-QUERIES = {f.__name__: f for f in (rule_counts, simple_rule_counts, audit_summary, duplicate_cards, card_types, deck_runs, topic_runs, interleaved, interleaved_exact, deck_order, pending_import, card_tags, split_sentences, parsed_units, planned_units, built_cards)}
+QUERIES = {f.__name__: f for f in (rule_counts, simple_rule_counts, audit_summary, duplicate_cards, card_types, deck_runs, topic_runs, interleaved, deck_order, pending_import, card_tags, split_sentences, parsed_units, planned_units, built_cards)}
 
 _SIMPLE = (
     "MISSING_CONTENT", "MISSING_SOURCE", "UNLABELED_ENRICHMENT", "UNLABELED_INFERENCE", "INVALID_CONFIDENCE", "INVALID_KNOWLEDGE_KIND", "INVALID_LEARNING_PURPOSE", "INVALID_ORIGIN",

@@ -169,15 +169,14 @@ def test_coverage(spark):
     assert (row.covered_objectives, row.objective_coverage, row.deferred, row.omitted) == (1, 0.3333, 2, 1)
 
 
-@pytest.mark.parametrize("exact", [False, True])
-def test_interleaving(spark, exact):
+def test_interleaving(spark):
     rows = [("d", n, "ABC"[n // 6]) for n in range(18)]
     cards = spark.createDataFrame(rows, "deck string, card_pos int, topic string")
-    made = O.interleave_exact(cards, "deck") if exact else O.interleave(cards, "deck", "card_pos")
+    made = O.interleave(cards, "deck", "card_pos")
     assert sorted(r.card_pos for r in made.collect()) == list(range(18))
     assert O.avoidable_runs(made, "deck", "place").first().avoidable_runs == 0
     assert O.avoidable_runs(cards, "deck", "card_pos").first().avoidable_runs == 10
-    again = made if exact else O.interleave(cards.repartition(5), "deck", "card_pos")
+    again = O.interleave(cards.repartition(5), "deck", "card_pos")
     assert [r.card_pos for r in made.orderBy("place").collect()] == [r.card_pos for r in again.orderBy("place").collect()]
 
 
