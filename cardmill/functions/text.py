@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.functions import vocabulary as V
@@ -84,15 +84,22 @@ def delimited_pair(col: Column) -> Column:
     return F.coalesce(around(" :: "), around("\t"))
 
 
+def hide_verbatim(col: Column) -> Column:
+    """A text whose verbatim spans have stand-ins for the signs that part lists."""
+    runs = F.regexp_extract_all(col, F.lit(f"({V.VERBATIM}|[^`\"$\\\\]+|[`\"$\\\\])"), F.lit(1))
+    hidden = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^(?:{V.VERBATIM})$"), F.translate(r, ",; ", "\x01\x02\x03")).otherwise(r)), "")
+    return F.when(col.rlike(V.VERBATIM), hidden).otherwise(col)
+
+
 def list_items(col: Column) -> Column:
-    """Items of an enumeration; an empty array unless there are two or more and
-    none is longer than the limit. Commas in numbers are no separators."""
-    safe = F.regexp_replace(col, r"(?<=\d),(?=\d{3}\b)", "\x01")
+    """Items of an enumeration; an empty array unless there are two or more and none is
+    longer than the limit. Commas in numbers and signs in verbatim spans part nothing."""
+    safe = F.regexp_replace(hide_verbatim(col), r"(?<=\d),(?=\d{3}\b)", "\x01")
     by_comma = F.split(F.regexp_replace(safe, r"(?i),?\s+(?:and|or)\s+", ", "), ",")
     parts = F.when(safe.contains(";"), F.split(safe, ";")).otherwise(by_comma)
     items = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" ."))), lambda p: p != "")
-    items = F.transform(items, lambda p: F.translate(p, "\x01", ","))
-    sound = col.rlike("[,;]") & (F.size(items) >= 2) & ~F.exists(items, lambda p: F.size(words(p)) > V.MAX_LIST_ITEM_WORDS)
+    items = F.transform(items, lambda p: F.translate(p, "\x01\x02\x03", ",; "))
+    sound = col.rlike("[,;]") & (F.size(items) >= 2) & ~F.exists(items, lambda p: word_count(p) > V.MAX_LIST_ITEM_WORDS)
     return F.when(sound, items).otherwise(F.array().cast("array<string>"))
 
 
@@ -108,13 +115,17 @@ def sequence_items(col: Column) -> Column:
     return F.when(cue & F.size(items).between(3, V.MAX_LIST_ITEMS), items).otherwise(F.array().cast("array<string>"))
 
 
+#: A subject and, up to three words on, a verb in the past.
+PAST_CLAUSE = r"^(?:[A-Z][A-Za-z-]+|[a-z]+s|[Tt]he\s+\w+|[Aa]n?\s+\w+)\s+(?:\w+\s+){0,3}(?:\w+ed|laid|made|became|appeared)\b"
+
+
 def looks_like_clause(col: Column) -> Column:
     first = F.rtrim(F.lower(F.regexp_extract(col, r"^\s*(\S+)", 1)), F.lit(","))
     return (
         first.isin(*V.SUBORDINATORS)
         | col.rlike(r"[a-z]{3,}\.\s+[\"']?[A-Z]")
         | col.rlike(f"(?i){any_word(V.CLAUSE_MARKERS)}")
-        | F.btrim(col).rlike(r"^(?:[A-Z][A-Za-z-]+|[a-z]+s|[Tt]he\s+\w+|[Aa]n?\s+\w+)\s+(?:\w+\s+){0,3}(?:\w+ed|laid|made|became|appeared)\b")
+        | F.btrim(col).rlike(PAST_CLAUSE)
     )
 
 
@@ -128,7 +139,12 @@ def answer_items(col: Column) -> Column:
 
 def enumerated_items(col: Column) -> Column:
     """Members of a short enumeration without clauses or verbs."""
-    bare = F.btrim(plain(col), F.lit(" ."))
+    return members_of(plain(col))
+
+
+def members_of(text: Column) -> Column:
+    """``enumerated_items`` of a text that is plain already."""
+    bare = F.btrim(text, F.lit(" ."))
     items = list_items(bare)
     clausal = bare.rlike(f"(?i){any_word(V.NO_ENUMERATION_WORDS)}") | F.exists(items, lambda p: p.rlike(VERB))
     return F.when(~clausal, items).otherwise(F.array().cast("array<string>"))
@@ -146,13 +162,21 @@ def mnemonic(items: Column) -> Column:
 
 
 def component_estimate(col: Column) -> Column:
-    bare = F.regexp_replace(plain(col), r"(?<=\d),(?=\d{3}\b)", "\x01")
+    return components_of(plain(col))
+
+
+def components_of(text: Column) -> Column:
+    bare = F.regexp_replace(text, r"(?<=\d),(?=\d{3}\b)", "\x01")
     parts = F.filter(F.split(bare, "[,;]"), lambda p: F.btrim(p) != "")
     return F.greatest(F.size(parts), F.lit(1))
 
 
 def looks_compound(col: Column) -> Column:
-    parts = F.split(plain(col), r"(?i);|\s+(?:and|but|whereas|while)\s+")
+    return compound_of(plain(col))
+
+
+def compound_of(text: Column) -> Column:
+    parts = F.split(text, r"(?i);|\s+(?:and|but|whereas|while)\s+")
     return (F.size(parts) > 1) & (F.size(F.filter(parts, lambda p: p.rlike(VERB))) > 1)
 
 
@@ -169,7 +193,11 @@ def normal_alt(col: Column) -> Column:
 
 
 def is_generic(col: Column) -> Column:
-    return F.btrim(plain(col)).rlike("^(?:" + "|".join(V.GENERIC_STEMS) + ")")
+    return generic_of(plain(col))
+
+
+def generic_of(text: Column) -> Column:
+    return F.btrim(text).rlike("^(?:" + "|".join(V.GENERIC_STEMS) + ")")
 
 
 def needs_context(*cols: Column) -> Column:
@@ -248,3 +276,10 @@ def classify(text: Column, question: Column | None = None) -> Column:
         label = F.struct(F.lit(kind).alias("kind"), F.lit(purpose).alias("purpose"))
         found = F.when(test, label) if found is None else found.when(test, label)
     return found.otherwise(F.struct(F.lit("fact").alias("kind"), F.lit("recall").alias("purpose")))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns that are computed once. Filters on a generated column
+    stay behind it, so long expressions aren't repeated in them."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.select("*", F.inline(F.array(made)))

@@ -163,28 +163,21 @@ def balanced_types(units: DataFrame, key: str = "doc_id") -> DataFrame:
     return units.join(turned, [key, "unit_pos"], "left").withColumn("card_type", settled).drop("is_reverse", "routed")
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Rows with further columns that are computed once. Filters on a generated column
-    stay behind it, so long expressions aren't repeated in them."""
-    made = F.struct(*(c.alias(n) for n, c in columns.items()))
-    return rows.select("*", F.inline(F.array(made)))
-
-
 def build_cards(units: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cards of classified units (``kind``, ``purpose``, ``unit_id``); units for which
     nothing can be asked give none. Fields of text are HTML-escaped."""
     u = {c: T.text_or_empty(F.col(c)) for c in ("text", "question", "answer", "extra", "topic", "source", "kind", "image_url", "image_alt", "verbatim_kind")}
     full = lambda p: (F.btrim(p["front"]) != "") & (F.btrim(p["back"]) != "")
-    units = once(units.withColumn("image_url", u["image_url"]), parts=F.struct(*(c.alias(n) for n, c in parts_of(u).items())))
+    units = T.once(units.withColumn("image_url", u["image_url"]), parts=F.struct(*(c.alias(n) for n, c in parts_of(u).items())))
     u |= {n: F.col(f"parts.{n}") for n in ("subject", "object", "left", "verb", "right", "items", "term")}
     deferred = (u["question"] != "") & (u["answer"] != "") & must_defer(u["answer"], u["items"])
-    routed = once(units, routed=route(u), deferred=deferred).where("not deferred").drop("deferred")
+    routed = T.once(units, routed=route(u), deferred=deferred).where("not deferred").drop("deferred")
     may = F.col("routed") == "reverse?"
-    asked = once(routed, plain=prompt(u, F.when(may, F.lit("qa")).otherwise(F.col("routed"))), turned=F.when(may, prompt(u, F.lit("reverse"))))
+    asked = T.once(routed, plain=prompt(u, F.when(may, F.lit("qa")).otherwise(F.col("routed"))), turned=F.when(may, prompt(u, F.lit("reverse"))))
     makes = full(F.col("plain")) | F.coalesce(full(F.col("turned")), F.lit(False))
     settled = balanced_types(asked.withColumn("makes_card", makes), key)
     chosen = F.when((F.col("card_type") == "reverse") & F.col("turned").isNotNull(), F.col("turned")).otherwise(F.col("plain"))
-    asked = once(settled.drop("makes_card"), asked=chosen).where(full(F.col("asked")))
+    asked = T.once(settled.drop("makes_card"), asked=chosen).where(full(F.col("asked")))
     front, back = T.escape_html(F.col("asked.front")), T.escape_html(F.col("asked.back"))
     alt = F.when(u["image_url"] != "", T.normal_alt(u["image_alt"])).otherwise("")
     image = F.concat(F.lit('<br><img src="'), T.escape_html(u["image_url"]), F.lit('" alt="'), T.escape_html(alt), F.lit('">'))

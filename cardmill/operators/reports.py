@@ -19,7 +19,7 @@ def audit_checks(cards: DataFrame) -> DataFrame:
     """(check, passed, n_cards): named checks and the cards that fail them. One pass."""
     bad = {code: F.coalesce(test, F.lit(False)) for code, _, test, _ in R.card_rules()}
     failing = [F.count_if(_any([bad[c] for c in codes])).alias(name) for name, codes in CHECKS.items()]
-    row = cards.agg(*failing)
+    row = R.measured(cards).agg(*failing)
     pairs = F.array(*(F.struct(F.lit(n).alias("check"), (F.col(n) == 0).alias("passed"), F.col(n).alias("n_cards")) for n in CHECKS))
     return row.select(F.inline(pairs))
 
@@ -37,16 +37,47 @@ def remedies(cards: DataFrame) -> DataFrame:
 
 
 def calibration_report(approvals: DataFrame | None, reviews: DataFrame | None) -> DataFrame:
-    """One row: approval and retention, each ``not-provided`` without its log."""
-    given = lambda df, made: made(df).select(F.struct("*").alias("v")) if df is not None else None
-    a, r = given(approvals, L.approval_metrics), given(reviews, L.retention_metrics)
+    """One row: approval and retention, each ``not-provided`` without its log.
+
+    approval_metrics with rejection_reasons and edit_hotspots (arrays of name and n,
+    most first), retention_metrics with calibration_buckets (array, in order). Counts of
+    invalid rows are told apart by the log's name. Logs without rows give zero counts,
+    null rates and empty arrays.
+    """
     spark = (approvals if approvals is not None else reviews).sparkSession
-    base = spark.range(1).select(F.lit("ok" if a is not None else "not-provided").alias("approval_status"), F.lit("ok" if r is not None else "not-provided").alias("retention_status"))
-    for name, part in (("approval", a), ("retention", r)):
-        if part is not None:
-            base = base.join(part.select(F.col("v").alias(name)))  # one row by one row
-    flat = [f"{n}.*" for n, p in (("approval", a), ("retention", r)) if p is not None]
-    return base.select("approval_status", "retention_status", *flat)
+    status = lambda log: F.lit("ok" if log is not None else "not-provided")
+    row = spark.range(1).select(status(approvals).alias("approval_status"), status(reviews).alias("retention_status"))
+    parts = []
+    if approvals is not None:
+        parts.append(L.approval_metrics(approvals).withColumnRenamed("invalid_rows", "approval_invalid_rows"))
+        parts.append(_most_first(L.rejection_reasons(approvals), "reason", "rejection_reasons"))
+        parts.append(_most_first(L.edited_fields(approvals), "field", "edit_hotspots"))
+    if reviews is not None:
+        parts.append(L.retention_metrics(reviews).withColumnRenamed("invalid_rows", "retention_invalid_rows"))
+        bucket = F.struct("predicted_range", "mean_predicted", "mean_actual", "n")
+        parts.append(L.calibration_buckets(reviews).agg(F.array_sort(F.collect_list(bucket)).alias("calibration_buckets")))
+    for part in parts:
+        row = row.crossJoin(part)  # one row by one row
+    return row
+
+
+def _most_first(counts: DataFrame, name: str, alias: str) -> DataFrame:
+    """One row: an array of (name, n) by n, most first, ties by name. Reasons and fields
+    of a log are few kinds, ten calibration ranges at most."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(name).alias("name"))))
+    return counts.agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), (-x["m"]).alias("n"))).alias(alias))
+
+
+def all_violations(cards: DataFrame, decks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(rank, card_id, code, level, action): everything an audit finds, in one form. The
+    sources come in a fixed order: rules of cards (0), of the deck (1), of its settings,
+    coverage and rows (2, ``files`` with code and level), cards of equal sides (3)."""
+    none = F.lit(None).cast("string")
+    made = R.violations(cards).select(F.lit(0).alias("rank"), "card_id", "code", "level", "action")
+    made = made.unionByName(decks.select(F.lit(1).alias("rank"), none.alias("card_id"), "code", "level", none.alias("action")))
+    if files is not None:
+        made = made.unionByName(files.select(F.lit(2).alias("rank"), none.alias("card_id"), "code", "level", none.alias("action")))
+    return made.unionByName(R.duplicate_violations(cards).select(F.lit(3).alias("rank"), "card_id", "code", "level", "action"))
 
 
 def readiness(cards: DataFrame, n_deferred: int, n_unconverted: int) -> DataFrame:
@@ -69,9 +100,3 @@ def field_references(template: str, fields: list[str]) -> list[str]:
     built_in = {"FrontSide", "Tags", "Type", "Deck", "Subdeck", "Card", "CardFlag"}
     used = [m.split(":")[-1].strip() for m in re.findall(r"\{\{[#^/]?([^{}]+)\}\}", template)]
     return [f for f in dict.fromkeys(used) if f not in built_in and (not fields or f in fields)]
-
-
-def slug_path(*parts: str) -> str:
-    """A nested deck name such as ``Course::Module``."""
-    return "::".join(p.strip() for p in parts if p.strip())
-

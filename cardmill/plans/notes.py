@@ -131,7 +131,12 @@ SQL = {
     "draft_faults": _DRAFTS + "select coalesce(fault, 'none') fault, count(*) n from j group by 1",
     "authoring_prompts": f"select doc_id, cast(floor(unit_pos / 50) as bigint) part, count(*) units from {_U} group by 1, 2",
     "import_report": f"with n as (select card_id id, coalesce(topic, 'General') deck from {_C}), k as (select distinct card_id id from review_log where card_id is not null) select deck, count(*) notes, count(k.id) known, count(*) - count(k.id) pending from n left join k using (id) group by 1",
-    "calibration_report": f"select 'ok' approval_status, 'ok' retention_status, a.*, r.* from ({REVIEW['approval_metrics']}) a, ({REVIEW['retention_metrics']}) r",
+    "calibration_report": f"""
+select 'ok' approval_status, 'ok' retention_status, a.* rename (invalid_rows as approval_invalid_rows), r.* rename (invalid_rows as retention_invalid_rows),
+  (select coalesce(list({{'name': reason, 'n': n}} order by n desc, reason), []) from ({REVIEW['rejection_reasons']})) rejection_reasons,
+  (select coalesce(list({{'name': field, 'n': n}} order by n desc, field), []) from ({REVIEW['edited_fields']})) edit_hotspots,
+  (select coalesce(list({{'predicted_range': predicted_range, 'mean_predicted': mean_predicted, 'mean_actual': mean_actual, 'n': n}} order by predicted_range), []) from ({REVIEW['calibration_buckets']})) calibration_buckets
+from ({REVIEW['approval_metrics']}) a, ({REVIEW['retention_metrics']}) r""",
     "math_lines": r"""
 with t as (select distinct doc_id, chunk_pos, source, text, row_number() over () rn from chunks where text is not null), l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]')) raw from t),
 s as (select doc_id, trim(regexp_replace(regexp_replace(raw, '^[\s\x{a0}\x0b]+|[\s\x{a0}\x0b]+$', '', 'g'), '\s+', ' ', 'g')) t from l), w as (select *, len(regexp_extract_all(t, '[=+\-−*/×÷^<>≤≥≈≠∑∏∫√∂∇]')) ops, regexp_matches(t, '[A-Za-z0-9]') named from s where t <> '')
