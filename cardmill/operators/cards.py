@@ -1,18 +1,22 @@
 """From units to cards: type, prompt, mnemonic, explanation, stable id.
 
 Everything is Column expressions over the units but the balance of reverse and
-plain cards, which depends on the cards before in the same document: a fold over
-the document's units in order, as ``aggregate`` over a sorted array of small
-structs (position, whether it could be reversed, whether it makes a card).
+plain cards, which depends on the cards before in the same document: one pass over
+the document's units in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from cardmill.functions import text as T
 from cardmill.functions import vocabulary as V
+from cardmill.operators.layouts import CODE_TAG
 
 CANDIDATES = "Candidate Cards"
 _DEFINITION = r"(?i)^(.+?)\s+(?:is|means|refers to)\s+(.+?)[.!?]?$"
@@ -147,25 +151,41 @@ def _rest(template: str, text: Column, shape: str) -> list[Column]:
 
 def balanced_types(units: DataFrame, key: str = "doc_id") -> DataFrame:
     """Units with ``card_type`` settled: a unit that could be reversed is, while the
-    document has at most half as many reverse cards as plain ones so far."""
+    document has at most half as many reverse cards as plain ones so far.
+
+    One shuffle by document and one pass over its units in order, which adds a flag to
+    each row; the other columns pass through as they are. The units of a document come
+    from one text, so a document is never larger than what one task read before.
+    """
     made = F.col("makes_card") & (F.col("image_url") == "")
-    step = F.struct("unit_pos", (F.col("routed") == "reverse?").alias("may"), ((F.col("routed") == "qa") & made).alias("plain"), made.alias("makes"))
-    begin = F.struct(F.lit(0).alias("reverse"), F.lit(0).alias("qa"), F.array().cast("array<int>").alias("chosen"))
+    flags = {"_may": F.col("routed") == "reverse?", "_plain": (F.col("routed") == "qa") & made, "_makes": made}
+    rows = units.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}).repartition(key).sortWithinPartitions(key, "unit_pos")
+
+    read = (key, *flags)
 
-    def fold(acc: Column, x: Column) -> Column:
-        turn = x["may"] & (acc["reverse"] <= F.floor(acc["qa"] / 2))
-        plain = x["plain"] | (x["may"] & ~turn & x["makes"])
-        return F.struct((acc["reverse"] + (turn & x["makes"]).cast("int")).alias("reverse"), (acc["qa"] + plain.cast("int")).alias("qa"), F.when(turn, F.array_append(acc["chosen"], x["unit_pos"])).otherwise(acc["chosen"]).alias("chosen"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reverse, plain_ones = object(), 0, 0
+        for batch in batches:
+            turned = []
+            for doc, *own in zip(*(batch.column(c).to_pylist() for c in read)):
+                may, plain, makes = own
+                if doc != at:
+                    at, reverse, plain_ones = doc, 0, 0
+                turned.append(may and reverse <= plain_ones // 2)
+                reverse += turned[-1] and makes
+                plain_ones += plain or (may and not turned[-1] and makes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(turned, pa.bool_())], names=[*batch.schema.names, "_turned"])
 
-    chosen = units.groupBy(key).agg(F.array_sort(F.collect_list(step)).alias("steps")).select(key, F.aggregate("steps", begin, fold)["chosen"].alias("chosen"))
-    turned = chosen.select(key, F.explode("chosen").alias("unit_pos")).withColumn("is_reverse", F.lit(True))
-    settled = F.when(F.col("routed") != "reverse?", F.col("routed")).when(F.col("is_reverse"), "reverse").otherwise("qa")
-    return units.join(turned, [key, "unit_pos"], "left").withColumn("card_type", settled).drop("is_reverse", "routed")
+    schema = StructType([*rows.schema.fields, StructField("_turned", BooleanType())])
+    settled = F.when(F.col("routed") != "reverse?", F.col("routed")).when(F.col("_turned"), "reverse").otherwise("qa")
+    return rows.mapInArrow(run, schema).withColumn("card_type", settled).drop("routed", "_turned", *flags)
 
 
 def build_cards(units: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cards of classified units (``kind``, ``purpose``, ``unit_id``); units for which
-    nothing can be asked give none. Fields of text are HTML-escaped."""
+    nothing can be asked give none. Fields of text are HTML-escaped. Planned units hand
+    on their objectives, prerequisites, origin and confidence; others have no links,
+    origin ``source`` and confidence 1. Code blocks are tagged for the code layout."""
     u = {c: T.text_or_empty(F.col(c)) for c in ("text", "question", "answer", "extra", "topic", "source", "kind", "image_url", "image_alt", "verbatim_kind")}
     full = lambda p: (F.btrim(p["front"]) != "") & (F.btrim(p["back"]) != "")
     units = T.once(units.withColumn("image_url", u["image_url"]), parts=F.struct(*(c.alias(n) for n, c in parts_of(u).items())))
@@ -184,11 +204,14 @@ def build_cards(units: DataFrame, key: str = "doc_id") -> DataFrame:
     items = F.when(F.size("group_components") > 0, F.col("group_components")).when(F.col("card_type") == "list", u["items"]).otherwise(T.enumerated_items(F.col("asked.back")))
     stated = F.when((u["question"] != "") & (u["answer"] != ""), F.when(F.btrim(u["answer"]).rlike("[.!?]$"), F.btrim(u["answer"])).otherwise(F.concat(F.btrim(u["answer"]), F.lit(".")))).otherwise(F.btrim(u["text"]))
     own = F.regexp_replace(F.btrim(u["extra"]), r"(?i)^Explanation:\s*", "")
+    links = {n: F.coalesce(n, F.array().cast("array<string>")) if n in asked.columns else F.array().cast("array<string>") for n in ("objective_ids", "prerequisite_ids")}
+    code = F.when(u["verbatim_kind"] == "code", F.array(F.lit(CODE_TAG))).otherwise(F.array().cast("array<string>"))
     cards = asked.select(
         key, "unit_pos", front.alias("front"), F.when(u["image_url"] != "", F.concat(back, image)).otherwise(back).alias("back"),
         T.escape_html(F.when(own != "", own).otherwise(stated)).alias("extra"), T.escape_html(T.mnemonic(items)).alias("mnemonic"), "card_type",
-        F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(T.slug(u["topic"]), F.lit("auto")))).alias("tags"),
+        F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), code, F.array(T.slug(u["topic"]), F.lit("auto")))).alias("tags"),
         u["image_url"].alias("image_url"), alt.alias("image_alt"), "topic", "source", F.col("unit_id").alias("knowledge_unit_id"), F.col("kind").alias("knowledge_kind"), F.col("purpose").alias("learning_purpose"),
+        *(c.alias(n) for n, c in links.items()), (F.col("origin") if "origin" in asked.columns else F.lit("source")).alias("origin"), (F.col("confidence") if "confidence" in asked.columns else F.lit(1.0)).alias("confidence"),
     )
     background = F.concat(T.escape_html("topic"), F.lit(" background is assumed; review "), T.escape_html("source"), F.lit(" if unfamiliar."))
     context = F.when(T.needs_context(F.col("front"), F.col("back")), background).otherwise(F.concat(F.lit("Topic: "), T.escape_html("topic"), F.lit(".")))

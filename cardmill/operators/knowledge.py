@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardmill.functions import text as T
 from cardmill.functions import vocabulary as V
+from cardmill.sources.tables import BLANKS, materialize
 
 _HEADING = r"^#{1,6}\s+(.+?)\s*$"
 _OBJECTIVES_HEAD = r"(?i)^(?:learning\s+)?objectives?\s*:\s*$"
@@ -83,30 +84,38 @@ def inferred_objectives(units: DataFrame, explicit: DataFrame, source: Column, k
     return open_.select(key, T.stable_id("objective", F.col("topic"), F.col("source")).alias("id"), label.alias("label"), "topic", "source", F.lit(False).alias("explicit"))
 
 
-def assign_objectives(units: DataFrame, objectives: DataFrame) -> DataFrame:
-    """(doc_id, id, objective_ids): objectives of the unit's topic, or of General if
+def said(units: DataFrame) -> Column:
+    """Question, answer and text of units, as far as they have them."""
+    return F.concat_ws(" ", *(F.col(c) for c in ("question", "answer", "text") if c in units.columns))
+
+
+def assign_objectives(units: DataFrame, objectives: DataFrame, key: str = "id") -> DataFrame:
+    """(doc_id, key, objective_ids): objectives of the unit's topic, or of General if
     the topic has none. A single candidate is taken; of several, those that share
     the most words with the unit, if they share any.
 
     Two equi-joins on (doc_id, topic) and one aggregate per unit; objectives of a
     document and topic are few, so the join is not a product.
     """
-    mine = units.select("doc_id", "id", "topic", T.semantic_tokens(T.text_or_empty(F.col("text"))).alias("tokens"))
+    mine = units.select("doc_id", key, "topic", T.semantic_tokens(said(units)).alias("tokens"))
     theirs = objectives.select("doc_id", "topic", F.col("id").alias("objective_id"), T.semantic_tokens(T.text_or_empty(F.col("label"))).alias("label_tokens")).distinct()
     has_own = theirs.select("doc_id", "topic").distinct().withColumn("own", F.lit(True))
     looked = mine.join(has_own, ["doc_id", "topic"], "left").withColumn("topic", F.when(F.col("own"), F.col("topic")).otherwise("General")).drop("own")
     pairs = looked.join(theirs, ["doc_id", "topic"], "left").withColumn("score", F.size(F.array_intersect("tokens", "label_tokens")))
-    scored = pairs.groupBy("doc_id", "id").agg(
+    scored = pairs.groupBy("doc_id", key).agg(
         F.count("objective_id").alias("n"), F.max(F.when(F.col("objective_id").isNotNull(), F.col("score"))).alias("best"),
         F.array_sort(F.collect_list(F.when(F.col("objective_id").isNotNull(), F.struct("objective_id", "score")))).alias("all"),
     )
     best = F.filter("all", lambda x: (F.col("n") == 1) | ((x["score"] == F.col("best")) & (x["score"] > 0)))
-    return scored.select("doc_id", "id", F.transform(best, lambda x: x["objective_id"]).alias("objective_ids"))
+    return scored.select("doc_id", key, F.transform(best, lambda x: x["objective_id"]).alias("objective_ids"))
 
 
 def definition_terms(units: DataFrame) -> DataFrame:
-    """(doc_id, topic, unit_pos, id, term) of the units that define a term."""
+    """(doc_id, topic, unit_pos, id, term) of the units that define a term: the one their
+    question asks for, or else the subject of their text."""
     subject = F.btrim(F.regexp_extract(F.coalesce("text", F.lit("")), r"(?i)^(.+?)\s+(?:is|means|refers to)\s+(.+?)[.!?]?$", 1))
+    if "question" in units.columns:
+        subject = F.coalesce(F.nullif(T.definition_term(T.text_or_empty(F.col("question"))), F.lit("")), subject)
     return units.where("kind = 'definition'").select("doc_id", "topic", "unit_pos", "id", subject.alias("term")).where("term <> ''")
 
 
@@ -124,6 +133,44 @@ def prerequisites(units: DataFrame) -> DataFrame:
     return near.where(whole).select("doc_id", "unit_pos", "id", "prerequisite_id", "definition_pos")
 
 
+def plan_knowledge(docs: DataFrame, units: DataFrame, source: Column) -> tuple[DataFrame, DataFrame]:
+    """(objectives, units) of documents and their classified units.
+
+    Objectives are those the texts state and, for topics without any, inferred ones.
+    Units get ``objective_ids``, ``prerequisite_ids`` (in the order of the definitions),
+    origin ``source`` and confidence 1. Units without a link have empty arrays; they are
+    written once, since four joins read them.
+    """
+    units = materialize(units, "units")
+    explicit = explicit_objectives(docs, source)
+    names = docs.select("doc_id", source.alias("source_name"))
+    inferred = inferred_objectives(units.select("doc_id", "topic").distinct().join(names, "doc_id"), explicit, F.col("source_name"))
+    objectives = materialize(explicit.drop("line_no").unionByName(inferred), "objectives")
+    assigned = assign_objectives(units, objectives, "unit_pos")
+    links = prerequisites(units.withColumn("id", F.col("unit_id")))
+    before = links.groupBy("doc_id", "unit_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("definition_pos", "prerequisite_id"))), lambda x: x["prerequisite_id"]).alias("prerequisite_ids"))
+    planned = units.join(assigned, ["doc_id", "unit_pos"], "left").join(before, ["doc_id", "unit_pos"], "left")
+    none = F.array().cast("array<string>")
+    return objectives, planned.withColumns({"objective_ids": F.coalesce("objective_ids", none), "prerequisite_ids": F.coalesce("prerequisite_ids", none), "origin": F.lit("source"), "confidence": F.lit(1.0)})
+
+
+#: Invariants of units, by the name of what is wrong.
+UNIT_FAULTS = ("id", "text", "source", "kind", "purpose", "origin", "status", "confidence")
+
+
+def unit_faults(units: DataFrame) -> DataFrame:
+    """Units with ``faults``: what of UNIT_FAULTS doesn't hold. Ids, texts and sources
+    must not be blank, kinds, purposes, origins and statuses known (nulls are not), and
+    confidences from 0 to 1."""
+    blank = lambda c: F.btrim(T.text_or_empty(F.col(c)), F.lit(BLANKS)) == ""
+    unknown = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    wrong = (
+        blank("id"), blank("text"), blank("source"), unknown("kind", V.KNOWLEDGE_KINDS), unknown("purpose", V.LEARNING_PURPOSES), unknown("origin", V.ORIGINS), unknown("status", V.UNIT_STATUSES),
+        ~F.coalesce(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.lit(False)),
+    )
+    return units.withColumn("faults", F.array_compact(F.array(*(F.when(w, F.lit(n)) for n, w in zip(UNIT_FAULTS, wrong)))))
+
+
 def represented_units(units: DataFrame, cards: DataFrame) -> DataFrame:
     """Units with the status their cards give them: represented, or else deferred."""
     carded = cards.select(F.col("knowledge_unit_id").alias("id")).where("id is not null").distinct().withColumn("carded", F.lit(True))

@@ -12,6 +12,7 @@ from cardmill.operators import cards as C
 from cardmill.operators import knowledge as K
 from cardmill.operators import ordering as O
 from cardmill.operators import units as U
+from cardmill.operators import reports as P
 from cardmill.operators.reports import CHECKS
 from cardmill.plans.data_quality import _CARDS, _records
 from cardmill.plans.knowledge import _C, _PLAIN, _V, _WORDS, _alt, sql_tokens
@@ -31,11 +32,6 @@ def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
     return R.rule_counts(_cards(spark, folder))
 
 
-def simple_rule_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The rules that plain SQL can state as well."""
-    return rule_counts(spark, folder).where(F.col("code").isin(*_SIMPLE)).select("code", "level", "n")
-
-
 def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
     return R.audit_summary(_cards(spark, folder))
 
@@ -89,20 +85,33 @@ def parsed_units(spark: SparkSession, folder: str) -> DataFrame:
     return U.parse_units(docs)
 
 
+def _plan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return K.plan_knowledge(docs, C.classify_units(parsed_units(spark, folder)), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+
+
+def planned_objectives(spark: SparkSession, folder: str) -> DataFrame:
+    return _plan(spark, folder)[0]
+
+
 def planned_units(spark: SparkSession, folder: str) -> DataFrame:
-    return C.classify_units(parsed_units(spark, folder)).select("doc_id", "unit_pos", "unit_id", "kind", "purpose", "topic", "source")
+    planned = _plan(spark, folder)[1]
+    return planned.select("doc_id", "unit_pos", "unit_id", "kind", "purpose", "topic", "source", "objective_ids", "prerequisite_ids", "origin", "confidence")
 
 
 def built_cards(spark: SparkSession, folder: str) -> DataFrame:
-    return C.build_cards(C.classify_units(parsed_units(spark, folder)))
+    return C.build_cards(_plan(spark, folder)[1])
+
+
+def audit_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """All that an audit of the cards finds, per source, code and level."""
+    cards = _cards(spark, folder)
+    decks = R.deck_violations(spark, R.Scheduler(), 1, False)
+    return P.all_violations(cards, decks).groupBy("rank", "code", "level").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rule_counts, simple_rule_counts, audit_summary, duplicate_cards, card_types, deck_runs, topic_runs, interleaved, deck_order, pending_import, card_tags, split_sentences, parsed_units, planned_units, built_cards)}
+QUERIES = {f.__name__: f for f in (rule_counts, audit_summary, duplicate_cards, card_types, deck_runs, topic_runs, interleaved, deck_order, pending_import, card_tags, split_sentences, parsed_units, planned_objectives, planned_units, built_cards, audit_violations)}
 
-_SIMPLE = (
-    "MISSING_CONTENT", "MISSING_SOURCE", "UNLABELED_ENRICHMENT", "UNLABELED_INFERENCE", "INVALID_CONFIDENCE", "INVALID_KNOWLEDGE_KIND", "INVALID_LEARNING_PURPOSE", "INVALID_ORIGIN",
-    "FRONT_TOO_LONG", "MISSING_EXPLANATION", "MISSING_CONTEXT", "INVALID_CARD_TYPE", "CLOZE_FORMAT", "TYPE_FORMAT_MISMATCH", "REVERSE_FORMAT", "COGNITIVE_LOAD", "ATOMICITY_REVIEW", "GENERIC_PROMPT", "THIN_EXPLANATION", "IMAGE_TYPE", "IMAGE_ALT",
-)
 _in = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _SPLIT = r"regexp_split_to_array(pb, '(?i);|\s+(?:and|but|whereas|while)\s+')"
 _RULES = {
@@ -157,7 +166,7 @@ SQL = {
     "audit_checks": _RULED + _LISTED + " union all ".join(f"select '{name}' as check, count(*) filter ({_check(codes)}) = 0 passed, count(*) filter ({_check(codes)}) n_cards from z" for name, codes in CHECKS.items()),
     "audit_summary": _RULED + _LISTED + f", t as (select *, {_count('error')} e, {_count('warning')} w from z) select count(*) cards, coalesce(sum(e), 0)::bigint errors, coalesce(sum(w), 0)::bigint warnings, count(*) filter (len({_WORDS.format('pf')}) > 19) fronts_over_limit, count(*) filter (image_url <> '') image_cards, count(distinct topic) topics, "
     + ", ".join(f"count(*) filter (card_type = '{t}') \"{t.replace('-', '_')}\"" for t in V.CARD_TYPES) + ", case when coalesce(sum(e), 0) = 0 and count(*) > 0 then 'PASS' else 'FAIL' end verdict from t",
-    "simple_rule_counts": _RULED + " union all ".join(f"select '{code}' code, '{level}' as level, count(*) n from p where {test} having count(*) > 0" for code, (level, test) in _RULES.items()),
+    "audit_violations": _EACH + f", g as (select 1 from {_C} group by lower(coalesce(front, '')), lower(coalesce(back, '')) having count(*) > 1) select 0 as rank, split_part(v, '|', 1) code, split_part(v, '|', 2) as level, count(*) n from b group by all union all select 3, 'DUPLICATE_CARD', 'warning', count(*) from g having count(*) > 0",
     "duplicate_cards": f"select lower(coalesce(front, '')) front, lower(coalesce(back, '')) back, count(*) n from {_C} group by 1, 2 having count(*) > 1",
     "card_types": f"select card_type, count(*) n, count(distinct topic) topics from {_C} group by 1",
     "topic_runs": f"""
@@ -171,4 +180,3 @@ select deck_file, count(*) filter (again and others > 0) avoidable_runs from run
     "deck_order": "select deck_file, min(loaded_at) first_at from card_csv_rows where deck_file <> '' group by 1",
     "card_tags": f"with t as (select unnest(tags) t from {_C}) select coalesce(nullif(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'general') tag, count(*) n from t group by 1",
 }
-assert set(_RULES) == set(_SIMPLE)
