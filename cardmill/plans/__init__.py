@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ("data_quality", "review", "knowledge", "decks", "notes")
+_AREAS = ("data_quality", "review", "knowledge", "decks", "notes", "examples")
 
 
 def _gather(what: str) -> dict:

@@ -138,8 +138,12 @@ _RULES = {
     "IMAGE_ALT": ("error", f"image_url <> '' and not (len({_WORDS.format(_PLAIN.format('image_alt'))}) >= 6 and regexp_matches(image_alt, '(?i){_alt((*V.RECALL_WORDS, 'relationship', 'spatial'))}'))"),
 }
 _TEXTS = ("front", "back", "extra", "context", "mnemonic", "card_type", "image_url", "image_alt", "source", "knowledge_kind", "learning_purpose", "origin")
-_RULED = f"with c as (select {', '.join(f'coalesce({t}, {chr(39)}{chr(39)}) {t}' for t in _TEXTS)}, coalesce(confidence, 1.0) confidence, card_id, topic from {_C}), p as (select *, {_PLAIN.format('front')} pf, {_PLAIN.format('back')} pb, {_V.format('front')} vf, front || ' ' || back fb from c)\n"
+def _ruled(cards: str) -> str:
+    """Cards with what the rules look at, from any table of cards."""
+    return f"with c as (select {', '.join(f'coalesce({t}, {chr(39)}{chr(39)}) {t}' for t in _TEXTS)}, coalesce(confidence, 1.0) confidence, card_id, topic from {cards}), p as (select *, {_PLAIN.format('front')} pf, {_PLAIN.format('back')} pb, {_V.format('front')} vf, front || ' ' || back fb from c)\n"
 
+
+_RULED = _ruled(_C)
 _LISTED = """
 , s as (select *, regexp_replace(pb, '(\\d),(\\d{3})\\b', '\\1' || chr(1) || '\\2', 'g') safe from p),
 i as (select *, list_filter(list_transform(case when contains(safe, ';') then string_split(safe, ';') else string_split(regexp_replace(safe, '(?i),?\\s+(?:and|or)\\s+', ', ', 'g'), ',') end,
@@ -155,7 +159,15 @@ _ALL = _RULES | {
     "MNEMONIC_MISMATCH": ("error", "card_type = 'list' and len(answers) between 3 and 8 and upper(trim(split_part(mnemonic, ':', 1))) <> initials"),
     "MISSING_MNEMONIC": ("error", "len(members) >= 3 and trim(mnemonic) = ''"),
 }
-_EACH = _RULED + _LISTED + ", b as (select card_id, unnest(list_filter([" + ", ".join(f"case when {test} then '{code}|{level}' end" for code, (level, test) in _ALL.items()) + "], lambda v: v is not null)) v from z)\n"
+_BROKEN = ", b as (select card_id, unnest(list_filter([" + ", ".join(f"case when {test} then '{code}|{level}' end" for code, (level, test) in _ALL.items()) + "], lambda v: v is not null)) v from z)\n"
+
+
+def card_rule_sql(cards: str) -> str:
+    """``b`` (card_id, v): code and level of each broken rule of any table of cards."""
+    return _ruled(cards) + _LISTED + _BROKEN
+
+
+_EACH = card_rule_sql(_C)
 _ACTIONS = "(values " + ", ".join(f"('{code}', '{action.replace(chr(39), chr(39) * 2)}')" for code, action in R.REMEDIES.items()) + ") a(code, action)"
 _count = lambda level: " + ".join(f"(coalesce({test}, false))::int" for lv, test in _ALL.values() if lv == level)
 _check = lambda codes: " or ".join(f"coalesce({_ALL[c][1]}, false)" for c in codes)
