@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardmill.sources.tables import materialize
+
 
 #: Ranges a group's order is cut into before rows are numbered inside each.
 RANGES = 4096
@@ -51,12 +53,26 @@ def interleave(cards: DataFrame, deck: str, key: str, topic: str = "topic", seed
 
 def avoidable_runs(cards: DataFrame, deck: str, place: str, topic: str = "topic") -> DataFrame:
     """(deck, avoidable_runs): neighbours of one topic while a card of another topic
-    was still to come."""
-    order = Window.partitionBy(deck).orderBy(place)
-    later = order.rowsBetween(0, Window.unboundedFollowing)
-    same = Window.partitionBy(deck, topic).orderBy(place).rowsBetween(0, Window.unboundedFollowing)
-    rows = cards.select(deck, topic, (F.lag(topic).over(order) == F.col(topic)).alias("again"), (F.count("*").over(later) - F.count("*").over(same)).alias("others"))
-    return rows.groupBy(deck).agg(F.count_if(F.col("again") & (F.col("others") > 0)).alias("avoidable_runs"))
+    was still to come. Null decks are one deck; a null topic equals no other.
+
+    Rows are cut into ranges of (deck, place), so a large deck is spread; what stands
+    before the first row of a range is the last row of the range before. Whether
+    another topic comes later follows from the last place of each topic.
+    """
+    rows = cards.select(F.col(deck).alias("deck"), F.col(place).alias("place"), F.col(topic).alias("topic"))
+    ends = rows.groupBy("deck", "topic").agg(F.max("place").alias("last"))
+    by_last = Window.partitionBy("deck").orderBy(F.desc("last"))  # one row per topic
+    last_two = ends.select("deck", F.struct("last", "topic").alias("end"), F.row_number().over(by_last).alias("n")).where("n <= 2").groupBy("deck").agg(F.max(F.when(F.col("n") == 1, F.col("end"))).alias("first"), F.max(F.when(F.col("n") == 2, F.col("end"))).alias("second"))
+    ranged = materialize(rows.repartitionByRange(F.col("deck"), F.col("place")).withColumn("range", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy("range").orderBy("deck", "place")
+    seen = lambda c: F.lag(F.struct("deck", "topic")).over(c)
+    tails = ranged.groupBy("range").agg(F.max_by(F.struct("deck", "topic"), F.struct("deck", "place")).alias("tail"))
+    before = tails.select("range", F.lag("tail").over(Window.orderBy("range")).alias("tail"))  # one row per range
+    marked = ranged.join(before, "range").withColumn("previous", F.coalesce(seen(inside), F.col("tail")))
+    again = F.col("previous")["deck"].eqNullSafe(F.col("deck")) & (F.col("previous")["topic"] == F.col("topic"))
+    other = F.when(F.col("first")["topic"].eqNullSafe(F.col("topic")), F.col("second")["last"]).otherwise(F.col("first")["last"])
+    judged = null_safe_join(marked.select("deck", "place", "topic", F.coalesce(again, F.lit(False)).alias("again")), last_two, ["deck"])
+    return judged.groupBy("deck").agg(F.count_if(F.col("again") & (other > F.col("place"))).alias("avoidable_runs")).withColumnRenamed("deck", deck)
 
 
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:

@@ -28,6 +28,7 @@ COLUMNS = (
 )
 #: The card types.
 CARD_TYPES = ("qa", "cloze", "reverse", "typed", "list", "image-supported")
+_LINE_END = re.compile(r"\r\n|\r|\n")
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z")
 
 
@@ -53,6 +54,7 @@ class RecordParser:
     def __init__(self, text: str, width: int = len(COLUMNS), lines: bool = True) -> None:
         self.text, self.width, self.lines = text, width, lines
         self.bare_end = re.compile(r'[",\r\n]' if lines else r'[",]')
+        self.last_quote = text.rfind('"')  # no field can be closed behind it
 
     def field(self, at: int) -> tuple[str, int]:
         text = self.text
@@ -67,7 +69,7 @@ class RecordParser:
     def quoted(self, at: int) -> tuple[str, int]:
         text, here = self.text, at + 1
         while True:
-            close = text.find('"', here)
+            close = text.find('"', here) if here <= self.last_quote else -1
             if close < 0:
                 raise _Broken(at)
             if text.startswith('"', close + 1):
@@ -87,15 +89,16 @@ class RecordParser:
         return values, at
 
     def line_start(self, at: int) -> int | None:
-        found = re.compile(r"\r\n|\r|\n").search(self.text, at)
+        found = _LINE_END.search(self.text, at)
         return found.end() if found else None
 
     def anchor(self, at: int) -> int | None:
-        """The next line start from which a record of the right width parses."""
+        """The next line start from which a record of the right width parses. A try ends
+        at the first quote that is out of place, or the end of the record."""
         start = self.line_start(at)
         while start is not None and start < len(self.text):
             try:
-                values, _ = RecordParser(self.text, self.width, True).record(start)
+                values, _ = self.record(start)
             except _Broken:
                 values = []
             if len(values) == self.width:

@@ -7,11 +7,12 @@ import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.functions import text as T
-from cardmill.sources.card_records import COLUMNS
+from cardmill.sources.card_records import COLUMNS, RecordParser
 from cardmill.sources.settings import local_url
 
 _FROM = dict(zip(COLUMNS, ("front", "back", "extra", "context", "mnemonic", "card_type", "tags", "image_url", "image_alt", "topic", "source", "card_id", "knowledge_unit_id", "knowledge_kind", "learning_purpose", "objective_ids", "prerequisite_ids", "origin", "confidence")))
@@ -38,21 +39,47 @@ def write_card_csv(cards: DataFrame, path: str) -> None:
     csv_cards(cards).write.mode("error").csv(path, header=True, escape='"', quote='"', emptyValue="")
 
 
+#: Columns that a card CSV must have.
+REQUIRED = ("Front", "Back", "Extra", "Mnemonic", "CardType", "Tags")
+_READ = ", ".join(f"{_FROM[n]} {'array<string>' if n in ('Tags', 'ObjectiveIDs', 'PrerequisiteIDs') else 'double' if n == 'Confidence' else 'string'}" for n in COLUMNS) + ", file string, record int, row_error string"
+_DEFAULTS = {"Topic": "General", "KnowledgeKind": "fact", "LearningPurpose": "recall", "Origin": "source"}
+
+
+def _card_file(name: str, text: str) -> Iterator[list]:
+    """Rows of _READ of one file. Records count from 1, the header's number."""
+    records = RecordParser(text.removeprefix("\ufeff")).parse()
+    header = next(records).values
+    if any(c not in header for c in REQUIRED):
+        yield [None] * len(COLUMNS) + [name, 1, "CSV_FIELDS"]
+        return
+    for number, record in enumerate(records, 2):
+        cells = {} if record.error else dict(zip(header, record.values))
+        if not record.error and not any(cells.values()) and len(record.values) == 1:
+            continue  # a blank line
+        own = {n: (cells.get(n) or "").strip() for n in COLUMNS}
+        own = own | {n: own[n] or d for n, d in (_DEFAULTS | {"Source": f"{name}:line-{number}", "CardID": f"line-{number}"}).items()}
+        try:
+            confidence = float(own["Confidence"] or 1.0)
+        except ValueError:
+            confidence = None
+        lists = {n: own[n].split() for n in ("Tags", "ObjectiveIDs", "PrerequisiteIDs")}
+        yield [*((own | lists | {"Confidence": confidence})[n] for n in COLUMNS), name, number, "CSV_ROW" if confidence is None or record.error else None]
+
+
 def read_card_csv(spark, path: str) -> DataFrame:
-    """Card CSV files with defaults for what is blank; ``row_error`` for a bad confidence.
-    The line of a default source and id is the record's number, the header being 1."""
-    read = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
-    missing = [c for c in ("Front", "Back", "Extra", "Mnemonic", "CardType", "Tags") if c not in read.columns]
-    if missing:
-        raise ValueError(f"card CSV lacks {', '.join(missing)}")
-    place = read.withColumn("file", F.col("_metadata.file_name")).withColumn("n", F.monotonically_increasing_id())
-    line = F.concat(F.lit("line-"), (F.col("n").bitwiseAND((1 << 33) - 1) + 2).cast("string"))
-    value = lambda n, default: F.coalesce(F.nullif(F.btrim(F.col(n)), F.lit("")), default) if n in read.columns else default
-    given = F.nullif(F.btrim(F.col("Confidence")), F.lit("")) if "Confidence" in read.columns else F.lit(None).cast("string")
-    defaults = {"Topic": F.lit("General"), "Source": F.concat("file", F.lit(":"), line), "CardID": line, "KnowledgeKind": F.lit("fact"), "LearningPurpose": F.lit("recall"), "Origin": F.lit("source")}
-    columns = [value(n, defaults.get(n, F.lit(""))).alias(_FROM[n]) for n in COLUMNS if n not in ("Tags", "ObjectiveIDs", "PrerequisiteIDs", "Confidence")]
-    lists = [F.filter(F.split(value(n, F.lit("")), r"\s+"), lambda x: x != "").alias(_FROM[n]) for n in ("Tags", "ObjectiveIDs", "PrerequisiteIDs")]
-    return place.select(*columns, *lists, F.coalesce(given.try_cast("double"), F.when(given.isNull(), 1.0)).alias("confidence"), F.when(given.isNotNull() & given.try_cast("double").isNull(), "CSV_ROW").alias("row_error"))
+    """Card CSV files with defaults for what is blank. ``record`` counts the records of
+    each file, the header being 1; a blank source or id names it. ``row_error``: CSV_ROW
+    for a bad confidence or broken quotes, CSV_FIELDS (one row, no card) for a file that
+    lacks a column it must have. Each file is read in one task."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in _READ.split(", ")]
+        for batch in batches:
+            rows = [row for name, text in zip(batch["file"], batch["value"]) for row in _card_file(name, text)]
+            yield pd.DataFrame(rows, columns=names).astype({"record": "Int32", "confidence": "float64"})
+
+    return files.mapInPandas(run, _READ)
 
 
 def write_json(row: DataFrame, path: str) -> None:
@@ -91,7 +118,6 @@ def call_service(url: str, action: str, timeout: float = 10.0, **params) -> obje
 def send_notes(made: DataFrame, url: str, batch: int = 500) -> DataFrame:
     """Notes sent in batches from one task, the service being on one machine:
     (id, note_id, added); a refused note has no note_id."""
-    import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -103,8 +103,19 @@ def test_card_csv_round_trip(spark, tmp_path):
     assert (first.tags, first.confidence, first.card_id, first.topic, first.origin, first.row_error) == (["a", "b"], 0.5, "id1", "General", "source", None)
     assert made["g"].card_id.startswith("line-") and made["g"].confidence == 1.0
     (tmp_path / "bad.csv").write_text("Front,Back\nx,y\n")
-    with pytest.raises(ValueError, match="Extra"):
-        sinks.read_card_csv(spark, str(tmp_path / "bad.csv"))
+    assert [(r.row_error, r.front) for r in sinks.read_card_csv(spark, str(tmp_path / "bad.csv")).collect()] == [("CSV_FIELDS", None)]
+
+
+def test_records_are_numbered_in_each_file(spark, tmp_path):
+    head = "Front,Back,Extra,Mnemonic,CardType,Tags,Confidence\n"
+    for n in range(40):
+        (tmp_path / f"f{n:02d}.csv").write_text("\ufeff" * (n % 2) + head + f'"two\nlines",b{n},e,,qa,x y,\n\ng,h,e,,qa,,high\nbroken "quote,b,e,,qa,,1\ni,j,e,,qa,,0.5\n', "utf-8")
+    made = sinks.read_card_csv(spark, str(tmp_path)).collect()
+    assert {(r.record, r.card_id, r.source == f"{r.file}:line-{r.record}", r.row_error) for r in made if r.front != "broken"} >= {(2, "line-2", True, None)}
+    by_file: dict[str, list] = {}
+    for r in made:
+        by_file.setdefault(r.file, []).append((r.front, r.row_error, r.confidence))
+    assert len(by_file) == 40 and all(rows[0] == ("two\nlines", None, 1.0) and ("g", "CSV_ROW") in {x[:2] for x in rows} and rows[-1] == ("i", None, 0.5) for rows in by_file.values())
 
 
 def test_settings(spark, tmp_path):
