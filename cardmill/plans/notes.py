@@ -10,6 +10,7 @@ from cardmill.functions import vocabulary as V
 from cardmill.operators import drafts as D
 from cardmill.operators import knowledge as K
 from cardmill.operators import layouts as L
+from cardmill.operators import refined as N
 from cardmill.operators import reports as P
 from cardmill.plans.knowledge import _C, _U, _V, sql_current
 from cardmill.plans.review import SQL as REVIEW
@@ -102,7 +103,25 @@ def import_report(spark: SparkSession, folder: str) -> DataFrame:
     return P.import_report(notes, table(spark, folder, "review_log").select(F.col("card_id").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (draft_faults, drafted_cards, authoring_prompts, audit_checks, remedies, calibration_report, import_report, fact_types, fact_faults, card_notes, note_layouts, card_csv, package_ids, math_lines, review_windows)}
+def image_links(spark: SparkSession, folder: str) -> DataFrame:
+    cards = K.current_rows(table(spark, folder, "cards"), "card_id")
+    return cards.groupBy(N.image_kind(F.col("image_url")).alias("link")).agg(F.count("*").alias("n"), F.count_distinct("image_url").alias("urls"))
+
+
+def supported_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Cards whose back their unit supports as evidence, by card type."""
+    units = K.current_rows(table(spark, folder, "knowledge_units"), "id").select(F.col("id").alias("knowledge_unit_id"), F.col("text").alias("evidence"))
+    cards = K.current_rows(table(spark, folder, "cards"), "card_id").join(units, "knowledge_unit_id", "left")
+    return cards.groupBy("card_type").agg(F.count_if(N.supports(F.col("back"), F.col("evidence"))).alias("supported"), F.count("*").alias("n"))
+
+
+def candidate_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """Cards that stand as candidates of study notes."""
+    cards = K.current_rows(table(spark, folder, "cards"), "card_id").withColumnRenamed("card_id", "candidate")
+    return N.valid_candidates(cards.select("candidate", "front", "back", "extra", "tags"))
+
+
+QUERIES = {f.__name__: f for f in (draft_faults, drafted_cards, authoring_prompts, audit_checks, remedies, calibration_report, import_report, image_links, supported_answers, candidate_cards, fact_types, fact_faults, card_notes, note_layouts, card_csv, package_ids, math_lines, review_windows)}
 _num = lambda c: f"case when regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim({c}) as double) end"
 _DRAFTS = rf"""
 with u as (select id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) hay, topic from {sql_current('knowledge_units', 'id')}),
@@ -137,6 +156,15 @@ select 'ok' approval_status, 'ok' retention_status, a.* rename (invalid_rows as
   (select coalesce(list({{'name': field, 'n': n}} order by n desc, field), []) from ({REVIEW['edited_fields']})) edit_hotspots,
   (select coalesce(list({{'predicted_range': predicted_range, 'mean_predicted': mean_predicted, 'mean_actual': mean_actual, 'n': n}} order by predicted_range), []) from ({REVIEW['calibration_buckets']})) calibration_buckets
 from ({REVIEW['approval_metrics']}) a, ({REVIEW['retention_metrics']}) r""",
+    "image_links": rf"""
+with u as (select image_url, trim(coalesce(image_url, ''), e' \t\r\n') b from {_C}),
+s as (select *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) scheme, regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) host,
+  list_transform(list_filter(string_split(b, '/'), lambda x: x not in ('', '.')), lambda x: case when x = '..' then -1 else 1 end) d from u)
+select case when b = '' then 'none' when scheme <> '' or host <> '' then case when scheme in ('http', 'https') and host <> '' then 'remote' else 'bad_scheme' end when starts_with(b, '/') then 'absolute'
+  when list_min(list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i]))) < 0 then 'outside' else 'local' end link, count(*) n, count(distinct image_url) urls from s group by 1""",
+    "supported_answers": rf"""
+with u as (select id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) hay from {sql_current('knowledge_units', 'id')}), c as (select card_type, knowledge_unit_id, rtrim(trim(regexp_replace(lower(coalesce(back, '')), '\s+', ' ', 'g')), '.') said from {_C})
+select card_type, count(*) filter (contains(coalesce(hay, ''), said) and len(list_filter(regexp_extract_all(said, '[A-Za-z0-9]+'), lambda w: len(w) > 2)) >= 2) supported, count(*) n from c left join u on u.id = c.knowledge_unit_id group by 1""",
     "math_lines": r"""
 with t as (select distinct doc_id, chunk_pos, source, text, row_number() over () rn from chunks where text is not null), l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]')) raw from t),
 s as (select doc_id, trim(regexp_replace(regexp_replace(raw, '^[\s\x{a0}\x0b]+|[\s\x{a0}\x0b]+$', '', 'g'), '\s+', ' ', 'g')) t from l), w as (select *, len(regexp_extract_all(t, '[=+\-−*/×÷^<>≤≥≈≠∑∏∫√∂∇]')) ops, regexp_matches(t, '[A-Za-z0-9]') named from s where t <> '')
