@@ -47,8 +47,10 @@ _DEFAULTS = {"Topic": "General", "KnowledgeKind": "fact", "LearningPurpose": "re
 
 def _card_file(name: str, text: str) -> Iterator[list]:
     """Rows of _READ of one file. Records count from 1, the header's number."""
-    records = RecordParser(text.removeprefix("\ufeff")).parse()
-    header = next(records).values
+    text = text.removeprefix("\ufeff")
+    header = next(RecordParser(text).parse()).values
+    records = RecordParser(text, max(1, len(header))).parse()
+    next(records)
     if any(c not in header for c in REQUIRED):
         yield [None] * len(COLUMNS) + [name, 1, "CSV_FIELDS"]
         return
