@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cardmill.functions import text as T
 from cardmill.functions import vocabulary as V
+from cardmill.sources.tables import BLANKS
 
 DRAFT = "struct<front:string,back:string,extra:string,context:string,mnemonic:string,card_type:string,source_unit_id:string,evidence:string,tags:array<string>,topic:string,source:string,confidence:string>"
 _TASK = "Write study cards that rest on the units. Answer with JSON only."
@@ -110,3 +111,31 @@ def drafted_cards(drafts: DataFrame, units: DataFrame) -> DataFrame:
 def draft_faults(drafts: DataFrame, units: DataFrame) -> DataFrame:
     made = judged(drafts, units)
     return made.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+STUDY_ROW = "struct<text:string,source_unit_id:string,evidence:string>"
+
+
+def read_study_rows(payloads: DataFrame) -> DataFrame:
+    """(section, text, source_unit_id, evidence): notes and the summary of study notes in
+    the ``payload`` JSON; text that isn't JSON gives one row of nulls."""
+    made = payloads.select(F.from_json("payload", f"notes array<{STUDY_ROW}>, summary {STUDY_ROW}").alias("p"))
+    notes = F.transform(F.coalesce("p.notes", F.array().cast(f"array<{STUDY_ROW}>")), lambda r: F.struct(F.lit("notes").alias("section"), r["text"].alias("text"), r["source_unit_id"].alias("source_unit_id"), r["evidence"].alias("evidence")))
+    summary = F.when(F.col("p.summary").isNotNull(), F.array(F.struct(F.lit("summary").alias("section"), "p.summary.text", "p.summary.source_unit_id", "p.summary.evidence")))
+    return made.select(F.inline_outer(F.concat(notes, F.coalesce(summary, F.array().cast("array<struct<section:string,text:string,source_unit_id:string,evidence:string>>")))))
+
+
+def judged_study_rows(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Study rows with their first fault: missing_field, unknown_unit, several_lines,
+    heading, unsupported_evidence (it isn't in the unit), unsupported_text (it isn't in
+    the evidence); null for a sound row. Spaces and case don't count."""
+    hay = F.concat_ws(" ", *(F.nullif(T.text_or_empty(F.col(c)), F.lit("")) for c in ("text", "question", "answer", "extra") if c in units.columns))
+    known = units.select(F.col("unit_id").alias("source_unit"), T.compact(hay).alias("hay"))
+    bare = lambda c: F.btrim(T.text_or_empty(F.col(c)), F.lit(BLANKS))
+    joined = rows.withColumn("source_unit", bare("source_unit_id")).join(known, "source_unit", "left")
+    text, evidence = bare("text"), T.compact(bare("evidence"))
+    fault = (
+        F.when((text == "") | (bare("evidence") == "") | (F.col("source_unit") == ""), "missing_field").when(F.col("hay").isNull(), "unknown_unit").when(text.rlike(r"[\r\n\t]"), "several_lines")
+        .when(text.rlike(r"(^|\s)#{1,6}\s+"), "heading").when(~F.contains("hay", evidence), "unsupported_evidence").when(~F.contains(evidence, F.rtrim(T.compact(text), F.lit("."))), "unsupported_text")
+    )
+    return joined.select("section", "text", "source_unit_id", fault.alias("fault"))

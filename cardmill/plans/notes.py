@@ -17,6 +17,7 @@ from cardmill.plans.review import SQL as REVIEW
 from cardmill.sources import facts as S
 from cardmill.sources import sinks
 from cardmill.sources.documents import looks_like_math
+from cardmill.sources.documents import math_marks as marked_math
 from cardmill.sources.tables import table
 from cardmill.streaming.reviews import windowed_scores
 
@@ -103,6 +104,22 @@ def import_report(spark: SparkSession, folder: str) -> DataFrame:
     return P.import_report(notes, table(spark, folder, "review_log").select(F.col("card_id").alias("id")))
 
 
+def math_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Marked formulas per chunk of a PDF page, repeated chunks once."""
+    pages = table(spark, folder, "chunks").where(F.col("text").isNotNull() & F.col("source").rlike(r"\sp\.\d+")).select("doc_id", "chunk_pos", "text").distinct()
+    return pages.select("doc_id", "chunk_pos", F.size(marked_math(F.col("text"))).alias("formulas"), F.sha2(F.array_join(marked_math(F.col("text")), "\n"), 256).alias("digest")).where("formulas > 0")
+
+
+def study_row_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Cards as study rows: the extra is the text, the back the evidence of its unit."""
+    units = K.current_rows(table(spark, folder, "knowledge_units"), "id").withColumnRenamed("id", "unit_id")
+    cards = K.current_rows(table(spark, folder, "cards"), "card_id")
+    row = F.struct(F.col("back").alias("text"), F.col("knowledge_unit_id").alias("source_unit_id"), F.concat_ws(" ", "back", F.when(F.col("card_type") == "qa", F.lit("x"))).alias("evidence"))
+    payloads = cards.select(F.to_json(F.struct(F.array(row).alias("notes"), row.alias("summary"))).alias("payload"))
+    made = D.judged_study_rows(D.read_study_rows(payloads), units)
+    return made.groupBy("section", F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
+
+
 def image_links(spark: SparkSession, folder: str) -> DataFrame:
     cards = K.current_rows(table(spark, folder, "cards"), "card_id")
     return cards.groupBy(N.image_kind(F.col("image_url")).alias("link")).agg(F.count("*").alias("n"), F.count_distinct("image_url").alias("urls"))
@@ -121,7 +138,7 @@ def candidate_cards(spark: SparkSession, folder: str) -> DataFrame:
     return N.valid_candidates(cards.select("candidate", "front", "back", "extra", "tags"))
 
 
-QUERIES = {f.__name__: f for f in (draft_faults, drafted_cards, authoring_prompts, audit_checks, remedies, calibration_report, import_report, image_links, supported_answers, candidate_cards, fact_types, fact_faults, card_notes, note_layouts, card_csv, package_ids, math_lines, review_windows)}
+QUERIES = {f.__name__: f for f in (draft_faults, drafted_cards, authoring_prompts, audit_checks, remedies, calibration_report, import_report, math_marks, study_row_faults, image_links, supported_answers, candidate_cards, fact_types, fact_faults, card_notes, note_layouts, card_csv, package_ids, math_lines, review_windows)}
 _num = lambda c: f"case when regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim({c}) as double) end"
 _DRAFTS = rf"""
 with u as (select id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) hay, topic from {sql_current('knowledge_units', 'id')}),
@@ -156,6 +173,20 @@ select 'ok' approval_status, 'ok' retention_status, a.* rename (invalid_rows as
   (select coalesce(list({{'name': field, 'n': n}} order by n desc, field), []) from ({REVIEW['edited_fields']})) edit_hotspots,
   (select coalesce(list({{'predicted_range': predicted_range, 'mean_predicted': mean_predicted, 'mean_actual': mean_actual, 'n': n}} order by predicted_range), []) from ({REVIEW['calibration_buckets']})) calibration_buckets
 from ({REVIEW['approval_metrics']}) a, ({REVIEW['retention_metrics']}) r""",
+    "math_marks": r"""
+with t as (select distinct doc_id, chunk_pos, text from chunks where text is not null and regexp_matches(source, '\sp\.\d+')),
+l as (select doc_id, chunk_pos, text, list_transform(regexp_split_to_array(text, '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) ls from t),
+m as (select *, list_filter(ls, lambda x: x <> '' and len(x) <= 240 and len(regexp_extract_all(x, '[=+\-−*/×÷^<>≤≥≈≠∑∏∫√∂∇]')) > 0 and (regexp_matches(x, '[∑∏∫√∂∇≤≥≈≠∞±]') or regexp_matches(x, '[Α-Ωα-ω]')
+  or (contains(x, '=') and regexp_matches(x, '[A-Za-z0-9]') and trim(split_part(x, '=', 1)) <> '' and trim(regexp_extract(x, '=(.*)$', 1)) <> '') or (not contains(x, '=') and len(regexp_extract_all(x, '[=+\-−*/×÷^<>≤≥≈≠∑∏∫√∂∇]')) >= 2 and regexp_matches(x, '[A-Za-z0-9]')))) f from l),
+d as (select doc_id, chunk_pos, list_transform(list_filter(f, lambda x, i: list_position(f, x) = i), lambda x: '[math: ' || x || ' | source text layer]') f from m)
+select doc_id, chunk_pos, len(f)::int formulas, sha256(array_to_string(f, chr(10))) digest from d where len(f) > 0""",
+    "study_row_faults": rf"""
+with u as (select id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) hay from {sql_current('knowledge_units', 'id')}),
+c as (select trim(coalesce(back, ''), e' \t\r\n') said, trim(coalesce(knowledge_unit_id, ''), e' \t\r\n') uid, trim(concat_ws(' ', back, case when card_type = 'qa' then 'x' end), e' \t\r\n') ev from {_C}),
+j as (select said, uid, hay, ev, trim(regexp_replace(lower(ev), '\s+', ' ', 'g')) e, rtrim(trim(regexp_replace(lower(said), '\s+', ' ', 'g')), '.') t from c left join u on u.id = c.uid),
+f as (select case when said = '' or ev = '' or uid = '' then 'missing_field' when hay is null then 'unknown_unit' when regexp_matches(said, '[\r\n\t]') then 'several_lines' when regexp_matches(said, '(^|\s)#{{1,6}}\s+') then 'heading'
+  when not contains(hay, e) then 'unsupported_evidence' when not contains(e, t) then 'unsupported_text' else 'none' end fault from j)
+select section, fault, count(*) n from f, (values ('notes'), ('summary')) s(section) group by all""",
     "image_links": rf"""
 with u as (select image_url, trim(coalesce(image_url, ''), e' \t\r\n') b from {_C}),
 s as (select *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) scheme, regexp_extract(b, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) host,

@@ -39,6 +39,17 @@ def looks_like_math(line: Column) -> Column:
     return (text != "") & (F.length(text) <= 240) & (operators > 0) & (text.rlike(MATH_SIGNS) | text.rlike(GREEK) | (text.contains("=") & named & sides) | (~text.contains("=") & (operators >= 2) & named))
 
 
+def math_marks(text: Column) -> Column:
+    """The lines of a text that look like formulas, each once and marked as read from it."""
+    tidy = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
+    return F.transform(F.array_distinct(F.filter(tidy, looks_like_math)), lambda x: F.concat(F.lit("[math: "), x, F.lit(" | source text layer]")))
+
+
+def with_math(chunks: DataFrame) -> DataFrame:
+    """Chunks whose formulas stand once more, marked, at the end of their text."""
+    return chunks.withColumn("text", F.concat_ws("\n", "text", F.nullif(F.array_join(math_marks(F.col("text")), "\n"), F.lit(""))))
+
+
 def table_rows(rows: list[list[str | None]]) -> str:
     """Rows of a grid as lines with bars; empty rows are left out."""
     lines = (" | ".join((c or "").strip() for c in row) for row in rows)
@@ -162,7 +173,7 @@ def read_pages(spark: SparkSession, path: str, ocr: bool = False) -> DataFrame:
             rows = [(name, at, text, source) for name, content in zip(batch["name"], batch["content"]) for at, (source, text) in enumerate(page_texts(content, name, ocr))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_pos", "text", "source"]).astype({"chunk_pos": "int32"})
 
-    return _files(spark, path).mapInPandas(run, CHUNKS)
+    return with_math(_files(spark, path).mapInPandas(run, CHUNKS))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
