@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardmill.sources.tables import tidy_id
+from cardmill.sources.tables import materialize, tidy_id
 
 BLOCK_BITS = 16
 #: Copies of each faulty key on the way back to its references; spreads hot keys.
@@ -124,7 +124,7 @@ def find_orphans(parents: dict[str, DataFrame], refs: list[Reference]) -> DataFr
         one = parent_states(rows, name)
         states = one if states is None else states.unionByName(one)
 
-    links = references(refs)
+    states, links = materialize(states, "states"), materialize(references(refs), "links")  # each is read twice
     space, key = integer_key(F.col("ref_id"))
     wanted = (
         links.groupBy("parent", "ref_id")
