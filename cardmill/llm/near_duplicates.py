@@ -264,9 +264,9 @@ class Sender:
         yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *lists], schema=_ENTRY)
 
 
-def _list_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places inside each list, in blocks: short lists together, one
-    distance at a time, long ones one by one."""
+def _list_pairs(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, share: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places inside each list whose first half sketches may pass, in blocks:
+    short lists together, one distance at a time, long ones one by one."""
     lengths = ends - starts
     short = lengths <= 256
     at, stop = (np.concatenate([np.arange(a, b) for a, b in zip(starts[short], ends[short])]), np.repeat(ends[short], lengths[short])) if short.any() else (np.zeros(0, np.int64),) * 2
@@ -275,14 +275,16 @@ def _list_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarr
         at, stop = at[going], stop[going]
         if not len(at):
             break
-        yield at, at + gap
+        near = np.bitwise_count(low[at] ^ low[at + gap]) <= share[at] + share[at + gap]
+        yield at[near], at[near] + gap
     for a, b in zip(starts[~short], ends[~short]):
-        for low in range(a, b, 256):
-            left = np.arange(low, min(low + 256, b))
-            for from_ in range(low, b, 4096):
-                right = np.arange(from_, min(from_ + 4096, b))
-                x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-                yield (x[x < y], y[x < y]) if from_ == low else (x, y)
+        for i in range(a, b, 256):
+            x = slice(i, min(i + 256, b))
+            for j in range(i, b, 4096):
+                y = slice(j, min(j + 4096, b))
+                left, right = np.nonzero(np.bitwise_count(low[x, None] ^ low[None, y]) <= share[x, None] + share[None, y])
+                left, right = left + i, right + j
+                yield left[left < right], right[left < right]
 
 
 def near_in_lists(keys: np.ndarray, classes: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, threshold: float, long: int | None) -> Iterator[pa.RecordBatch]:
@@ -303,12 +305,10 @@ def near_in_lists(keys: np.ndarray, classes: np.ndarray, low: np.ndarray, high:
             yield pa.RecordBatch.from_arrays([pa.nulls(b - a, f.type) if c is None else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type) for c, f in zip(columns, _NEAR)], schema=_NEAR)
         starts, ends = starts[lengths <= long], ends[lengths <= long]
     gap = (1 - threshold) / (1 + threshold)
-    share = n.astype(np.float32) * np.float32(gap)
-    for x, y in _list_pairs(starts[ends - starts > 1], ends[ends - starts > 1]):
-        differ = np.bitwise_count(low[x] ^ low[y])
-        near = np.flatnonzero(differ <= share[x] + share[y] + 1e-3)
-        x, y = x[near], y[near]
-        near = (differ[near] + np.bitwise_count(high[x] ^ high[y]) <= share[x] + share[y] + 1e-3) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-6)
+    share = n.astype(np.float32) * np.float32(gap) + np.float32(5e-4)
+    for x, y in _list_pairs(starts[ends - starts > 1], ends[ends - starts > 1], low, share):
+        differ = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y])
+        near = (differ <= share[x] + share[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-6)
         if near.any():
             first, second = classes[x[near]], classes[y[near]]  # ordered inside a list
             yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), *(pa.nulls(len(first), f.type) for f in list(_NEAR)[2:])], schema=_NEAR)
@@ -334,7 +334,7 @@ def _compared(entries: DataFrame, threshold: float, long: int | None) -> DataFra
 
 
 def _buckets(spark: SparkSession, entries: float) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * ENTRY_BYTES / BUCKET))
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * ENTRY_BYTES / BUCKET))
 
 
 def listed_pairs(sets: DataFrame, threshold: float, long_list: int = LONG) -> DataFrame:
