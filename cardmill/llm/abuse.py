@@ -207,7 +207,10 @@ class Scorer:
             self.automaton.add_word(f" {entry} ", (entry, marks))
         self.automaton.make_automaton()
         #: single words sought inside letters written apart, where borders are unsure
-        self.words = sorted({e for e, (w, _) in entries.items() if w >= 0.45 and " " not in e and len(e) > 2} | {w for e, (weight, _) in entries.items() if weight >= 0.7 for w in e.split() if len(w) > 4}, key=len, reverse=True)
+        self.apart = ahocorasick.Automaton()
+        for word in {e for e, (w, _) in entries.items() if w >= 0.45 and " " not in e and len(e) > 2} | {w for e, (weight, _) in entries.items() if weight >= 0.7 for w in e.split() if len(w) > 4}:
+            self.apart.add_word(word, word)
+        self.apart.make_automaton()
 
     def unstar(self, found: re.Match) -> str:
         word = found.group()
@@ -220,13 +223,21 @@ class Scorer:
         return " ".join(self._parted(re.sub(r"[ .\-_·]", "", found.group())))
 
     def _parted(self, letters: str) -> list[str]:
-        """Letters written apart, cut where known words are."""
+        """Letters written apart, cut where known words are, the longest first."""
         folded = fold(letters)
-        for word in self.words:
-            at = folded.find(word)
-            if at >= 0 and len(folded) == len(letters):
-                return [*self._parted(letters[:at]), f" {word} ", *self._parted(letters[at + len(word) :])]
-        return [letters] if letters else []
+        if len(folded) != len(letters):
+            return [letters]
+        hits = sorted(((end + 1 - len(word), end + 1) for end, word in self.apart.iter(folded)), key=lambda h: (h[0] - h[1], h[0]))
+        free, kept = bytearray(b"\x01" * len(folded)), []
+        for start, end in hits:
+            if all(free[start:end]):
+                free[start:end] = bytes(end - start)
+                kept.append((start, end))
+        out, at = [], 0
+        for start, end in sorted(kept):
+            out += [letters[at:start], f" {folded[start:end]} "]
+            at = end
+        return [p for p in [*out, letters[at:]] if p]
 
     def sentences(self, text: str) -> list[tuple[float, float, set[str]]]:
         """(score, weight, kinds) of the sentences in which an entry was found. Each
@@ -237,9 +248,11 @@ class Scorer:
         text = _MARKED_INSIDE.sub("i", text)
         folded = f" {fold(text)} ".replace("\n", " \n ").replace("  ", " ")
         by_sentence: dict[int, list[tuple[int, int, str, list[tuple[float, str]]]]] = {}
+        begin, after = -1, folded.find("\n")  # of the sentence that holds the hit
         for end, (entry, marks) in self.automaton.iter(folded):
-            start = end - len(entry)
-            by_sentence.setdefault(folded.rfind("\n", 0, end), []).append((start, end, entry, marks))
+            while -1 < after < end:
+                begin, after = after, folded.find("\n", after + 1)
+            by_sentence.setdefault(begin, []).append((end - len(entry), end, entry, marks))
         out = []
         for begin, hits in by_sentence.items():
             if sum(w for h in hits for w, _ in h[3]) < 0.05:
