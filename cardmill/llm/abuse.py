@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -257,11 +259,15 @@ class Scorer:
         for begin, hits in by_sentence.items():
             if sum(w for h in hits for w, _ in h[3]) < 0.05:
                 continue
-            spans = self.covered(folded, hits)
+            spans = sorted(self.covered(folded, hits))
+            begins, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
             counted = {}
             for start, end, entry, marks in hits:
+                before = bisect_right(begins, start)
+                if before and reach[before - 1] >= end:
+                    continue  # inside a span that takes it back
                 for weight, kind in marks:
-                    if weight and not any(a <= start and end <= b for a, b in spans):
+                    if weight:
                         counted[entry] = (weight, kind)
             # an entry inside a longer one is the same hit
             whole = {e: v for e, v in counted.items() if not any(e != o and f" {e} " in f" {o} " and v[0] <= counted[o][0] for o in counted)}
