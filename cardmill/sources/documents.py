@@ -39,15 +39,20 @@ def looks_like_math(line: Column) -> Column:
     return (text != "") & (F.length(text) <= 240) & (operators > 0) & (text.rlike(MATH_SIGNS) | text.rlike(GREEK) | (text.contains("=") & named & sides) | (~text.contains("=") & (operators >= 2) & named))
 
 
+#: What stands around a formula that is marked.
+MATH_MARK = ("[math: ", " | source text layer]")
+
+
 def math_marks(text: Column) -> Column:
     """The lines of a text that look like formulas, each once and marked as read from it."""
     tidy = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
-    return F.transform(F.array_distinct(F.filter(tidy, looks_like_math)), lambda x: F.concat(F.lit("[math: "), x, F.lit(" | source text layer]")))
+    return F.transform(F.array_distinct(F.filter(tidy, looks_like_math)), lambda x: F.concat(F.lit(MATH_MARK[0]), x, F.lit(MATH_MARK[1])))
 
 
 def with_math(chunks: DataFrame) -> DataFrame:
-    """Chunks whose formulas stand once more, marked, at the end of their text."""
-    return chunks.withColumn("text", F.concat_ws("\n", "text", F.nullif(F.array_join(math_marks(F.col("text")), "\n"), F.lit(""))))
+    """Chunks whose formulas stand once more, marked, at the end of their text; null stays null."""
+    marked = F.concat_ws("\n", "text", F.nullif(F.array_join(math_marks(F.col("text")), "\n"), F.lit("")))
+    return chunks.withColumn("text", F.when(F.col("text").isNotNull(), marked))
 
 
 def table_rows(rows: list[list[str | None]]) -> str:

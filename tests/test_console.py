@@ -38,4 +38,4 @@ def test_study_rows(spark):
 def test_formulas_are_marked_once(spark):
     texts = [("E = m c^2\nplain words\n  E  =  m c^2",), ("plain",), (None,), ("",)]
     made = [r.text for r in with_math(spark.createDataFrame(texts, "text string")).collect()]
-    assert made == ["E = m c^2\nplain words\n  E  =  m c^2\n[math: E = m c^2 | source text layer]", "plain", "", ""]
+    assert made == ["E = m c^2\nplain words\n  E  =  m c^2\n[math: E = m c^2 | source text layer]", "plain", None, ""]
